@@ -34,6 +34,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def sorted_unique(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order. (np.unique may hash integers, which is far slower on packed keys.)"""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _BASE_INVERSE)):
@@ -90,10 +98,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> Iterat
     rolled = mix64(rolled)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a >= width:
-            own = np.sort(rolled[a : b - width + 1])
-            keep = np.ones(len(own), bool)
-            np.not_equal(own[1:], own[:-1], out=keep[1:])
-            yield own[keep]
+            yield sorted_unique(rolled[a : b - width + 1])
         elif b > a:
             yield mix64(np.array([(words[a:b] * _PLACE[: b - a]).sum() + np.uint64(b - a)], np.uint64))
         else:

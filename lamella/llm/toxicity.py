@@ -24,16 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.common import fresh, table
-from lamella.llm.textkernels import mix64
+from lamella.llm.textkernels import mix64, sorted_unique
 
-ORDERS = (4, 5)
+ORDERS = (4, 5, 6)
 BITS = 20
 FOLDS = 5
 MAX_TOXIC = 2_000
-MAX_CLEAN = 6_000
-#: Features kept: those with the largest ratios among the ones seen often enough on one side.
+MAX_CLEAN = 4_000
+#: Features kept: those whose likelihood ratio statistic (of toxic and clean documents that hold it, against the same
+#: share in both) is so large; of them at most FEATURES, the largest. The rest would only add noise to long texts.
+EVIDENCE = 12.0
 FEATURES = 20_000
-LEAST_SEEN = 4
 EPOCHS = 300
 L2 = 1e-4
 SLICE_CHARS = 1 << 19
@@ -93,11 +94,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         sets: list[bytes] = [b""] * len(texts)
         for row, numbers, owner in gram_slices(texts):
-            order = np.lexsort((numbers, owner))
-            numbers, owner = numbers[order], owner[order]
-            for i in np.unique(owner).tolist():
-                a, b = np.searchsorted(owner, (i, i + 1))
-                sets[row + i] = np.unique(numbers[a:b]).astype("<i4").tobytes()
+            pairs = sorted_unique(owner.astype(np.int64) << BITS | numbers)
+            ends = np.searchsorted(pairs, np.arange(1, len(texts) - row + 1, dtype=np.int64) << BITS).tolist()
+            for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                if b > a:
+                    sets[row + i] = (pairs[a:b] & ((1 << BITS) - 1)).astype("<i4").tobytes()
         yield pa.record_batch([batch.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
 
 
@@ -111,9 +112,13 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float] | None:
         seen[y, own] += 1
     total = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
     ratio = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-    ratio[np.maximum(seen[0], seen[1]) < LEAST_SEEN] = 0
-    if (order := np.argsort(-np.abs(ratio), kind="stable"))[FEATURES:].size:
-        ratio[order[FEATURES:]] = 0
+    both = seen.sum(axis=0)
+    evidence = np.zeros(1 << BITS)
+    for y in (0, 1):
+        expected = both * total[y] / total.sum()
+        evidence += 2 * seen[y] * np.log(np.maximum(seen[y], 1e-9) / np.maximum(expected, 1e-9))
+    ratio[evidence < EVIDENCE] = 0
+    ratio[np.argsort(-evidence, kind="stable")[FEATURES:]] = 0
     picked = np.flatnonzero(ratio)
     place = np.full(1 << BITS, -1)
     place[picked] = np.arange(len(picked))
@@ -121,12 +126,11 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float] | None:
     row = np.repeat(np.arange(len(rows)), [len(x) for x in own])
     column = np.concatenate(own) if own else np.zeros(0, int)
     scaled = ratio[picked][column]
-    weight, bias, balance = np.zeros(len(picked)), 0.0, np.where(labels == 1, total[0] / total[1], 1.0)
-    balance /= balance.sum()
+    weight, bias = np.zeros(len(picked)), 0.0
     step_w, step_b = np.zeros(len(picked)), 0.0
     for _ in range(EPOCHS):  # full-batch AdaGrad: deterministic
         margin = np.clip(bias + np.bincount(row, scaled * weight[column], len(rows)), -30, 30)
-        slope = balance * (1 / (1 + np.exp(-margin)) - labels)
+        slope = (1 / (1 + np.exp(-margin)) - labels) / len(rows)
         grad = np.bincount(column, scaled * slope[row], len(picked)) + L2 * weight
         step_w += grad**2
         step_b += slope.sum() ** 2
@@ -159,7 +163,7 @@ def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         for row, numbers, owner in gram_slices(batch.column(batch.num_columns - 1).to_pylist()):
             hit = weight[numbers] != 0
             # presence, not counts: each feature of a text once
-            pairs = np.unique(owner[hit].astype(np.int64) << BITS | numbers[hit])
+            pairs = sorted_unique(owner[hit].astype(np.int64) << BITS | numbers[hit])
             sums = np.bincount(pairs >> BITS, weight[pairs & ((1 << BITS) - 1)])
             margin[row : row + len(sums)] += sums
         score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))

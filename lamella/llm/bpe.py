@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterable, Iterator
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import duckdb
@@ -29,31 +31,89 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamella.llm.common import fresh, table
+from lamella.llm.textkernels import span_hashes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
 SLICE_CHARS = 2_000_000
 STEPS = 64
+#: Words in one recursive query.
+CALL_WORDS = 30_000
 MEMORY = "300MB"
 
+#: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right.
 STEP = """
-WITH RECURSIVE t(step, w, pos, id) AS (
-  SELECT 0, w, pos, id FROM state
+WITH RECURSIVE t(step, w, p, id, np, nid) AS (
+  SELECT 0, w, p, id, np, nid FROM state
   UNION ALL
-  SELECT step + 1, w, pos, CASE WHEN pos = best THEN merged ELSE id END
-  FROM (
-    SELECT step, w, pos, id, merged, before, min(CASE WHEN merged IS NOT NULL THEN (merged::BIGINT << 32) + pos END) OVER (PARTITION BY w) & 4294967295 AS best
+  SELECT step + 1, t.w, t.p, CASE WHEN t.p = best THEN merged ELSE id END, CASE WHEN t.p = best THEN x_np ELSE np END,
+    CASE WHEN t.p = best THEN x_nid WHEN np = best THEN merged ELSE nid END
+  FROM t JOIN (
+    SELECT q.w, (k & 4294967295)::INT AS best, nb, (k >> 32)::INT AS merged, x.np AS x_np, x.nid AS x_nid
     FROM (
-      SELECT n.step, n.w, n.pos, n.id, n.before, m.merged
-      FROM (SELECT step, w, pos, id, lead(id) OVER o AS after, lag(pos) OVER o AS before FROM t WINDOW o AS (PARTITION BY w ORDER BY pos)) n
-      LEFT JOIN merges m ON m.a = n.id AND m.b = n.after
-    )
-  )
-  WHERE best IS NOT NULL AND before IS DISTINCT FROM best AND step < {steps}
-)
-SELECT w, pos, id, step FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM t) WHERE step = last ORDER BY w, pos
+      SELECT w, min(k) AS k, arg_min(np, k) AS nb
+      FROM (SELECT w, np, (merged::BIGINT << 32) | p AS k FROM t JOIN merges m ON m.ab = (t.id::BIGINT << 32) | t.nid) GROUP BY w
+    ) q JOIN t x ON x.p = q.nb
+  ) q ON t.w = q.w
+  WHERE t.p <> nb AND step < {steps}
+), u AS MATERIALIZED (SELECT step, w, p, id FROM t)
+SELECT u.w, u.p, u.id, u.step FROM u JOIN (SELECT w, max(step) AS last FROM u GROUP BY w) l ON u.w = l.w AND u.step = l.last
 """
-DECODE = "SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN tokens USING (id) GROUP BY w ORDER BY w"
+#: One string for all sequences of a call, in order; it is cut where the sequences' token lengths end.
+DECODE = "SELECT string_agg(hex, '' ORDER BY p) AS hex FROM ids JOIN tokens USING (id)"
+
+
+LETTER, NUMBER, SPACE, OTHER = range(4)
+#: The split pattern that word_starts follows: contractions, then letters, numbers or others with one blank before
+#: them, then white space, whose last character goes apart where a word follows.
+KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ONE, TWO = tuple(map(ord, "stmd")), tuple(tuple(map(ord, x)) for x in ("re", "ve", "ll"))
+
+
+def character_kinds() -> np.ndarray:
+    out = np.full(sys.maxunicode + 1, OTHER, np.uint8)
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))[0]
+        if kind == "L":
+            out[c] = LETTER
+        elif kind == "N":
+            out[c] = NUMBER
+        elif kind == "Z" or 9 <= c <= 13 or c == 0x85:
+            out[c] = SPACE
+    return out
+
+
+def word_starts(codes: np.ndarray, texts: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the pattern's words begin in the code points of joined texts; texts: where each (not empty) one begins."""
+    n = len(codes)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind, blank = kinds[codes], codes == 32
+    first = np.zeros(n + 4, bool)
+    first[texts] = True
+    new = np.ones(n, bool)
+    new[1:] = (kind[1:] != kind[:-1]) | first[1:n]
+    # white space before a word: its last character is the word's own blank, or a word by itself
+    space = kind == SPACE
+    before = np.flatnonzero(space[:-1] & ~space[1:] & ~first[1:n])
+    new[before] = True
+    new[before[blank[before]] + 1] = False
+    # contractions begin where no word is open
+    at = np.flatnonzero(codes == 39)
+    open_ = ~first[at] & ((kind[at - 1] == OTHER) | blank[at - 1])
+    at = at[~open_]
+    padded = np.append(codes, np.zeros(3, codes.dtype))
+    inside = lambda k: ~first[at + k] & (at + k < n)
+    one = np.isin(padded[at + 1], ONE) & inside(1)
+    two = np.zeros(len(at), bool)
+    for a, b in TWO:
+        two |= (padded[at + 1] == a) & (padded[at + 2] == b)
+    two &= inside(1) & inside(2)
+    new[at[one | two] + 1] = False
+    ends = np.concatenate([at[one] + 2, at[two] + 3])
+    new[ends[ends < n]] = True
+    # the letter after a contraction's only letter is no word's beginning unless it was said above
+    return np.flatnonzero(new)
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -72,92 +132,139 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         self.tokens = read_ranks(path)
         self.rank = {t: i for i, t in enumerate(self.tokens) if t}
-        self.pattern = regex.compile(pattern)
-        a, b, merged = [], [], []
+        self.pattern = None if pattern == KNOWN_PATTERN else regex.compile(pattern)
+        self.kinds = character_kinds()
+        ab, merged = [], []
         for i, token in enumerate(self.tokens):
             for k in range(1, len(token)):
                 left, right = self.rank.get(token[:k]), self.rank.get(token[k:])
                 if left is not None and right is not None:
-                    a.append(left)
-                    b.append(right)
+                    ab.append(left << 32 | right)
                     merged.append(i)
         self.byte = np.array([self.rank[bytes((i,))] for i in range(256)], np.int32)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
-        self._table("merges", a=np.array(a, np.int32), b=np.array(b, np.int32), merged=np.array(merged, np.int32))
+        self._table("merges", ab=np.array(ab, np.int64), merged=np.array(merged, np.int32))
         self.db.register("given", pa.table({"id": pa.array(range(len(self.tokens)), pa.int32()), "hex": [t.hex() for t in self.tokens]}))
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
-        self.cache: dict[str, tuple[bytes, bytes]] = {}
+        self.length = np.array([len(t) for t in self.tokens], np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        """The cache: hashes in order, and for each its ids and its bytes in two flat arrays."""
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.flat = [np.zeros(0, np.uint32), np.zeros(0, np.uint8)]
+        self.ends = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
 
-    def _table(self, name: str, **columns: np.ndarray) -> None:
+    def _table(self, name: str, **columns) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, position, id) of the words' tokens, in order."""
-        length = np.array([len(x) for x in words], np.int64)
-        w = np.repeat(np.arange(len(words), dtype=np.int32), length)
-        pos = (np.arange(len(w)) - np.repeat(np.cumsum(length) - length, length)).astype(np.int32)
+        """(word, position, id) of the words' tokens; positions number the bytes of all words."""
+        w = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words])
+        p = np.arange(len(w), dtype=np.int32)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         done: list[tuple[np.ndarray, ...]] = []
         while len(w):
-            self._table("state", w=w, pos=pos, id=ids)
+            last = np.append(w[1:] != w[:-1], True)
+            self._table("state", w=w, p=p, id=ids, np=pa.array(np.append(p[1:], p[:1]), mask=last), nid=pa.array(np.append(ids[1:], ids[:1]), mask=last))
             out = self.db.execute(STEP.format(steps=STEPS)).fetchnumpy()
-            w, pos, ids = (np.asarray(out[c]) for c in ("w", "pos", "id"))
-            open_ = np.asarray(out["step"]) == STEPS
-            done.append((w[~open_], pos[~open_], ids[~open_]))
-            w, pos, ids = w[open_], pos[open_], ids[open_]
-        if len(done) == 1:
-            return done[0]
-        w, pos, ids = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.lexsort((pos, w))
-        return w[order], pos[order], ids[order]
-
-    def decode(self, w: np.ndarray, pos: np.ndarray, ids: np.ndarray) -> list[bytes]:
-        """The bytes of each sequence (w from 0, all present)."""
-        self._table("ids", w=w.astype(np.int32), pos=pos.astype(np.int32), id=ids.astype(np.int32))
-        return [bytes(x) for x in self.db.execute(DECODE).fetchnumpy()["bytes"]]
-
-    def learn(self, words: Iterable[str]) -> None:
-        """Puts words into the cache."""
-        names = list(words)
-        if not names:
-            return
-        raw = [x.encode() for x in names]
-        whole = [self.rank.get(x, -1) for x in raw]
-        split = [i for i, r in enumerate(whole) if r < 0]
-        w, pos, ids = self.contract([raw[i] for i in split]) if split else (np.zeros(0, np.int32),) * 3
-        single = np.array([i for i, r in enumerate(whole) if r >= 0], np.int32)
-        w = np.concatenate([np.array(split, np.int32)[w] if split else w, single])
-        pos = np.concatenate([pos, np.zeros(len(single), np.int32)])
-        ids = np.concatenate([ids, np.array([r for r in whole if r >= 0], np.int32)])
-        order = np.lexsort((pos, w))
-        w, pos, ids = w[order], pos[order], ids[order]
-        ends = np.searchsorted(w, np.arange(1, len(names) + 1)).tolist()
-        packed, start = ids.astype("<u4").tobytes(), 0
-        for name, end, text in zip(names, ends, self.decode(w, pos, ids), strict=True):
-            self.cache[name] = (packed[4 * start : 4 * end], text)
-            start = end
+            order = np.argsort(np.asarray(out["p"]))
+            w, p, ids, step = (np.asarray(out[c])[order] for c in ("w", "p", "id", "step"))
+            open_ = step == STEPS
+            done.append((w[~open_], p[~open_], ids[~open_]))
+            w, p, ids = w[open_], p[open_], ids[open_]
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int32),) * 3
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each sequence; ends are where the sequences end in ids."""
+        if not len(ids):
+            return [b""] * len(ends)
+        self._table("ids", p=np.arange(len(ids)), id=ids.astype(np.int32))
+        data = bytes.fromhex(self.db.execute(DECODE).fetchall()[0][0])
+        at = np.append(0, np.cumsum(self.length[ids]))[np.append(0, ends)].tolist()
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def learn(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        """Puts words into the cache; keys are their hashes."""
+        whole = np.fromiter((self.rank.get(x, -1) for x in raw), np.int64, len(raw))
+        split = np.flatnonzero(whole < 0)
+        w, p, ids = self.contract([raw[i] for i in split])
+        single = np.flatnonzero(whole >= 0)
+        w, ids = np.concatenate([split[w], single]), np.concatenate([ids, whole[single]])
+        order = np.argsort(w, kind="stable")  # positions already ascend inside each word
+        w, ids = w[order], ids[order]
+        ends = np.searchsorted(w, np.arange(1, len(raw) + 1))
+        texts = self.decode(ids, ends)
+        made = [ids.astype(np.uint32), np.frombuffer(b"".join(texts), np.uint8)]
+        for i, lengths in enumerate((np.diff(ends, prepend=0), np.array([len(x) for x in texts], np.int64))):
+            self.flat[i] = np.concatenate([self.flat[i], made[i]])
+            self.ends[i] = np.concatenate([self.ends[i], self.ends[i][-1] + np.cumsum(lengths)])
+        slot = np.concatenate([self.slot, len(self.slot) + np.arange(len(raw))])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slot = keys[order], slot[order]
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the cache has each key."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+
+    def _gather(self, i: int, slot: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The ids (0) or bytes (1) of words one after another, and where each word's end."""
+        start, length = self.ends[i][slot], self.ends[i][slot + 1] - self.ends[i][slot]
+        ends = np.cumsum(length)
+        return self.flat[i][np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)].tobytes(), ends
+
+    def _starts(self, joined: str, codes: np.ndarray, texts: list[str], begin: np.ndarray) -> np.ndarray:
+        if self.pattern is None:
+            return word_starts(codes, begin[np.array([len(t) > 0 for t in texts], bool)], self.kinds)
+        return np.array([b + m.start() for b, t in zip(begin.tolist(), texts, strict=True) for m in self.pattern.finditer(t)], np.int64)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, the bytes they decode to) of each text."""
         row = 0
         while row < len(texts):
-            split, size = [], 0
-            while row < len(texts) and (not split or size < SLICE_CHARS):
-                text = texts[row] or ""
-                split.append(self.pattern.findall(text))
-                size += len(text)
-                row += 1
-            fresh_ = set().union(*split).difference(self.cache)
-            if len(self.cache) + len(fresh_) > CACHE_WORDS:
-                self.cache.clear()
-                fresh_ = set().union(*split)
-            self.learn(fresh_)
-            get = self.cache.__getitem__
-            for words in split:
-                found = list(map(get, words))
-                yield b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            end, size = row, 0
+            while end < len(texts) and (end == row or size < SLICE_CHARS):
+                size += len(texts[end] or "")
+                end += 1
+            part = [t or "" for t in texts[row:end]]
+            yield from self._slice(part)
+            row = end
+
+    def _slice(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(lengths) - lengths
+        starts = self._starts(joined, codes, texts, begin)
+        stops = np.append(starts[1:], len(codes)) if len(starts) else starts
+        keys = span_hashes(codes, starts, stops)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.append(True, ordered[1:] != ordered[:-1]) if len(ordered) else np.zeros(0, bool)
+        distinct, example = ordered[new], order[new]
+        missing = ~self._find(distinct)
+        if len(self.keys) + int(missing.sum()) > CACHE_WORDS:
+            self.clear()
+            missing[:] = True
+        todo, where = distinct[missing], example[missing]
+        for k in range(0, len(todo), CALL_WORDS):
+            own = where[k : k + CALL_WORDS]
+            self.learn(todo[k : k + CALL_WORDS], [joined[a:b].encode() for a, b in zip(starts[own].tolist(), stops[own].tolist(), strict=True)])
+        slot = np.empty(len(keys), np.int64)
+        slot[order] = self.slot[np.searchsorted(self.keys, distinct)][np.cumsum(new) - 1] if len(keys) else 0
+        upto = np.append(0, np.searchsorted(starts, np.append(begin[1:], len(codes)))).tolist()
+        (ids, id_ends), (data, data_ends) = self._gather(0, slot), self._gather(1, slot)
+        id_ends, data_ends = np.append(0, id_ends) * 4, np.append(0, data_ends)
+        for text, a, b in zip(texts, upto[:-1], upto[1:], strict=True):
+            out = ids[id_ends[a] : id_ends[b]], data[data_ends[a] : data_ends[b]]
+            if out[1] != text.encode():
+                raise ValueError("two words share a hash, or the pattern leaves characters out")
+            yield out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -201,13 +308,8 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iter
         for start in range(0, len(batch), 64):
             part = batch.slice(start, 64)
             lists = [x or [] for x in part.column(part.num_columns - 1).to_pylist()]
-            full = [i for i, x in enumerate(lists) if x]
-            texts = [""] * len(lists)
-            if full:
-                w = np.repeat(np.arange(len(full)), [len(lists[i]) for i in full])
-                pos = np.concatenate([np.arange(len(lists[i])) for i in full])
-                for i, data in zip(full, own.decode(w, pos, np.concatenate([lists[i] for i in full])), strict=True):
-                    texts[i] = data.decode("utf-8", "replace")
+            ids = np.array([i for x in lists for i in x], np.int64)
+            texts = [data.decode("utf-8", "replace") for data in own.decode(ids, np.cumsum([len(x) for x in lists]))]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*part.schema.names[:-1], "text"])
 
 

@@ -88,6 +88,14 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return mix64(hashes + (end - begin).astype(np.uint64) * _PLACE[15]), np.searchsorted(begin, starts)
 
 
+def span_hashes(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of code points."""
+    power, inverse = _power_tables(len(codes))
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum(mix64(codes.astype(np.uint64) + _PLACE[14]) * power[: len(codes)], out=total[1:])
+    return mix64((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64) * _PLACE[15])
+
+
 def shingle_sets(data: np.ndarray, starts: np.ndarray, width: int = 5) -> Iterator[np.ndarray]:
     """For each row the sorted distinct 64-bit hashes of its word shingles; a shorter text is one shingle, no word none."""
     words, at = word_hashes(data, starts)

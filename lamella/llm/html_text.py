@@ -177,6 +177,10 @@ PAGES: tuple[tuple[str, str], ...] = (
     (f"<div role='navigation'>Menu of things</div><article><h2>{SHORT}</h2><blockquote>{LONG}</blockquote><pre>x = 1</pre><table><tr><td>Cell</td><td>{LONG}</td></tr></table></article><div class='newsletter'>Join us today</div><footer><p>{LONG}</p></footer>", "01111100"),
     (f"<div>{SHORT}</div><div>{LINK}</div><div>{LINK}</div><div>Home</div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div>{LINK}</div>", "00001110"),
     (f"<article><p>{LINK}</p><ul><li>{LINK}</li><li>{SHORT}</li></ul><h3>Two</h3></article><p>{LONG}</p><div class='related'>{LINK}{LONG}</div>", "111100"),
+    (f"<article><h1>{LONG}</h1><p>{LONG} {LONG} {LONG}</p><p>{SHORT}</p><p>{LONG} {LONG}</p><p>{LONG} {LONG} {LONG}</p><p>{LONG}</p><p>Be.</p><p>{LONG} {LONG}</p><p>{LONG} {LONG} {LONG} {LONG}</p><p>{SHORT}</p></article><footer>{SHORT}</footer>", "11111111110"),
+    (f"<article><p>{LONG} {LONG}</p><div class='ad'>{SHORT}</div><p>{LONG} {LONG}</p><nav>{LINK} {SHORT}</nav><p>{LONG}</p><div class='advert'>{LONG} {LONG}</div><p>{SHORT}</p><div class='notice'>{LONG}</div><p>{LONG}</p><aside>{SHORT}</aside><p>{LONG}</p><form>{LONG}</form><p>{LONG}</p><footer>{LONG}</footer></article>", "10101010101010"),
+    (f"<article><p>{LONG} {LONG}</p><p>{SHORT}</p><div class='comment'>{SHORT}</div><div class='comment'>{LONG} {LONG}</div></article><div class='comments'><p>{LONG} {LONG}</p></div>", "11000"),
+    (f"<article><p>{LONG} {LONG}</p><aside>{LONG}</aside><aside>{LONG} {LONG}</aside><p>{LONG} {LONG}</p><div class='cookie'>{SHORT}</div><nav>{LONG}</nav><form>{SHORT}</form><p>{LONG}</p></article>", "10010001"),
     (f"<main><p>One.</p></main><div>{SHORT}</div><p>{LONG}</p><dialog>{LONG}</dialog>", "1000"),
 )
 

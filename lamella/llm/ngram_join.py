@@ -4,9 +4,13 @@
 2. Shingles get one global order, rare first: counts over all documents fall into a table of fixed size, whose
    doubling steps order the shingles. Two sets of similarity ``t`` share one of their first ``n - ceil(t * n) + 1``
    shingles, whatever the order; the counts only keep the lists short.
-3. Each shingle's list has a hub, its smallest class. The members of a hub make a block; blocks are dealt out in
-   tiles of ``TILE`` classes with the hub in each. In a tile the product of the incidence matrix with its transpose
-   accumulates overlaps; pairs below the bound from their sizes go; a spanning forest of the rest comes out.
+3. Each shingle's list has a hub, its smallest class; the members of a hub make a block. First go the members that
+   link with none of their block: each set has a bitmap of the parities of its shingles' buckets, and two bitmaps
+   differ in no more bits than the sets in shingles, so pairs whose bitmaps differ in more than their sizes allow
+   are no links. Only what stays needs its whole set.
+   Blocks are then dealt out in tiles of ``TILE`` classes with the hub in each. In a tile the product of the
+   incidence matrix with its transpose accumulates overlaps; pairs below the bound from their sizes go; a spanning
+   forest of the rest comes out.
 4. Links become components by contraction. In blocks of several tiles with several components left, the classes
    outside the block's largest component are multiplied with all tiles of fitting sizes. So no link between
    different components is lost, and pairs inside a component are never written.
@@ -29,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamella.llm.common import cut, fresh, shuffle_partitions, table
-from lamella.llm.textkernels import mix64, shingle_sets, text_slices
+from lamella.llm.textkernels import shingle_sets, text_slices
 
 PERCENT = 80
 WIDTH = 5
@@ -38,6 +42,11 @@ TILE = 128
 COUNTERS_LOG2 = 22
 #: Lists that the counts put above this are dealt out so that one list can be split over tasks.
 HOT_LIST = 1 << 17
+#: Classes in a tile of the bitmap filter; blocks of more than SIEVE_PARTS such tiles go on unfiltered.
+SIEVE_TILE = 512
+SIEVE_PARTS = 16
+#: Up to so many classes that need their whole sets are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 250_000
 #: Columns of the dense part of a tile's product.
 SLAB = 4096
 NO_ID = 2**63 - 1
@@ -52,27 +61,83 @@ def set_id(own: np.ndarray) -> int:
     return int.from_bytes(digest(own)[:8], "little", signed=True)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each of 2n buckets or more (a power of two): whether an odd number of shingles falls into it."""
+    buckets = max(64, 1 << (2 * len(own) - 1).bit_length())
+    return np.packbits(np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).tobytes()
+
+
+def near(bits: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """For each set of a unit whether its bitmap allows a link with another one."""
+    found = np.zeros(len(bits), bool)
+    length = np.array([len(b) for b in bits])
+    for width in np.unique(length).tolist():
+        own = np.flatnonzero(length == width)
+        mine = np.stack([bits[i] for i in own])
+        for other in (own, np.flatnonzero(length == 2 * width)):
+            if not len(other):
+                continue
+            # the wider bitmap folds onto the narrower one
+            theirs = mine if other is own else np.stack([bits[j][:width] ^ bits[j][width:] for j in other])
+            for k, i in enumerate(own.tolist()):
+                differ = np.bitwise_count(theirs.view(np.uint64) ^ mine[k].view(np.uint64)).sum(axis=1, dtype=np.int64)
+                # intersection >= percent / (100 + percent) of both sizes
+                hit = (100 + percent) * differ <= (100 - percent) * (sizes[other] + sizes[i])
+                if other is own:
+                    hit[k] = False
+                if hit.any():
+                    found[i] = True
+                    found[other[hit]] = True
+    return found
+
+
+def _sieve(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(hub, set_id) of the members that may link; the rows come sorted by unit."""
+    unit: str | None = None
+    hub = 0
+    members: dict[int, tuple[int, np.ndarray]] = {}
+
+    def done() -> list[tuple[int, int]]:
+        if len(members) < 2:
+            return []
+        stay = near([b for _, b in members.values()], np.array([n for n, _ in members.values()]), percent)
+        return [(hub, i) for i, s in zip(members, stay.tolist(), strict=True) if s]
+
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        for key, block, i, n, packed in zip(batch.column("unit").to_pylist(), batch.column("hub").to_pylist(), batch.column("set_id").to_pylist(), batch.column("n").to_pylist(), batch.column("bits"), strict=True):
+            if key != unit:
+                out += done()
+                unit, hub, members = key, block, {}
+            members[i] = (n, np.frombuffer(packed.as_buffer(), np.uint8))
+        if out:
+            yield _edges(out)
+    if last := done():
+        yield _edges(last)
+
+
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (id, n, set id), then this task's shingle counts in pieces."""
+    """A row for each document (id, n, set id, bitmap), then this task's shingle counts in pieces."""
     counts = np.zeros(1 << COUNTERS_LOG2, np.uint32)
-    names = ["rid", "n", "set_id", "piece", "counts"]
+    names = ["rid", "n", "set_id", "bits", "piece", "counts"]
     for batch in batches:
-        sizes, ids, pending = [], [], []
+        sizes, ids, bits, pending = [], [], [], []
         for _, data, starts in text_slices(batch.column(1)):
             for own in shingle_sets(data, starts, width):
                 sizes.append(len(own))
                 ids.append(set_id(own) if len(own) else 0)
+                bits.append(parities(own) if len(own) else b"")
                 pending.append(own)
             flat = np.concatenate(pending) if pending else np.zeros(0, np.uint64)
             pending = []
             np.add.at(counts, (flat >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), np.uint32(1))
         k = len(sizes)
-        yield pa.record_batch([batch.column(0).fill_null(NO_ID), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        yield pa.record_batch([batch.column(0).fill_null(NO_ID), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     used = [i for i in range(len(counts) // _CHUNK) if counts[i * _CHUNK : (i + 1) * _CHUNK].any()]
     if used:
         packed = [zlib.compress(counts[i * _CHUNK : (i + 1) * _CHUNK].tobytes(), 1) for i in used]
         k = len(used)
-        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
 
 def _add_counts(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,26 +159,26 @@ def _levels(totals: dict[int, np.ndarray]) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, levels, hot_level: int) -> Iterator[pa.RecordBatch]:
+    """Each class's first shingles, once a task: those of short lists, and those of lists that may be very long."""
     level = levels.value
+    met: set[int] = set()
     for batch in batches:
         ids, tokens, hot = [], [], []
-        for _, data, starts in text_slices(batch.column(1)):
+        for _, data, starts in text_slices(batch.column(0)):
             for own in shingle_sets(data, starts, width):
                 n = len(own)
-                if not n:
-                    ids.append(0)
-                    tokens.append(own.view(np.int64))
-                    hot.append(own.view(np.int64))
+                if not n or (name := set_id(own)) in met:
                     continue
+                met.add(name)
                 k = n - -(-percent * n // 100) + 1
                 step = level[(own >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64)].astype(np.uint64)
                 order = (step << np.uint64(56)) | (own >> np.uint64(8))
                 picked = np.argpartition(order, k - 1)[:k] if k < n else np.arange(n)
-                ids.append(set_id(own))
+                ids.append(name)
                 far = step[picked] >= hot_level
                 tokens.append(own[picked][~far].view(np.int64))
                 hot.append(own[picked][far].view(np.int64))
-        yield pa.record_batch([batch.column(0).fill_null(NO_ID), pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], ["rid", "set_id", "tokens", "hot"])
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(hot, pa.list_(pa.int64()))], ["set_id", "tokens", "hot"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -244,7 +309,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For each row of documents: its id, the size of its set and the least id of its component."""
     spark = documents.sparkSession
     docs = documents.select(documents[id_col].cast("long").alias("rid"), documents[text_col].cast("string").alias("text"))
-    seen = cut(docs.mapInArrow(partial(_profile, width=width), "rid long, n long, set_id long, piece int, counts binary"))
+    seen = cut(docs.mapInArrow(partial(_profile, width=width), "rid long, n long, set_id long, bits binary, piece int, counts binary"))
     base = seen.where("piece IS NULL").select("rid", "n", "set_id")
     summed = seen.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary")
     # 64 rows of 64 thousand counters, however large the corpus
@@ -252,9 +317,8 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot_level = max(1, int(np.ceil(np.log2(max(2.0, hot_list / floor)))))
     levels = spark.sparkContext.broadcast(level)
 
-    classes = base.where("n > 0").groupBy("set_id", "n").agg(F.min("rid").alias("rep"))
-    prefixes = docs.mapInArrow(partial(_prefixes, width=width, percent=percent, levels=levels, hot_level=hot_level), "rid long, set_id long, tokens array<long>, hot array<long>")
-    own = prefixes.join(classes.select(F.col("rep").alias("rid"), "set_id").hint("merge"), ["rid", "set_id"], "left_semi")
+    classes = cut(seen.where("n > 0").groupBy("set_id", "n").agg(F.min("rid").alias("rep"), F.first("bits").alias("bits")))
+    own = docs.select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, levels=levels, hot_level=hot_level), "set_id long, tokens array<long>, hot array<long>")
     listed = own.select("set_id", F.explode("tokens").alias("token"))
     order = Window.partitionBy("token").orderBy("set_id")
     pairs = listed.withColumn("hub", F.first("set_id").over(order)).where("hub <> set_id").select("hub", "set_id")
@@ -262,26 +326,26 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         far = own.select("set_id", F.explode("hot").alias("token"))
         hubs = far.groupBy("token").agg(F.min("set_id").alias("hub"))
         pairs = pairs.union(far.join(hubs.hint("merge"), "token").where("hub <> set_id").select("hub", "set_id"))
-    # a hub's own row comes from its block; members are distinct
-    blocks = cut(pairs.distinct())
+    blocks = _sieved(cut(pairs.distinct()), classes, percent)
 
-    lengths = blocks.groupBy("hub").agg((F.count("*") + 1).alias("size"))
     parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-    sized = cut(lengths.select("hub", "size", parts.alias("parts")))
-    wanted = blocks.select("set_id").union(sized.select(F.col("hub").alias("set_id"))).distinct()
-    reps = classes.join(wanted.hint("merge"), "set_id", "left_semi").select(F.col("rep").alias("rid"), "set_id")
-    sets = cut(docs.join(reps.hint("merge"), "rid").select("rid", "text", "set_id").mapInArrow(partial(_whole_sets, width=width), "set_id long, hashes binary").dropDuplicates(["set_id"]))
+    sized = cut(blocks.groupBy("hub").agg(F.count("*").alias("size")).select("hub", "size", parts.alias("parts")))
+    wanted = classes.join(blocks.select("set_id").distinct().hint("merge"), "set_id", "left_semi")
+    reps = cut(wanted.select(F.col("rep").alias("rid"), "set_id"))
+    reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps.hint("merge")
+    sets = cut(docs.join(reps, "rid").select("rid", "text", "set_id").mapInArrow(partial(_whole_sets, width=width), "set_id long, hashes binary"))
 
     share = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
-    dealt = blocks.join(sized.hint("merge"), "hub").select("hub", "set_id", "parts", share.alias("part"))
+    dealt = blocks.join(sized.hint("merge"), "hub")
     unit = lambda *of: F.concat_ws(":", *of)
-    first = dealt.select("set_id", unit("hub", "part").alias("unit"))
-    first = first.union(sized.select(F.col("hub").alias("set_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "hub").select("set_id", unit("hub", "part").alias("unit")))
+    first = dealt.where("set_id <> hub").select("set_id", unit("hub", share).alias("unit"))
+    hub_rows = dealt.where("set_id = hub").select("hub", "set_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    first = first.union(hub_rows.select("set_id", unit("hub", "part").alias("unit")))
     found = cut(_multiply(first, sets, percent, grouped=False))
 
     large = sized.where("parts > 1")
     if not large.isEmpty():
-        found = cut(found.union(_rest(large, blocks, base, found, sets, percent, tile)))
+        found = cut(found.union(_rest(large, blocks, classes, found, sets, percent, tile)))
     roots = connected_components(found)
     classed = classes.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
     classed = classed.select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
@@ -292,13 +356,31 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.select(known("rid").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, known("least")).otherwise(known("rid")).alias("component_id"))
 
 
-def _rest(large: DataFrame, blocks: DataFrame, base: DataFrame, found: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(hub, set_id), the hub's own row included: the members of blocks that may link with another of their block."""
+    members = pairs.union(pairs.select("hub", F.col("hub").alias("set_id")).distinct())
+    parts = F.ceil(F.count("*") / F.lit(SIEVE_TILE)).cast("int")
+    members = members.join(members.groupBy("hub").agg(parts.alias("parts")).hint("merge"), "hub")
+    members = members.join(classes.select("set_id", "n", "bits").hint("merge"), "set_id")
+    part = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
+    # a tile meets every tile of its block, itself included
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = members.where(F.col("parts") <= SIEVE_PARTS).withColumn("part", part).withColumn("other", other)
+    unit = F.concat_ws(":", "hub", F.least("part", "other"), F.greatest("part", "other"))
+    dealt = dealt.select(unit.alias("unit"), "hub", "set_id", "n", "bits")
+    count = max(shuffle_partitions(pairs.sparkSession), 12)
+    dealt = dealt.repartition(count, "unit").sortWithinPartitions("unit")
+    stay = dealt.mapInArrow(partial(_sieve, percent=percent), "u long, v long").select(F.col("u").alias("hub"), F.col("v").alias("set_id"))
+    large = members.where(F.col("parts") > SIEVE_PARTS).select("hub", "set_id")
+    return cut(stay.union(large).distinct())
+
+
+def _rest(large: DataFrame, blocks: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
     """Links between different components of blocks that were dealt out in several tiles."""
     roots = connected_components(found).select(F.col("node").alias("set_id"), "root")
     hubs = large.select("hub")
-    members = blocks.join(hubs.hint("merge"), "hub", "left_semi").union(hubs.select("hub", F.col("hub").alias("set_id")))
-    sizes = base.where("n > 0").groupBy("set_id").agg(F.first("n").alias("n"))
-    members = members.join(roots.hint("merge"), "set_id", "left").join(sizes.hint("merge"), "set_id")
+    members = blocks.join(hubs.hint("merge"), "hub", "left_semi")
+    members = members.join(roots.hint("merge"), "set_id", "left").join(classes.select("set_id", "n").hint("merge"), "set_id")
     # sets whose sizes lie two steps apart can't be similar enough
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
     members = cut(members.select("hub", "set_id", F.coalesce("root", "set_id").alias("grp"), step.alias("step")))

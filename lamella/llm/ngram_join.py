@@ -62,8 +62,8 @@ def set_id(own: np.ndarray) -> int:
 
 
 def parities(own: np.ndarray) -> bytes:
-    """A bit for each of 2n buckets or more (a power of two): whether an odd number of shingles falls into it."""
-    buckets = max(64, 1 << (2 * len(own) - 1).bit_length())
+    """A bit for each of n buckets or more (a power of two): whether an odd number of shingles falls into it."""
+    buckets = max(64, 1 << (len(own) - 1).bit_length())
     return np.packbits(np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).tobytes()
 
 
@@ -145,16 +145,15 @@ def _add_counts(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
     for batch in group:
         for packed in batch.column("counts"):
             total += np.frombuffer(zlib.decompress(packed.as_py()), np.uint32)
-    # the powers of two above eight times the mean stay apart; what lies below is one class of rare shingles
     yield pa.record_batch([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["piece", "counts"])
 
 
-def _levels(totals: dict[int, np.ndarray]) -> np.ndarray:
-    """The doubling step of each counter, 0 for all near the mean: one byte each."""
+def _levels(totals: dict[int, np.ndarray]) -> tuple[np.ndarray, float]:
+    """The doubling step of each counter, 0 for all that chance may have put there, and where the steps begin."""
     whole = np.zeros(1 << COUNTERS_LOG2, np.uint64)
     for piece, own in totals.items():
         whole[piece * _CHUNK : (piece + 1) * _CHUNK] = own
-    floor = max(16.0, 8.0 * whole.mean())
+    floor = whole.mean() + 4 * np.sqrt(whole.mean()) + 4
     return np.ceil(np.log2(np.maximum(whole.astype(np.float64) / floor, 1.0))).astype(np.uint8), floor
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition
+from lamella.operators import composition, counts, linkage, particles, ranks
 
-_MODULES = (composition,)
+_MODULES = (composition, linkage, ranks, counts, particles)
 
 
 def queries() -> dict:

@@ -2,7 +2,7 @@
 
 The vocabulary is the ``VOCABULARY`` words that most documents' texts use most often; every other word is one unknown
 word. Both models count unigrams and bigrams of the same words in the same way: the target over the documents that
-```targets`` names, the background over all documents, scaled to the target's number of tokens, so that smoothing
+``targets`` names, the background over all documents, scaled to the target's number of tokens, so that smoothing
 weighs alike in both ("matched"). Bigram counts fall into tables of fixed size by hash. A document's score is the
 mean over its words of target loss less background loss, in nats: the lower, the nearer to the target.
 
@@ -34,6 +34,8 @@ MIX, ADD = 0.6, 0.1
 _CHUNK = 1 << 16
 #: Words that a task holds before it hands on their counts.
 HELD = 2_000_000
+#: Bits of the sieve of target ids, in powers of two: 8 MB, whatever the corpus.
+SIEVE_LOG2 = 26
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,34 +74,31 @@ def bigram_slots(ids: np.ndarray) -> np.ndarray:
     return (mix64((ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64)) >> np.uint64(64 - BIGRAMS_LOG2)).astype(np.int64)
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], vocabulary) -> Iterator[pa.RecordBatch]:
-    """Pieces of this task's counts: unigrams first, then bigrams, of the background (0) and the target (1)."""
+def _sieve(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash is marked, without it: all target documents and a few others."""
+    marked = bits.value
+    for batch in batches:
+        at = batch.column(2).to_numpy().astype(np.int64)
+        yield batch.select([0, 1]).filter(pa.array((marked[at >> 3] >> (at & 7)) & 1 == 1))
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch], vocabulary, side: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of this task's counts: unigrams first, then bigrams."""
     known = vocabulary.value
-    single = np.zeros((2, VOCABULARY + 1), np.uint32)
-    pair = np.zeros((2, 1 << BIGRAMS_LOG2), np.uint32)
+    single = np.zeros(VOCABULARY + 1, np.uint32)
+    pair = np.zeros(1 << BIGRAMS_LOG2, np.uint32)
     for batch in batches:
-        marks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for row, data, starts in text_slices(batch.column(0)):
+        for _, data, starts in text_slices(batch.column(0)):
             words, at = word_hashes(data, starts)
             ids = numbers(words, known)
             owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            hit = marks[row + owner]
-            inside = owner[1:] == owner[:-1]
-            slots = bigram_slots(ids)
-            single[0] += np.bincount(ids, minlength=VOCABULARY + 1).astype(np.uint32)
-            single[1] += np.bincount(ids[hit], minlength=VOCABULARY + 1).astype(np.uint32)
-            np.add.at(pair[0], slots[inside], np.uint32(1))
-            np.add.at(pair[1], slots[inside & hit[1:]], np.uint32(1))
-    sides, pieces, packed = [], [], []
-    for side in (0, 1):
-        flat = np.concatenate([np.pad(single[side], (0, _CHUNK - 1)), pair[side]])
-        for piece in range(len(flat) // _CHUNK):
-            own = flat[piece * _CHUNK : (piece + 1) * _CHUNK]
-            if own.any():
-                sides.append(side)
-                pieces.append(piece)
-                packed.append(zlib.compress(own.tobytes(), 1))
-    yield pa.record_batch([pa.array(sides, pa.int32()), pa.array(pieces, pa.int32()), pa.array(packed, pa.binary())], ["side", "piece", "counts"])
+            single += np.bincount(ids, minlength=VOCABULARY + 1).astype(np.uint32)
+            np.add.at(pair, bigram_slots(ids)[owner[1:] == owner[:-1]], np.uint32(1))
+    flat = np.concatenate([np.pad(single, (0, _CHUNK - 1)), pair])
+    own = {piece: flat[piece * _CHUNK : (piece + 1) * _CHUNK] for piece in range(len(flat) // _CHUNK)}
+    own = {piece: counts for piece, counts in own.items() if counts.any()}
+    packed = [zlib.compress(counts.tobytes(), 1) for counts in own.values()]
+    yield pa.record_batch([pa.array([side] * len(own), pa.int32()), pa.array(list(own), pa.int32()), pa.array(packed, pa.binary())], ["side", "piece", "counts"])
 
 
 def _add(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,17 +149,31 @@ def _scores(batches: Iterator[pa.RecordBatch], models) -> Iterator[pa.RecordBatc
         yield pa.record_batch([batch.column(0), pa.array(n), *mean], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
+def target_texts(rows: DataFrame, targets: DataFrame) -> DataFrame:
+    """The texts of rows (doc_id, text) whose id is in targets (id). The ids' hashes mark a bitmap of fixed size, which
+    holds back most other texts before rows and ids are joined; the join makes it exact."""
+    marks = targets.select(F.col("id").cast(rows.schema["doc_id"].dataType).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - SIEVE_LOG2)
+    buckets = marks.select(place.alias("at")).groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit((1 << 15) - 1))).alias("bits"))
+    bits = np.zeros(1 << (SIEVE_LOG2 - 3), np.uint8)
+    for r in buckets.toLocalIterator():
+        bits[r["bucket"] << 12 : (r["bucket"] + 1) << 12] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string"
+    near = rows.select("doc_id", "text", place.alias("at")).mapInArrow(partial(_sieve, bits=rows.sparkSession.sparkContext.broadcast(bits)), schema)
+    return near.join(marks.hint("merge"), "doc_id", "left_semi").select("text")
+
+
 def score(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score); targets has the ids of the target corpus (column id)."""
     spark = documents.sparkSession
     rows = documents.select(documents[id_col].alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    marks = targets.select(F.col("id").alias("doc_id"), F.lit(True).alias("target")).distinct()
-    texts = rows.join(marks, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counted = rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).select("word").toPandas()["word"]
     vocabulary = np.sort(top.to_numpy(np.int64).view(np.uint64))
     known = spark.sparkContext.broadcast(vocabulary)
-    pieces = texts.mapInArrow(partial(_pair_counts, vocabulary=known), "side int, piece int, counts binary")
+    schema = "side int, piece int, counts binary"
+    pieces = rows.select("text").mapInArrow(partial(_pair_counts, vocabulary=known, side=0), schema)
+    pieces = pieces.unionAll(target_texts(rows, targets).mapInArrow(partial(_pair_counts, vocabulary=known, side=1), schema))
     summed = pieces.groupBy("side", "piece").applyInArrow(_add, "side int, piece int, counts binary")
     flat = np.zeros((2, 2 * _CHUNK + (1 << BIGRAMS_LOG2)), np.uint64)
     for r in summed.toLocalIterator():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition, counts, linkage, particles, ranks
+from lamella.operators import composition, counts, inference, linkage, particles, ranks
 
-_MODULES = (composition, linkage, ranks, counts, particles)
+_MODULES = (composition, linkage, ranks, counts, particles, inference)
 
 
 def queries() -> dict:

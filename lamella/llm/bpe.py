@@ -35,10 +35,10 @@ from lamella.llm.textkernels import span_hashes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 2_000_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 500_000
 STEPS = 64
 #: Words in one recursive query.
-CALL_WORDS = 30_000
+CALL_WORDS = 8_000
 MEMORY = "300MB"
 
 #: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right.

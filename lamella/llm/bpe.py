@@ -34,7 +34,7 @@ from lamella.llm.common import fresh, table
 from lamella.llm.textkernels import span_hashes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 300_000
 SLICE_CHARS = 500_000
 STEPS = 64
 #: Words in one recursive query.

@@ -199,15 +199,18 @@ def _unit_difference(s, d):
     return lines.groupBy("l_suppkey").agg((mean("F") - mean("O")).alias("d")).where("d IS NOT NULL")
 
 
-_ODD = F.col("o_custkey") % 2 == 1
+def _odd() -> Column:
+    return F.col("o_custkey") % 2 == 1
+
+
 QUERIES = {
     "normal_score": lambda s, d: normal_score(_few(s, d), ["o_orderpriority"], "o_totalprice").select("o_orderkey", "score"),
     "method_contrasts": lambda s, d: method_contrasts(_lines(s, d, "l_suppkey", "l_returnflag", "l_extendedprice"), "l_suppkey", "l_returnflag", "l_extendedprice"),
     "variance_components": lambda s, d: variance_components(_lines(s, d, "l_returnflag", "l_linenumber", "l_extendedprice"), "l_returnflag", "l_linenumber", "l_extendedprice"),
     "log_profile": lambda s, d: log_profile(_few(s, d), "o_custkey", "o_orderpriority", "o_totalprice", 5),
     "two_term_fit": lambda s, d: two_term_fit(_lines(s, d, "l_returnflag", "l_extendedprice", "l_quantity", "l_discount"), "l_returnflag", "l_extendedprice", "l_quantity", "l_discount"),
-    "welch_t": lambda s, d: welch(_few(s, d), "o_orderpriority", _ODD, "o_totalprice"),
-    "rank_sum": lambda s, d: rank_sum(_few(s, d), "o_orderpriority", _ODD, "o_totalprice"),
+    "welch_t": lambda s, d: welch(_few(s, d), "o_orderpriority", _odd(), "o_totalprice"),
+    "rank_sum": lambda s, d: rank_sum(_few(s, d), "o_orderpriority", _odd(), "o_totalprice"),
     "cluster_bootstrap": lambda s, d: bootstrap_mean(_few(s, d), "o_custkey", "o_totalprice"),
     "sign_flip_test": lambda s, d: sign_flips(_unit_difference(s, d), "l_suppkey", "d"),
     "fold_error": lambda s, d: fold_error(_lines(s, d, (F.col("l_orderkey") % 5).alias("fold"), "l_quantity", "l_extendedprice"), "fold", "l_quantity", "l_extendedprice"),

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from lamella.operators import composition, counts, inference, linkage, particles, ranks
+from lamella.streaming import windows
 
-_MODULES = (composition, linkage, ranks, counts, particles, inference)
+_MODULES = (composition, linkage, ranks, counts, particles, inference, windows)
 
 
 def queries() -> dict:

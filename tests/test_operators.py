@@ -56,3 +56,15 @@ def test_icc_needs_two_groups_with_several_rows(spark):
     got = {r.f: r.icc for r in counts.icc_oneway(rows, "f", "g", "v").collect()}
     assert got["g"] is None
     assert 0.98 < got["f"] < 1
+
+
+def test_normal_scores(spark):
+    from statistics import NormalDist
+
+    from lamella.operators import inference
+
+    rows = spark.createDataFrame([("g", float(v)) for v in (3, 1, 2, 2)] + [("g", None)], "g string, v double")
+    got = sorted((r.v, r.score) for r in inference.normal_score(rows, ["g"], "v").collect() if r.v is not None)
+    want = [NormalDist().inv_cdf((r - 0.375) / 4.25) for r in (1, 2.5, 2.5, 4)]
+    assert all(abs(s - w) < 1e-5 for (_, s), w in zip(got, want, strict=True))
+    assert [r.score for r in inference.normal_score(rows, ["g"], "v").where("v IS NULL").collect()] == [None]

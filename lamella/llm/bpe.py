@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import fresh, table
+from lamella.llm.common import fresh, released, table
 from lamella.llm.textkernels import span_hashes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -319,7 +319,7 @@ def _with(df: DataFrame, source: str, work, name: str, kind: str) -> DataFrame:
     names = [f"c{i}" for i in range(len(df.columns))]
     rows = df.withColumn(fresh(df, "_source"), df[source]).toDF(*names, "source")
     schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, df.schema, strict=True)), f"{work.keywords['name']} {kind}"])
-    made = rows.mapInArrow(partial(work.func, path=path, pattern=pattern), schema)
+    made = rows.mapInArrow(released(partial(work.func, path=path, pattern=pattern)), schema)
     return made.toDF(*df.columns, fresh(df, name))
 
 
@@ -336,7 +336,7 @@ def decode(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
 def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     path, pattern = vocabulary()
     rows = documents.select(documents[id_col].alias("doc_id"), documents[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(partial(_digests, path=path, pattern=pattern), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(released(partial(_digests, path=path, pattern=pattern)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

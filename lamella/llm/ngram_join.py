@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut, fresh, shuffle_partitions, table
+from lamella.llm.common import cut, fresh, released, shuffle_partitions, table
 from lamella.llm.textkernels import shingle_sets, text_slices
 
 PERCENT = 80
@@ -301,14 +301,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def _multiply(units: DataFrame, sets: DataFrame, percent: int, grouped: bool) -> DataFrame:
     parts = max(shuffle_partitions(units.sparkSession), 12)
     dealt = units.join(sets, "set_id").repartition(parts, "unit").sortWithinPartitions("unit")
-    return dealt.mapInArrow(partial(_tiles, percent=percent, grouped=grouped), "u long, v long")
+    return dealt.mapInArrow(released(partial(_tiles, percent=percent, grouped=grouped)), "u long, v long")
 
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, hot_list: int = HOT_LIST) -> DataFrame:
     """For each row of documents: its id, the size of its set and the least id of its component."""
     spark = documents.sparkSession
     docs = documents.select(documents[id_col].cast("long").alias("rid"), documents[text_col].cast("string").alias("text"))
-    seen = cut(docs.mapInArrow(partial(_profile, width=width), "rid long, n long, set_id long, bits binary, piece int, counts binary"))
+    seen = cut(docs.mapInArrow(released(partial(_profile, width=width)), "rid long, n long, set_id long, bits binary, piece int, counts binary"))
     base = seen.where("piece IS NULL").select("rid", "n", "set_id")
     summed = seen.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary")
     # 64 rows of 64 thousand counters, however large the corpus
@@ -317,7 +317,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     levels = spark.sparkContext.broadcast(level)
 
     classes = cut(seen.where("n > 0").groupBy("set_id", "n").agg(F.min("rid").alias("rep"), F.first("bits").alias("bits")))
-    own = docs.select("text").mapInArrow(partial(_prefixes, width=width, percent=percent, levels=levels, hot_level=hot_level), "set_id long, tokens array<long>, hot array<long>")
+    own = docs.select("text").mapInArrow(released(partial(_prefixes, width=width, percent=percent, levels=levels, hot_level=hot_level)), "set_id long, tokens array<long>, hot array<long>")
     listed = own.select("set_id", F.explode("tokens").alias("token"))
     order = Window.partitionBy("token").orderBy("set_id")
     pairs = listed.withColumn("hub", F.first("set_id").over(order)).where("hub <> set_id").select("hub", "set_id")
@@ -332,7 +332,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = classes.join(blocks.select("set_id").distinct().hint("merge"), "set_id", "left_semi")
     reps = cut(wanted.select(F.col("rep").alias("rid"), "set_id"))
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps.hint("merge")
-    sets = cut(docs.join(reps, "rid").select("rid", "text", "set_id").mapInArrow(partial(_whole_sets, width=width), "set_id long, hashes binary"))
+    sets = cut(docs.join(reps, "rid").select("rid", "text", "set_id").mapInArrow(released(partial(_whole_sets, width=width)), "set_id long, hashes binary"))
 
     share = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
     dealt = blocks.join(sized.hint("merge"), "hub")
@@ -369,7 +369,7 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     dealt = dealt.select(unit.alias("unit"), "hub", "set_id", "n", "bits")
     count = max(shuffle_partitions(pairs.sparkSession), 12)
     dealt = dealt.repartition(count, "unit").sortWithinPartitions("unit")
-    stay = dealt.mapInArrow(partial(_sieve, percent=percent), "u long, v long").select(F.col("u").alias("hub"), F.col("v").alias("set_id"))
+    stay = dealt.mapInArrow(released(partial(_sieve, percent=percent)), "u long, v long").select(F.col("u").alias("hub"), F.col("v").alias("set_id"))
     large = members.where(F.col("parts") > SIEVE_PARTS).select("hub", "set_id")
     return cut(stay.union(large).distinct())
 

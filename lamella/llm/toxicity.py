@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import fresh, table
+from lamella.llm.common import fresh, released, table
 from lamella.llm.textkernels import mix64, sorted_unique
 
 ORDERS = (4, 5, 6)
@@ -150,7 +150,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     ids = one.where("toxic = 1").orderBy(mixed, "key").limit(max_toxic).union(one.where("toxic = 0").orderBy(mixed, "key").limit(max_clean))
     # at most max_toxic + max_clean ids
     texts = documents.select(documents[id_col].alias("key"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(ids), "key").select("toxic", "text").mapInArrow(_features, "toxic int, features binary").distinct()
+    rows = texts.join(F.broadcast(ids), "key").select("toxic", "text").mapInArrow(released(_features), "toxic int, features binary").distinct()
     gathered = [(r["toxic"], np.frombuffer(r["features"], "<i4")) for r in rows.toLocalIterator()]
     gathered.sort(key=lambda r: (r[0], r[1].tobytes()))
     return fit(gathered)
@@ -176,7 +176,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float] | None, id_col:
     if model is None:
         return rows.select("doc_id", F.lit(0.0).alias("score"))
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(partial(_scores, model=shared), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.mapInArrow(released(partial(_scores, model=shared)), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -189,7 +189,7 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     rows = documents.withColumn(copy, documents[text_col].cast("string")).toDF(*names, "t")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, documents.schema, strict=True))
-    scored = rows.mapInArrow(partial(_scores, model=shared), f"{kinds}, score double")
+    scored = rows.mapInArrow(released(partial(_scores, model=shared)), f"{kinds}, score double")
     return scored.where(F.col("score") < threshold).drop("score").toDF(*documents.columns)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition, counts, inference, linkage, particles, ranks
+from lamella.operators import composition, counts, inference, linkage, particles, ranks, reshape
 from lamella.streaming import windows
 
-_MODULES = (composition, linkage, ranks, counts, particles, inference, windows)
+_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, windows)
 
 
 def queries() -> dict:

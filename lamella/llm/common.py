@@ -54,8 +54,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _release() -> None:
-    """Hands freed memory back to the machine: Python workers live on from task to task and stage to stage."""
+def release() -> None:
+    """Hands freed memory back to the machine: the driver and Python workers live on from stage to stage."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # only glibc has it
@@ -66,7 +66,7 @@ def _then_released(batches: Iterator[pa.RecordBatch], work: Callable) -> Iterato
     try:
         yield from work(batches)
     finally:
-        _release()
+        release()
 
 
 def released(work: Callable) -> Callable:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut, fresh, released, shuffle_partitions, table
+from lamella.llm.common import cut, fresh, release, released, shuffle_partitions, table
 from lamella.llm.textkernels import shingle_sets, text_slices
 
 PERCENT = 80
@@ -313,6 +313,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     summed = seen.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary")
     # 64 rows of 64 thousand counters, however large the corpus
     level, floor = _levels({r["piece"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint64) for r in summed.toLocalIterator()})
+    release()
     hot_level = max(1, int(np.ceil(np.log2(max(2.0, hot_list / floor)))))
     levels = spark.sparkContext.broadcast(level)
 

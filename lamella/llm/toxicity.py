@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import fresh, released, table
+from lamella.llm.common import fresh, release, released, table
 from lamella.llm.textkernels import mix64, sorted_unique
 
 ORDERS = (4, 5, 6)
@@ -151,9 +151,11 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     # at most max_toxic + max_clean ids
     texts = documents.select(documents[id_col].alias("key"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(ids), "key").select("toxic", "text").mapInArrow(released(_features), "toxic int, features binary").distinct()
-    gathered = [(r["toxic"], np.frombuffer(r["features"], "<i4")) for r in rows.toLocalIterator()]
-    gathered.sort(key=lambda r: (r[0], r[1].tobytes()))
-    return fit(gathered)
+    gathered = sorted((r["toxic"], bytes(r["features"])) for r in rows.toLocalIterator())
+    model = fit([(y, np.frombuffer(x, "<i4")) for y, x in gathered])
+    del gathered
+    release()
+    return model
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

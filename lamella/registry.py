@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition, counts, inference, linkage, particles, ranks, reshape
+from lamella.operators import composition, counts, factors, inference, linkage, particles, ranks, reshape, volumes
 from lamella.streaming import windows
 
-_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, windows)
+_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, windows)
 
 
 def queries() -> dict:

@@ -1,5 +1,6 @@
 """Operators on tables small enough to check by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import text
@@ -68,3 +69,19 @@ def test_normal_scores(spark):
     want = [NormalDist().inv_cdf((r - 0.375) / 4.25) for r in (1, 2.5, 2.5, 4)]
     assert all(abs(s - w) < 1e-5 for (_, s), w in zip(got, want, strict=True))
     assert [r.score for r in inference.normal_score(rows, ["g"], "v").where("v IS NULL").collect()] == [None]
+
+
+def test_reshape_cases(spark):
+    from lamella.operators import reshape
+
+    rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), (None, "x", 3.0)], "k string, n string, v double")
+    wide = {r["k"]: (r["x"], r["y"]) for r in reshape.wider(rows, ["k"], "n", "v", ["x", "y"]).collect()}
+    assert wide == {"a": (1.0, None), None: (3.0, None)}
+    with pytest.raises(Exception, match="comes twice"):
+        reshape.wider(rows.union(rows), ["k"], "n", "v", ["x", "y"]).collect()
+    assert [tuple(r) for r in reshape.one_hot(rows, "k", "n", ["x"], "drop").orderBy("k").collect()] == [(None, 1), ("a", 1)]
+    with pytest.raises(Exception, match="missing or unknown"):
+        reshape.one_hot(rows, "k", "n", ["x"]).collect()
+    empty = rows.limit(0)
+    assert reshape.longer(empty, ["k"], ["v"]).count() == reshape.distinct_list(empty, ["k"], "n").count() == 0
+    assert [r["status"] for r in reshape.audit(empty, {"positive": empty["v"] > 0}).collect()] == ["PASS"]

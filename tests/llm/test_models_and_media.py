@@ -145,6 +145,27 @@ def test_lm_scores_against_plain_counts(spark):
     assert lm_scoring.score(df.limit(0), ids).collect() == []
 
 
+def test_lm_packing():
+    r = np.random.Generator(np.random.PCG64(1))
+    for values in (np.zeros(0, np.uint64), np.ones(3, np.uint64), np.zeros(9, np.uint64), r.integers(0, 2**63, 5000, dtype=np.uint64), r.integers(1, 3, 5000, dtype=np.uint64), r.integers(0, 2**43, 1, dtype=np.uint64)):
+        assert lm_scoring.unpack(lm_scoring.pack(values)).tolist() == values.tolist()
+
+
+def test_lm_counts_have_no_cap(spark):
+    """More distinct words than 65,536, each in pairs of its own, over several ranges."""
+    n = 70_000
+    texts = [" ".join(f"w{i}" for i in range(k, k + 700)) for k in range(0, n, 700)] + ["w1 w2"] * 3
+    df = docs(spark, texts)
+    got = {x.doc_id: x for x in lm_scoring.score(df, spark.createDataFrame([(0,)], "id long")).collect()}
+    total, size, scale = n + 6, n + 1, 700 / (n + 6)
+    # the last text of unrepeated words: each pair once in the background, none in the target
+    target = lm_scoring.ADD / (700 + lm_scoring.ADD * size)
+    prior = (scale + lm_scoring.ADD) / (total * scale + lm_scoring.ADD * size)
+    follows = lm_scoring.MIX + (1 - lm_scoring.MIX) * prior
+    assert got[99].target_loss == pytest.approx(-math.log(target), abs=1e-5)
+    assert got[99].background_loss == pytest.approx(-(math.log(prior) + 699 * math.log(follows)) / 700, abs=1e-5)
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     plain = ["lorem", "ipsum", "dolor", "sit", "amet", "consec", "tetur", "elit", "sed", "eius"]

@@ -33,16 +33,19 @@ def slab(rows: DataFrame, coordinates: list[str], origin: list[float], normal: l
 
 def kernel_sum(targets: DataFrame, sources: DataFrame, key: str, x: str, y: str, mass: str, sigma: float, reach: float = 5.0) -> DataFrame:
     """Sum of mass * exp(-d^2 / 2 sigma^2) over sources within reach sigmas: an equi-join of grid cells of that side
-    with their neighbours, so no pair of far cells meets."""
+    with their neighbours, so no pair of far cells meets. Points of one place meet once: sources are summed by place,
+    and targets take their place's sum."""
     side = reach * sigma
     cell = lambda c: F.floor(F.col(c) / side)
     around = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    t = targets.select(key, F.col(x).alias("tx"), F.col(y).alias("ty"), cell(x).alias("gx"), cell(y).alias("gy"))
-    s = sources.select(F.col(x).alias("sx"), F.col(y).alias("sy"), F.col(mass).alias("w"), cell(x).alias("gx"), cell(y).alias("gy"))
+    own = targets.select(key, F.col(x).alias("tx"), F.col(y).alias("ty"))
+    t = targets.select(F.col(x).alias("tx"), F.col(y).alias("ty"), cell(x).alias("gx"), cell(y).alias("gy")).distinct()
+    s = sources.groupBy(F.col(x).alias("sx"), F.col(y).alias("sy"), cell(x).alias("gx"), cell(y).alias("gy")).agg(F.count("*").alias("k"), F.sum(mass).alias("w"))
     t = t.withColumn("gx", around("gx")).withColumn("gy", around("gy"))
     d2 = (F.col("tx") - F.col("sx")) * (F.col("tx") - F.col("sx")) + (F.col("ty") - F.col("sy")) * (F.col("ty") - F.col("sy"))
     near = t.join(s, ["gx", "gy"]).where(d2 <= side * side)
-    return near.groupBy(key).agg(F.count("*").alias("n"), F.round(F.sum(F.col("w") * F.exp(-d2 / (2 * sigma * sigma))), 6).alias("density"))
+    places = near.groupBy("tx", "ty").agg(F.sum("k").alias("n"), F.sum(F.col("w") * F.exp(-d2 / (2 * sigma * sigma))).alias("density"))
+    return own.join(places, ["tx", "ty"]).groupBy(key).agg(F.sum("n").alias("n"), F.round(F.sum("density"), 6).alias("density"))
 
 
 def nearest_support(queries: DataFrame, sections: DataFrame, group: str, at: str, z: str, tolerance: float) -> DataFrame:
@@ -105,6 +108,7 @@ QUERIES = {
     "soft_histogram": lambda s, d: soft_histogram(_points(s, d).withColumn("f", (F.col("x") + 25) / 50), "l_orderkey", "f", 8),
     "slab_filter": lambda s, d: slab(_points(s, d), ["x", "y"], [1.0, 2.0], [0.6, 0.8], 3.0).select("id"),
     "gauss_kernel_sum": lambda s, d: kernel_sum(_points(s, d).where("id % 97 = 0"), _points(s, d).where("id % 31 = 0"), "id", "x", "y", "m", 0.7),
+    "gauss_kernel_sum_all": lambda s, d: kernel_sum(_points(s, d), _points(s, d), "id", "x", "y", "m", 0.7),
     "nearest_support": lambda s, d: nearest_support(_events(s, d, 0), _events(s, d, 1), "g", "z", "z", 5.0),
     "bracket_interp": lambda s, d: bracket_interpolation(_events(s, d, 0), _events(s, d, 1), "g", "z", "z", "v"),
     "categorical_fusion": lambda s, d: categorical_fusion(_scores(s, d, 0), _scores(s, d, 1), "voxel", "label", "score", 0.25),
@@ -115,6 +119,7 @@ SQL = {
     "soft_histogram": f"WITH {_P}, q AS (SELECT l_orderkey, greatest(0.0, least((x + 25) / 50 * 7, 7.0)) AS pl FROM p), l AS (SELECT *, least(floor(pl), 6) AS lo FROM q), s AS (SELECT l_orderkey, CAST(lo AS BIGINT) AS bin, 1 - (pl - lo) AS mass FROM l UNION ALL SELECT l_orderkey, CAST(lo + 1 AS BIGINT), pl - lo FROM l) SELECT l_orderkey, bin, round(sum(mass), 6) AS mass FROM s WHERE mass > 0 GROUP BY 1, 2",
     "slab_filter": f"WITH {_P} SELECT id FROM p WHERE abs((x - 1.0) * 0.6::DOUBLE + (y - 2.0) * 0.8::DOUBLE) <= 1.5",
     "gauss_kernel_sum": f"WITH {_P} SELECT t.id, count(*) AS n, round(sum(s.m * exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)) / 0.98)), 6) AS density FROM p t JOIN p s ON (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= 12.25 WHERE t.id % 97 = 0 AND s.id % 31 = 0 GROUP BY 1",
+    "gauss_kernel_sum_all": f"WITH {_P}, c AS (SELECT x, y, count(*) AS k, sum(m) AS w FROM p GROUP BY 1, 2), g AS (SELECT t.x, t.y, sum(s.k) AS n, sum(s.w * exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)) / 0.98)) AS density FROM c t JOIN c s ON (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= 12.25 GROUP BY 1, 2) SELECT id, CAST(sum(n) AS BIGINT) AS n, round(sum(density), 6) AS density FROM p JOIN g ON p.x = g.x AND p.y = g.y GROUP BY 1",
     "nearest_support": f"WITH {_E}, n AS (SELECT t0.g, t0.z, t1.z AS s, row_number() OVER (PARTITION BY t0.g, t0.z ORDER BY abs(t1.z - t0.z), t1.z) AS r FROM t0 LEFT JOIN t1 ON t0.g = t1.g) SELECT g, z, CASE WHEN abs(s - z) <= 5 THEN s END AS section FROM n WHERE r = 1",
     "bracket_interp": f"WITH {_E}, b AS (SELECT t0.g, t0.z, max_by(t1.v, t1.z) FILTER (WHERE t1.z <= t0.z) AS bv, max(t1.z) FILTER (WHERE t1.z <= t0.z) AS bz, min_by(t1.v, t1.z) FILTER (WHERE t1.z > t0.z) AS av, min(t1.z) FILTER (WHERE t1.z > t0.z) AS az FROM t0 LEFT JOIN t1 ON t0.g = t1.g GROUP BY 1, 2) SELECT g, z, round(CASE WHEN bz IS NULL THEN av WHEN az IS NULL OR bz = z THEN bv ELSE bv + (av - bv) * ((z - bz) / (az - bz)) END, 6) AS value FROM b",
     "categorical_fusion": "WITH s AS (SELECT user_id % 50 AS voxel, length(event_type) % 7 AS label, CAST(count(*) FILTER (WHERE event_id % 2 = 0) AS DOUBLE) AS l, CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS DOUBLE) AS r FROM events GROUP BY 1, 2), x AS (SELECT *, round(0.75 * l + 0.25 * r, 9) AS score FROM s) SELECT voxel, label, score FROM (SELECT *, row_number() OVER (PARTITION BY voxel ORDER BY score DESC, l DESC, r DESC, label) AS k FROM x) WHERE k = 1",

@@ -1,9 +1,12 @@
 """Operators on tables small enough to check by hand."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from lamella.functions import text
+from lamella import registry
 from lamella.operators import counts, linkage, particles, ranks
 
 
@@ -85,3 +88,14 @@ def test_reshape_cases(spark):
     empty = rows.limit(0)
     assert reshape.longer(empty, ["k"], ["v"]).count() == reshape.distinct_list(empty, ["k"], "n").count() == 0
     assert [r["status"] for r in reshape.audit(empty, {"positive": empty["v"] > 0}).collect()] == ["PASS"]
+
+
+def test_all_particles_feel_all_particles(spark, tmp_path):
+    lines = [(i, 1 + i % 3, float(25 + i % 7), (i % 5) / 100, 0.01 * (i % 4)) for i in range(60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    points = [(8 * k + n, q - 25, d * 100, t + 0.01) for k, n, q, d, t in lines]
+    got = {r.id: (r.n, r.density) for r in registry.queries()["gauss_kernel_sum_all"](spark, str(tmp_path)).collect()}
+    for i, x, y, _ in points:
+        near = [(m, (x - u) ** 2 + (y - v) ** 2) for _, u, v, m in points if (x - u) ** 2 + (y - v) ** 2 <= 12.25]
+        assert got.pop(i) == (len(near), pytest.approx(sum(m * math.exp(-d2 / 0.98) for m, d2 in near), abs=2e-6))
+    assert not got

@@ -99,3 +99,12 @@ def test_all_particles_feel_all_particles(spark, tmp_path):
         near = [(m, (x - u) ** 2 + (y - v) ** 2) for _, u, v, m in points if (x - u) ** 2 + (y - v) ** 2 <= 12.25]
         assert got.pop(i) == (len(near), pytest.approx(sum(m * math.exp(-d2 / 0.98) for m, d2 in near), abs=2e-6))
     assert not got
+
+
+def test_library_sizes_count_lines_of_every_status(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    lines = [(1, 10, "F", 4.0), (1, 10, "O", 2.0), (2, 10, "O", 3.0), (3, 20, "O", 8.0)]
+    spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["row"]: (r["size"], r.upper_quartile) for r in registry.queries()["library_size_uq_all"](spark, str(tmp_path)).collect()}
+    # counts 0, 3, 6 and 0, 0, 8; the quartile is halfway from the second to the third
+    assert got == {10: (9, 0.5), 20: (8, 0.5)}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,23 +136,42 @@ def draw_sql(key: str, step: str) -> str:
     return f"((((({key})::BIGINT * {DRAW_FACTOR} + {step} * {DRAW_STEP}) % {DRAW_RANGE}) * 69069 + 1) % {DRAW_RANGE}) / {DRAW_RANGE}.0::DOUBLE"
 
 
+def hashed_draw(key: Column, step: Column) -> Column:
+    """A number in [0, 1) that depends on the key and the step only. Unlike ``draw``, whose steps shift the draws of
+    all keys by one amount, keys are independent of each other."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key, step)), 1, 8), 16, 10).cast("long") / F.lit(float(DRAW_RANGE))
+
+
+def hashed_draw_sql(key: str, step: str) -> str:
+    return f"(('0x' || substr(md5({key} || ':' || {step}), 1, 8))::BIGINT / {DRAW_RANGE}.0::DOUBLE)"
+
+
+#: Poisson(1) below 0, 1, 2 and so on; the last draw, one of 2 ** 32, has 12.
+POISSON = tuple(sum(1 / math.factorial(i) for i in range(k + 1)) / math.e for k in range(12))
+
+
+def poisson(u: Column) -> Column:
+    """Poisson(1) by its quantiles, as far as the draws reach: how often a unit is drawn."""
+    return sum((F.when(u >= p, 1).otherwise(0) for p in POISSON), F.lit(0))
+
+
 def weight(u: Column) -> Column:
     """Poisson(1) by its quantiles, cut at 4: how often a unit is drawn."""
     return F.when(u < 0.36788, 0).when(u < 0.73576, 1).when(u < 0.9197, 2).when(u < 0.98101, 3).otherwise(4)
 
 
-def bootstrap_mean(rows: DataFrame, unit: str, value: str, repeats: int = 50) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, unit: str, value: str, repeats: int = 2000, drawn_by: Callable = hashed_draw, weighed_by: Callable = poisson) -> DataFrame:
     """Interval of the mean when whole units are drawn again: units are summed first, then repeated."""
     units = rows.groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("w", weight(draw(F.col(unit), F.col("rep"))))
+    drawn = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn("u", drawn_by(F.col(unit), F.col("rep"))).withColumn("w", weighed_by(F.col("u")))
     means = drawn.groupBy("rep").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("m"))
     return means.agg(F.count("m").alias("repeats"), F.round(F.percentile("m", F.lit(0.025)), 4).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 4).alias("high"))
 
 
-def sign_flips(rows: DataFrame, unit: str, value: str, repeats: int = 99) -> DataFrame:
+def sign_flips(rows: DataFrame, unit: str, value: str, repeats: int = 5000, drawn_by: Callable = hashed_draw) -> DataFrame:
     """p of the units' mean when signs are flipped: (1 + as large) / (1 + repeats)."""
     flipped = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats))))
-    sign = F.when((F.col("rep") == 0) | (draw(F.col(unit), F.col("rep")) < 0.5), 1).otherwise(-1)
+    sign = F.when((F.col("rep") == 0) | (drawn_by(F.col(unit), F.col("rep")) < 0.5), 1).otherwise(-1)
     means = flipped.groupBy("rep").agg(F.round(F.abs(F.avg(F.col(value) * sign)), 9).alias("m"))
     seen = means.agg(F.max(F.when(F.col("rep") == 0, F.col("m"))).alias("seen"))
     return means.join(F.broadcast(seen)).agg(F.round(F.max("seen"), 6).alias("seen"), (F.count(F.when(F.col("m") >= F.col("seen"), 1)) / F.lit(float(repeats + 1))).alias("p"))
@@ -211,11 +233,14 @@ QUERIES = {
     "two_term_fit": lambda s, d: two_term_fit(_lines(s, d, "l_returnflag", "l_extendedprice", "l_quantity", "l_discount"), "l_returnflag", "l_extendedprice", "l_quantity", "l_discount"),
     "welch_t": lambda s, d: welch(_few(s, d), "o_orderpriority", _odd(), "o_totalprice"),
     "rank_sum": lambda s, d: rank_sum(_few(s, d), "o_orderpriority", _odd(), "o_totalprice"),
-    "cluster_bootstrap": lambda s, d: bootstrap_mean(_few(s, d), "o_custkey", "o_totalprice"),
-    "sign_flip_test": lambda s, d: sign_flips(_unit_difference(s, d), "l_suppkey", "d"),
+    "cluster_bootstrap": lambda s, d: bootstrap_mean(_few(s, d), "o_custkey", "o_totalprice", 50, draw, weight),
+    "cluster_bootstrap_2000": lambda s, d: bootstrap_mean(_few(s, d), "o_custkey", "o_totalprice"),
+    "sign_flip_test": lambda s, d: sign_flips(_unit_difference(s, d), "l_suppkey", "d", 99, draw),
+    "sign_flip_test_5000": lambda s, d: sign_flips(_unit_difference(s, d), "l_suppkey", "d"),
     "fold_error": lambda s, d: fold_error(_lines(s, d, (F.col("l_orderkey") % 5).alias("fold"), "l_quantity", "l_extendedprice"), "fold", "l_quantity", "l_extendedprice"),
     "loo_corr": lambda s, d: contributions(log_cpm(_counts(s, d), "domain", "row", "gene", "count"), "domain", "row", "gene"),
 }
+_POISSON = f"({' + '.join(f'(u >= {p!r}::DOUBLE)::INT' for p in POISSON)})"
 _W = "CASE WHEN u < 0.36788 THEN 0 WHEN u < 0.73576 THEN 1 WHEN u < 0.9197 THEN 2 WHEN u < 0.98101 THEN 3 ELSE 4 END"
 SQL = {
     "normal_score": f"SELECT o_orderkey, round({probit_sql('p')}, 6) AS score FROM (SELECT o_orderkey, (rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0::DOUBLE - 0.375::DOUBLE) / (count(*) OVER (PARTITION BY o_orderpriority) + 0.25::DOUBLE) AS p FROM orders)",
@@ -227,6 +252,8 @@ SQL = {
     "rank_sum": "WITH r AS (SELECT o_orderpriority, o_custkey % 2 AS odd, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER t - 1) / 2.0 AS r, count(*) OVER t AS t FROM orders WINDOW t AS (PARTITION BY o_orderpriority, o_totalprice)), s AS (SELECT o_orderpriority, sum(odd)::DOUBLE AS na, sum(1 - odd)::DOUBLE AS nb, sum(r) FILTER (WHERE odd = 1) AS r, sum(t * t - 1) AS ties FROM r GROUP BY 1), w AS (SELECT *, r - na * (na + 1) / 2 AS w, na + nb AS n FROM s) SELECT o_orderpriority, w, round((w - na * nb / 2 - sign(w - na * nb / 2) * 0.5) / sqrt(na * nb / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM w",
     "cluster_bootstrap": f"WITH u AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT rep, s, n, {draw_sql('o_custkey', 'rep')} AS u FROM u, range(1, 51) r(rep)), m AS (SELECT rep, sum(s * {_W}) / sum(n * {_W}) AS m FROM d GROUP BY rep) SELECT count(*) AS repeats, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m",
     "sign_flip_test": f"WITH u AS (SELECT l_suppkey, avg(l_extendedprice) FILTER (WHERE l_linestatus = 'F') - avg(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS d FROM lineitem GROUP BY 1), m AS (SELECT rep, round(abs(avg(d * CASE WHEN rep = 0 OR {draw_sql('l_suppkey', 'rep')} < 0.5 THEN 1 ELSE -1 END)), 9) AS m FROM u, range(0, 100) r(rep) WHERE d IS NOT NULL GROUP BY rep), s AS (SELECT *, max(m) FILTER (WHERE rep = 0) OVER () AS seen FROM m) SELECT round(max(seen), 6) AS seen, count(*) FILTER (WHERE m >= seen) / 100.0::DOUBLE AS p FROM s",
+    "cluster_bootstrap_2000": f"WITH u AS (SELECT o_custkey, sum(o_totalprice) AS s, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT rep, s, n, {hashed_draw_sql('o_custkey', 'rep')} AS u FROM u, range(1, 2001) r(rep)), m AS (SELECT rep, sum(s * {_POISSON}) / sum(n * {_POISSON}) AS m FROM d GROUP BY rep) SELECT count(*) AS repeats, round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m",
+    "sign_flip_test_5000": f"WITH u AS (SELECT l_suppkey, avg(l_extendedprice) FILTER (WHERE l_linestatus = 'F') - avg(l_extendedprice) FILTER (WHERE l_linestatus = 'O') AS d FROM lineitem GROUP BY 1), m AS (SELECT rep, round(abs(avg(d * CASE WHEN rep = 0 OR {hashed_draw_sql('l_suppkey', 'rep')} < 0.5 THEN 1 ELSE -1 END)), 9) AS m FROM u, range(0, 5001) r(rep) WHERE d IS NOT NULL GROUP BY rep), s AS (SELECT *, max(m) FILTER (WHERE rep = 0) OVER () AS seen FROM m) SELECT round(max(seen), 6) AS seen, count(*) FILTER (WHERE m >= seen) / 5001.0::DOUBLE AS p FROM s",
     "fold_error": "WITH l AS (SELECT l_orderkey % 5 AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem), f AS (SELECT k.fold, regr_slope(y, x) AS slope, avg(x) AS mx, avg(y) AS my FROM (SELECT DISTINCT fold FROM l) k JOIN l ON l.fold <> k.fold GROUP BY 1) SELECT l.fold, round(avg((y - my - slope * (x - mx)) ** 2), 4) AS line, round(avg((y - my) ** 2), 4) AS mean FROM l JOIN f ON l.fold = f.fold GROUP BY 1",
     "loo_corr": f"WITH {_M}{_L}, st AS (SELECT domain, gene, avg(value) AS m, stddev_samp(value) AS sd FROM v GROUP BY 1, 2 HAVING stddev_samp(value) > 1e-9), z AS (SELECT v.domain, v.\"row\", v.gene, (value - m) / sd AS z FROM v JOIN st ON v.domain = st.domain AND v.gene = st.gene), s AS (SELECT *, sum(z) OVER w AS s, count(*) OVER w AS k FROM z WINDOW w AS (PARTITION BY domain, \"row\")) SELECT domain, gene, CASE WHEN count(*) >= 3 THEN round(corr(z, s / k), 6) END AS with_all, CASE WHEN count(*) >= 3 THEN round(corr(z, (s - z) / nullif(k - 1, 0)), 6) END AS with_others FROM s GROUP BY 1, 2",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions import text
 from lamella import registry
-from lamella.operators import counts, linkage, particles, ranks
+from lamella.operators import counts, inference, linkage, particles, ranks
 
 
 def test_names_and_missing_values(spark):
@@ -108,3 +108,15 @@ def test_library_sizes_count_lines_of_every_status(spark, tmp_path):
     got = {r["row"]: (r["size"], r.upper_quartile) for r in registry.queries()["library_size_uq_all"](spark, str(tmp_path)).collect()}
     # counts 0, 3, 6 and 0, 0, 8; the quartile is halfway from the second to the third
     assert got == {10: (9, 0.5), 20: (8, 0.5)}
+
+
+def test_bootstrap_and_flips_are_as_wide_as_theory(spark):
+    """2,000 draws of 400 units: the interval's width is that of the mean's deviation; 5,000 flips reach a p below 0.01."""
+    rows = spark.createDataFrame([(i, float(i % 20)) for i in range(400)], "k long, v double")
+    got = inference.bootstrap_mean(rows, "k", "v").first()
+    sd = math.sqrt(sum((i - 9.5) ** 2 for i in range(20)) / 20 / 400)
+    assert got.repeats == 2000
+    assert got.high - got.low == pytest.approx(2 * 1.96 * sd, rel=0.1)
+    assert inference.sign_flips(rows, "k", "v").first().p == pytest.approx(1 / 5001)
+    u = spark.createDataFrame([(x,) for x in (0.3, 0.4, 0.99, 0.9964, 0.9995, 0.9999999)], "u double")
+    assert [r[0] for r in u.select(inference.poisson(F.col("u"))).collect()] == [0, 1, 4, 5, 6, 10]

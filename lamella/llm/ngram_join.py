@@ -117,9 +117,9 @@ def _sieve(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row for each document (id, n, set id, bitmap), then this task's shingle counts in pieces."""
+    """A row for each document (id, text key, n, set id, bitmap), then this task's shingle counts in pieces."""
     counts = np.zeros(1 << COUNTERS_LOG2, np.uint32)
-    names = ["rid", "n", "set_id", "bits", "piece", "counts"]
+    names = ["rid", "text_key", "n", "set_id", "bits", "piece", "counts"]
     for batch in batches:
         sizes, ids, bits, pending = [], [], [], []
         for _, data, starts in text_slices(batch.column(1)):
@@ -132,12 +132,12 @@ def _profile(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             pending = []
             np.add.at(counts, (flat >> np.uint64(64 - COUNTERS_LOG2)).astype(np.int64), np.uint32(1))
         k = len(sizes)
-        yield pa.record_batch([batch.column(0).fill_null(NO_ID), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+        yield pa.record_batch([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
     used = [i for i in range(len(counts) // _CHUNK) if counts[i * _CHUNK : (i + 1) * _CHUNK].any()]
     if used:
         packed = [zlib.compress(counts[i * _CHUNK : (i + 1) * _CHUNK].tobytes(), 1) for i in used]
         k = len(used)
-        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
+        yield pa.record_batch([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
 
 def _add_counts(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +181,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], width: int, percent: int, level
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    known: set[int] = set()  # equal rows, id and all, bring their set once from each task
     for batch in batches:
         wanted = batch.column(2).to_numpy(zero_copy_only=False)
         ids, packed, row = [], [], 0
         for _, data, starts in text_slices(batch.column(1)):
             for own in shingle_sets(data, starts, width):
-                if len(own) and set_id(own) == wanted[row]:
+                if len(own) and int(wanted[row]) not in known and set_id(own) == wanted[row]:
+                    known.add(int(wanted[row]))
                     ids.append(int(wanted[row]))
                     packed.append(own.astype("<u8").tobytes())
                 row += 1
@@ -307,8 +309,10 @@ def _multiply(units: DataFrame, sets: DataFrame, percent: int, grouped: bool) ->
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, hot_list: int = HOT_LIST) -> DataFrame:
     """For each row of documents: its id, the size of its set and the least id of its component."""
     spark = documents.sparkSession
-    docs = documents.select(documents[id_col].cast("long").alias("rid"), documents[text_col].cast("string").alias("text"))
-    seen = cut(docs.mapInArrow(released(partial(_profile, width=width)), "rid long, n long, set_id long, bits binary, piece int, counts binary"))
+    text = documents[text_col].cast("string")
+    # ids may be null or repeated: a class is found again by the id and the text of one of its rows
+    docs = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(NO_ID)).alias("rid"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    seen = cut(docs.mapInArrow(released(partial(_profile, width=width)), "rid long, text_key long, n long, set_id long, bits binary, piece int, counts binary"))
     base = seen.where("piece IS NULL").select("rid", "n", "set_id")
     summed = seen.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary")
     # 64 rows of 64 thousand counters, however large the corpus
@@ -317,7 +321,7 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hot_level = max(1, int(np.ceil(np.log2(max(2.0, hot_list / floor)))))
     levels = spark.sparkContext.broadcast(level)
 
-    classes = cut(seen.where("n > 0").groupBy("set_id", "n").agg(F.min("rid").alias("rep"), F.first("bits").alias("bits")))
+    classes = cut(seen.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct("rid", "text_key")).alias("row"), F.first("bits").alias("bits")).select("set_id", "n", F.col("row.rid").alias("rep"), F.col("row.text_key").alias("text_key"), "bits"))
     own = docs.select("text").mapInArrow(released(partial(_prefixes, width=width, percent=percent, levels=levels, hot_level=hot_level)), "set_id long, tokens array<long>, hot array<long>")
     listed = own.select("set_id", F.explode("tokens").alias("token"))
     order = Window.partitionBy("token").orderBy("set_id")
@@ -331,9 +335,9 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
     sized = cut(blocks.groupBy("hub").agg(F.count("*").alias("size")).select("hub", "size", parts.alias("parts")))
     wanted = classes.join(blocks.select("set_id").distinct().hint("merge"), "set_id", "left_semi")
-    reps = cut(wanted.select(F.col("rep").alias("rid"), "set_id"))
+    reps = cut(wanted.select(F.col("rep").alias("rid"), "text_key", "set_id"))
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps.hint("merge")
-    sets = cut(docs.join(reps, "rid").select("rid", "text", "set_id").mapInArrow(released(partial(_whole_sets, width=width)), "set_id long, hashes binary"))
+    sets = cut(docs.join(reps, ["rid", "text_key"]).select("rid", "text", "set_id").mapInArrow(released(partial(_whole_sets, width=width)), "set_id long, hashes binary"))
 
     share = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
     dealt = blocks.join(sized.hint("merge"), "hub")

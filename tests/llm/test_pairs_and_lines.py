@@ -79,6 +79,15 @@ def test_components_edge_cases(spark):
     assert ngram_join.components(df.limit(0)).collect() == []
 
 
+def test_rows_without_id_link(spark):
+    """A class of null ids alone links, and chains of other documents run through it."""
+    words = [f"w{i}" for i in range(64)]
+    texts = [(7, words[:50]), (None, words[5:55]), (9, words[10:60]), (None, ["x", *words[:50]]), (None, ["far", "from", "all", "these", "texts", "here"])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = sorted(map(tuple, ngram_join.components(df).collect()), key=str)
+    assert got == sorted([(7, 46, 7), (None, 46, 7), (9, 46, 7), (None, 47, 7), (None, 2, None)], key=str)
+
+
 def test_long_text_and_kept_rows(spark):
     r = random.Random(5)
     long = " ".join(str(r.randrange(10**6)) for _ in range(60_000))

@@ -1,20 +1,30 @@
-"""HTML extraction: flat text blocks with the word count and link density of their neighbours, and what encloses
-them, classified by a decision tree that is trained on a small labelled table.
-
-A page is read tag by tag; text between block-level tags is one block, inline tags leave no trace, comments, scripts,
-styles and other raw elements are dropped, character references are decoded, and white space becomes single blanks.
-The labelled table is ``PAGES``: small pages whose blocks are marked as main text or not.
-
-Defined cases: null or empty html gives an empty text; markup may be unclosed or cut off at any place; blocks without
-words vanish; repeated rows are extracted alike; further columns play no part; an empty table gives an empty result.
+"""HTML extraction: flat text blocks with the word count and link density of their neighbours, classified by a
+decision tree that is trained on a small labelled table.
+
+A page is read tag by tag. Text between the borders of block-level elements is one block; other tags leave no trace;
+comments, scripts, styles, templates, titles and form fields are no text; character references are decoded, and white
+space becomes single blanks. Every block has numbers only (``FEATURES``): its own word count and link density, those
+of the blocks before and after it, and those of its container, the element in which its paragraph stands among
+others. Names of articles, classes and roles are no features: a page whose ``article`` is a ``div`` reads the same.
+The labelled table is ``labelled_pages``: small invented pages whose main blocks are marked.
+
+A check follows the tree. Parts that the page itself marks as menu, header, footer, sidebar, notice, advert, form or
+reader comment go, whatever the tree says; the check adds nothing.
+
+Defined cases: null or empty html gives an empty text; markup may be unclosed or cut off at any place (an unclosed
+script or style ends at the next element's border); blocks without words vanish; repeated rows are extracted alike;
+further columns play no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import html as entities
+import random
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +34,21 @@ from pyspark.sql import functions as F
 from lamella.llm.common import table
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)""", re.S)
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style noscript template title textarea iframe object svg math canvas audio video select".split())
+#: Elements whose content is read up to their closing tag and is no text of the page.
+RAW = frozenset("script style template title textarea iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that are never the article, and words of class and id that say so.
-FRAME = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "dialog": "notice"}
+#: Elements that begin a new line or box when shown; all others run on in the line.
+BLOCK = frozenset(
+    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
+    " head header hgroup html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end an open paragraph, and items that end an open item of their kind.
+ENDS_PARAGRAPH = BLOCK - frozenset("button optgroup option select caption tbody td tfoot th thead tr".split())
+SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+LISTS = frozenset("ul ol menu dl table select".split())
+#: The check: elements that are never the article, and words of class and id that say so.
+FRAME = {"nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "button": "form", "select": "form", "dialog": "notice"}
 NAMED = {
     "nav": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager".split(),
     "header": "header masthead topbar site-header banner".split(),
@@ -41,7 +60,8 @@ NAMED = {
     "comment": "comment comments reply replies discussion disqus respond".split(),
 }
 WORDS_OF = {w: kind for kind, words in NAMED.items() for w in words}
-KINDS = ("nav", "header", "footer", "aside", "notice", "ad", "form", "comment")
+#: Class names that begin so say what a box has or shows, not what it is.
+ABOUT = frozenset("has with without no is show hide had".split())
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 SPACES = re.compile(r"\s+")
 ROLES = {"navigation": "nav", "banner": "header", "contentinfo": "footer", "complementary": "aside", "search": "form", "alert": "notice", "dialog": "notice"}
@@ -52,139 +72,250 @@ class Block:
     text: str
     words: int
     linked: int
-    article: bool
+    own: int  # number of the block-level element that holds the text
+    parent: int  # the one around that
+    grand: int  # and the one around both
+    paragraph: bool
     heading: bool
     item: bool
-    inside: frozenset[str]
+    marked: bool  # inside what the page marks as no article
 
 
 def kind_of(tag: str, attributes: str, in_article: bool) -> str | None:
-    """What an element's name, class, id or role says it is; a header or footer of the article itself says nothing."""
+    """What an element's name, class, id or role says it is; a header of the article itself says nothing."""
     found = FRAME.get(tag)
-    if not found and attributes:
+    if not found and attributes and tag not in ("html", "body"):
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = (a or b or c).lower()
             if name.lower() == "role":
                 found = found or ROLES.get(value)
                 continue
             for word in value.split():
-                parts = [word, *re.split(r"[-_]", word)]
-                found = found or next((WORDS_OF[x] for x in parts if x in WORDS_OF), None)
+                parts = re.split(r"[-_]", word)
+                if parts[0] not in ABOUT:
+                    found = found or next((WORDS_OF[x] for x in (word, *parts) if x in WORDS_OF), None)
     if found == "header" and in_article:
         return None
     return found
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order."""
-    blocks: list[Block] = []
-    stack: list[tuple[str, str | None, bool]] = []  # tag, kind, in an article
-    kinds: dict[str, int] = {}
-    parts: list[tuple[str, bool]] = []
-    anchors = 0
-
-    def flush() -> None:
-        text = SPACES.sub(" ", entities.unescape("".join(p for p, _ in parts))).strip()
+class Reader:
+    """One pass over a page's tags, with the elements that are open."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.stack: list[tuple[str, int, str | None, bool]] = []  # name, number, kind, in an article
+        self.boxes: list[int] = [0]  # numbers of the open block-level elements
+        self.open: Counter = Counter()
+        self.kinds = 0
+        self.number = 0
+        self.parts: list[tuple[str, bool]] = []
+
+    def flush(self) -> None:
+        text = SPACES.sub(" ", entities.unescape("".join(p for p, _ in self.parts))).strip()
         if text:
-            linked = sum(len(entities.unescape(p).split()) for p, a in parts if a)
-            tags = {t for t, _, _ in stack}
+            linked = sum(len(entities.unescape(p).split()) for p, a in self.parts if a)
             words = len(text.split())
-            blocks.append(Block(text, words, min(linked, words), bool(stack) and stack[-1][2], any(len(t) == 2 and t[0] == "h" and t[1].isdigit() for t in tags), "li" in tags, frozenset(k for k, n in kinds.items() if n)))
-        parts.clear()
-
-    at, skip = 0, None
-    while at < len(page):
-        m = TAG.search(page, at)
-        if m is None:
-            parts.append((page[at:], anchors > 0))
-            break
-        if m.start() > at:
-            parts.append((page[at : m.start()], anchors > 0))
+            o = self.open
+            grand, parent, own = [0, 0, *self.boxes][-3:]
+            self.blocks.append(Block(text, words, min(linked, words), own, parent, grand, o["p"] > 0, any(o[h] for h in HEADINGS), o["li"] > 0, self.kinds > 0))
+        self.parts.clear()
+
+    def pop(self) -> str:
+        name, _, kind, _ = self.stack[-1]
+        if name in BLOCK or kind:
+            self.flush()
+        self.stack.pop()
+        self.open[name] -= 1
+        self.kinds -= kind is not None
+        if name in BLOCK:
+            self.boxes.pop()
+        return name
+
+    def close(self, names: tuple[str, ...], border: frozenset[str] = frozenset()) -> None:
+        """Ends the last open element of these names and all inside it, if none of the border stands between."""
+        if any(self.open[n] for n in names):
+            for name, *_ in reversed(self.stack):
+                if name in names:
+                    break
+                if name in border:
+                    return
+            while self.pop() not in names:
+                pass
+
+    def start(self, tag: str, attributes: str) -> None:
+        within = bool(self.stack) and self.stack[-1][3]
+        if tag in ENDS_PARAGRAPH:
+            self.close(("p",), LISTS | {"td", "th", "button"})
+        if tag in SIBLINGS:
+            self.close(SIBLINGS[tag], LISTS)
+        if tag == "a":
+            self.close(("a",), BLOCK)
+        if tag in ("article", "main") and not within and self.kinds:
+            # what was left open before the article doesn't mark it
+            self.flush()
+            self.stack = [(name, number, None, inside) for name, number, _, inside in self.stack]
+            self.kinds = 0
+        kind = kind_of(tag, attributes, within)
+        if tag in BLOCK or kind:
+            self.flush()
+        if attributes.rstrip().endswith("/") and tag not in BLOCK:
+            return
+        self.open[tag] += 1
+        self.kinds += kind is not None
+        self.number += 1
+        if tag in BLOCK:
+            self.boxes.append(self.number)
+        self.stack.append((tag, self.number, kind, within or tag in ("article", "main")))
+
+    def text(self, part: str) -> None:
+        if part:
+            self.parts.append((part, self.open["a"] > 0))
+
+
+BORDER = re.compile(rf"<(?:/|(?:{'|'.join(sorted(BLOCK))})\b)[^>]*>", re.I)
+
+
+def blocks_of(page: str) -> list[Block]:
+    """The page's text blocks in order."""
+    reader = Reader()
+    unclosed: set[str] = set()  # raw elements that don't end any more
+    at = 0
+    while m := TAG.search(page, at):
+        reader.text(page[at : m.start()])
         at = m.end()
         closing, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not tag:
-            if m[0].startswith("<![CDATA["):
-                continue
             continue
         tag = tag.lower()
-        if tag in RAW and not closing and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            if tag not in INLINE:
-                flush()
-            continue
-        if tag == "br" or tag == "hr":
-            parts.append((" ", False))
+        if tag in RAW:
+            if not closing and not attributes.rstrip().endswith("/"):
+                end = None if tag in unclosed else re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    unclosed.add(tag)
+                    border = BORDER.search(page, at)
+                    at = border.start() if border else len(page)
+        elif tag in ("br", "hr"):
+            reader.text(" ")
+        elif tag in VOID:
             continue
-        if tag not in INLINE:
-            flush()
-        if tag in VOID:
-            continue
-        if closing:
-            if any(t == tag for t, _, _ in stack):
-                while stack:
-                    name, kind, _ = stack.pop()
-                    if kind:
-                        kinds[kind] -= 1
-                    anchors -= name == "a"
-                    if name == tag:
-                        break
-            continue
-        within = bool(stack) and stack[-1][2]
-        if tag in ("article", "main") and not within:
-            # what was left open before the article doesn't enclose it
-            for i, (name, kind, _) in enumerate(stack):
-                if kind in ("nav", "header", "footer", "ad", "notice"):
-                    kinds[kind] -= 1
-                    stack[i] = (name, None, False)
-                anchors -= name == "a"
-            stack[:] = [x for x in stack if x[0] != "a"]
-        kind = kind_of(tag, attributes, within)
-        if kind:
-            kinds[kind] = kinds.get(kind, 0) + 1
-        if not attributes.rstrip().endswith("/") or tag not in INLINE:
-            anchors += tag == "a"
-            stack.append((tag, kind, within or tag in ("article", "main")))
-    flush()
-    return blocks
+        elif closing:
+            reader.close((tag,), frozenset() if tag in BLOCK else BLOCK)
+        else:
+            reader.start(tag, attributes)
+    reader.text(page[at:])
+    reader.flush()
+    return reader.blocks
 
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "article", "heading", "item", "any_article", *KINDS)
+FEATURES = (
+    "words", "density", "words_before", "density_before", "words_after", "density_after", "paragraph", "heading", "item",
+    "container_words", "container_share", "container_density", "container_paragraphs", "container_headings", "around_share", "around_headings",
+)
 
 
 def features_of(blocks: list[Block]) -> np.ndarray:
-    """A row for each block: its own word count and link density, its neighbours', and what encloses it."""
-    out = np.zeros((len(blocks), len(FEATURES)))
-    page = any(b.article for b in blocks)
-    for i, b in enumerate(blocks):
-        near = (b, blocks[i - 1] if i else None, blocks[i + 1] if i + 1 < len(blocks) else None)
-        numbers = [x for n in near for x in ((n.words, n.linked / n.words) if n else (0, 0.0))]
-        out[i] = [*numbers, b.article, b.heading, b.item, page, *(k in b.inside for k in KINDS)]
+    """A row for each block.
+
+    Its container is the element around its own one, or its own one where that holds other blocks as well. Words,
+    share (of the page's words outside links), density, paragraphs (their share) and headings are of the blocks
+    that stand directly in the container, or in the element around it.
+    """
+    n = len(blocks)
+    if not n:
+        return np.zeros((0, len(FEATURES)))
+    words, linked = (np.array([getattr(b, x) for b in blocks], float) for x in ("words", "linked"))
+    flags = [np.array([getattr(b, x) for b in blocks], float) for x in ("paragraph", "heading", "item")]
+    holders = {b.parent for b in blocks}
+    container = [b.own if b.own in holders else b.parent for b in blocks]
+    around = [b.parent if c == b.own else b.grand for b, c in zip(blocks, container, strict=True)]
+    place = {c: i for i, c in enumerate(dict.fromkeys([*container, *around]))}
+    inner, outer = (np.array([place[c] for c in x]) for x in (container, around))
+    total = lambda x: np.bincount(inner, x, len(place))
+    free = words - linked
+    share, size, count = total(free) / max(1.0, free.sum()), total(words), np.maximum(1, total(np.ones(n)))
+    paragraphs, headings = total(flags[0]) / count, total(flags[1]) > 0
+    density = linked / words
+    near = lambda x, k: np.concatenate([[0.0], x[:-1]] if k else [x[1:], [0.0]])
+    held = (total(linked) / np.maximum(1.0, size))[inner]
+    return np.stack([words, density, near(words, 1), near(density, 1), near(words, 0), near(density, 0), *flags, size[inner], share[inner], held, paragraphs[inner], headings[inner], share[outer], headings[outer]], axis=1)
+
+
+#: The labelled table's main blocks begin with this character, which is taken off before a page is used.
+MAIN = "\x01"
+LABELLED_PAGES = 900
+
+
+def labelled_pages(n: int = LABELLED_PAGES, seed: int = 5) -> list[tuple[str, list[bool]]]:
+    """(html, whether each block is main text): invented pages of many makes, the same ones at every call."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghilmnoprstu") for _ in range(r.randint(1, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))) + r.choice([".", ".", "", "?"])
+    link = lambda a=1, b=3: f"<a href='/{word()}'>{words(a, b)}</a>"
+    some = lambda a, b, make: "".join(make() for _ in range(r.randint(a, b)))
+
+    def length() -> tuple[int, int]:
+        return r.choice([(1, 2), (1, 6), (3, 15), (10, 40), (20, 90), (60, 250)]) if r.random() < 0.97 else (300, 3000)
+
+    def paragraph(longest: bool = False) -> str:
+        body = MAIN + words(*((30, 120) if longest else length()))
+        if r.random() < 0.2:
+            body += f" {link()} {words(1, 12)}"
+        return r.choice([f"<p>{body}</p>", f"<p>{body}</p>", f"<p>{body}", f"<p><b>{body}<br>", f"<p><i>{body}</i></p>"])
+
+    def article() -> str:
+        title = f"<h1>{MAIN}{words(1, 12)}</h1>"
+        kind = r.random()
+        if kind < 0.3:  # few words
+            inner = title + some(1, 2, lambda: r.choice([f"<p>{MAIN}{words(1, 8)}</p>", f"<p><b>{MAIN}{words(1, 8)}<br>", f"<p>{MAIN}{words(2, 30)} {link()} {words(1, 9)}</p>"]))
+        elif kind < 0.7:
+            inner = (title if r.random() < 0.9 else paragraph(True)) + some(2, 14, paragraph)
+        else:
+            parts = [title, paragraph(True), *(paragraph() for _ in range(r.randint(2, 8)))]
+            extra = [
+                lambda: "<ul>" + some(2, 6, lambda: f"<li>{MAIN}{words(*length())}</li>") + "</ul>",
+                lambda: f"<h2>{MAIN}{words(1, 6)}</h2>",
+                lambda: f"<blockquote><p>{MAIN}{words(4, 30)}</p></blockquote>",
+                lambda: f"<section><h3>{MAIN}{words(1, 4)}</h3>{paragraph()}{paragraph(True)}</section>",
+                lambda: "<table>" + some(1, 3, lambda: f"<tr><td>{MAIN}{words(1, 3)}</td><td>{MAIN}{words(1, 20)}</td></tr>") + "</table>",
+                lambda: f"<pre>{MAIN}{words(2, 12)}</pre>",
+                lambda: f"<figure><figcaption>{MAIN}{words(2, 12)}</figcaption></figure>",
+                lambda: f"<p>{MAIN}{link(2, 6)}</p>",
+            ]
+            for _ in range(r.randint(1, 4)):
+                parts.insert(r.randint(2, len(parts)), r.choice(extra)())
+            inner = "".join(parts)
+        return r.choice([f"<article>{inner}</article>", f"<div>{inner}</div>", f"<div><div>{inner}</div></div>", f"<main>{inner}</main>", f"<table><tr><td>{inner}</td></tr></table>"])
+
+    def menu() -> str:
+        items = some(2, 8, lambda: f"<li>{link()}</li>")
+        return r.choice([f"<nav><ul>{items}</ul></nav>", f"<div><ul>{items}</ul></div>", f"<ul>{items}</ul>", f"<div>{some(2, 8, link)}</div>", f"<p>{some(2, 6, link)}</p>", f"<div>{words(1, 2)} {link()} | {link()} | {link()}</div>"])
+
+    def advert() -> str:
+        return r.choice([f"<div>{words(1, 30)}</div>", f"<div>{words(1, 30)}</div>", f"<div>{link(3, 10)}</div>", f"<div><div>{words(2, 12)}</div>{link()}</div>"])
+
+    def teasers() -> str:
+        return r.choice(["<div>" + some(2, 6, lambda: f"<p>{link(3, 12)}</p>") + "</div>", "<div><ul>" + some(2, 6, lambda: f"<li>{link(3, 12)}</li>") + "</ul></div>", "<div>" + some(2, 4, lambda: f"<div><h3>{link(2, 8)}</h3></div>") + "</div>"])
+
+    def footer() -> str:
+        return r.choice([f"<footer>&copy; {words(2, 25)}</footer>", f"<div>&copy; {words(2, 25)}</div>", f"<footer>{words(1, 4)} {link()} {link()}</footer>", f"<footer><div>{some(2, 5, link)}</div><div>{words(2, 12)}</div></footer>"])
+
+    def site() -> str:
+        return r.choice([f"<header>{words(1, 5)}</header>", f"<div>{words(1, 4)}</div>", f"<div>{link()}</div>"])
+
+    out = []
+    for _ in range(n):
+        before = [site() if r.random() < 0.3 else "", menu() if r.random() < 0.85 else "", advert() if r.random() < 0.7 else ""]
+        after = [advert() if r.random() < 0.4 else "", teasers() if r.random() < 0.3 else "", menu() if r.random() < 0.2 else "", footer() if r.random() < 0.9 else ""]
+        page = "".join([*before, article(), *after])
+        page = r.choice([f"<html><body>{page}</body></html>", f"<body>{page}", f"<body><div>{page}</div></body>"])
+        labels = [MAIN in b.text for b in blocks_of(page)]
+        out.append((page.replace(MAIN, ""), labels))
     return out
 
 
-LONG = "This is a sentence of the text that goes on for a while, so that there are enough words in the block to tell it from a menu, and then it ends."
-SHORT = "It rained."
-LINK = '<a href="/x">Read more here</a>'
-#: The small labelled table: pages, and for each of their blocks whether it is main text.
-PAGES: tuple[tuple[str, str], ...] = (
-    (f"<nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News of the day</a></li></ul></nav><article><h1>A title</h1><p>{LONG}</p><p>{SHORT}</p></article><footer>All rights reserved, the company.</footer>", "0011 10".replace(" ", "")),
-    (f"<header><h1>The site</h1><p>{LONG}</p></header><main><h2>A heading of the piece</h2><p>{LONG}</p><ul><li>One item</li><li>{LONG}</li></ul></main><aside><p>{LONG}</p></aside>", "0011110"),
-    (f"<body><div class='ad'>{LONG}</div><article><p>{SHORT}</p><div class='ad'>Buy this now.</div><p>Yes.</p><p>{LONG}</p><section class='comments'><p>{LONG}</p><p>I agree.</p></section></article><div id='footer'>{LINK}</div></body>", "01011000"),
-    (f"<div class='menu'>{LINK}</div><div><h1>A page without an article</h1><p>{LONG}</p><p>{LONG}</p></div><div>{LINK} {LINK}</div><div id='comments'><p>{LONG}</p></div><p>Copyright</p>", "0111000"),
-    (f"<div>{LINK}</div><p>{LONG}</p><p>{LONG} {LINK}</p><p>{LONG}</p><div>{LINK}</div><form>Your name please and your address</form><div class='cookie-notice'>{LONG}</div>", "0111000"),
-    (f"<article><header><h1>Title in a header</h1></header><p>{LONG}</p><form><label>Mail</label> Send it to us</form><p>{SHORT}</p><p>{LONG} {LINK}</p><aside>{LONG}</aside><p>{LINK}</p></article><div class='sidebar'><p>{LONG}</p></div>", "11011010"),
-    (f"<div role='navigation'>Menu of things</div><article><h2>{SHORT}</h2><blockquote>{LONG}</blockquote><pre>x = 1</pre><table><tr><td>Cell</td><td>{LONG}</td></tr></table></article><div class='newsletter'>Join us today</div><footer><p>{LONG}</p></footer>", "01111100"),
-    (f"<div>{SHORT}</div><div>{LINK}</div><div>{LINK}</div><div>Home</div><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div>{LINK}</div>", "00001110"),
-    (f"<article><p>{LINK}</p><ul><li>{LINK}</li><li>{SHORT}</li></ul><h3>Two</h3></article><p>{LONG}</p><div class='related'>{LINK}{LONG}</div>", "111100"),
-    (f"<article><h1>{LONG}</h1><p>{LONG} {LONG} {LONG}</p><p>{SHORT}</p><p>{LONG} {LONG}</p><p>{LONG} {LONG} {LONG}</p><p>{LONG}</p><p>Be.</p><p>{LONG} {LONG}</p><p>{LONG} {LONG} {LONG} {LONG}</p><p>{SHORT}</p></article><footer>{SHORT}</footer>", "11111111110"),
-    (f"<article><p>{LONG} {LONG}</p><div class='ad'>{SHORT}</div><p>{LONG} {LONG}</p><nav>{LINK} {SHORT}</nav><p>{LONG}</p><div class='advert'>{LONG} {LONG}</div><p>{SHORT}</p><div class='notice'>{LONG}</div><p>{LONG}</p><aside>{SHORT}</aside><p>{LONG}</p><form>{LONG}</form><p>{LONG}</p><footer>{LONG}</footer></article>", "10101010101010"),
-    (f"<article><p>{LONG} {LONG}</p><p>{SHORT}</p><div class='comment'>{SHORT}</div><div class='comment'>{LONG} {LONG}</div></article><div class='comments'><p>{LONG} {LONG}</p></div>", "11000"),
-    (f"<article><p>{LONG} {LONG}</p><aside>{LONG}</aside><aside>{LONG} {LONG}</aside><p>{LONG} {LONG}</p><div class='cookie'>{SHORT}</div><nav>{LONG}</nav><form>{SHORT}</form><p>{LONG}</p></article>", "10010001"),
-    (f"<main><p>One.</p></main><div>{SHORT}</div><p>{LONG}</p><dialog>{LONG}</dialog>", "1000"),
-)
-
-
 @dataclass
 class Node:
     feature: int = -1
@@ -194,42 +325,56 @@ class Node:
     label: bool = False
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 10) -> Node:
+DEPTH, LEAST = 14, 2
+
+
+def grow(x: np.ndarray, y: np.ndarray, depth: int = DEPTH) -> Node:
     """A tree of cuts that lower the Gini impurity most; ties go to the first feature and the lowest cut."""
-    node = Node(label=bool(2 * y.sum() >= len(y)))
-    if depth == 0 or y.min() == y.max():
+    n = len(y)
+    node = Node(label=bool(2 * y.sum() >= n))
+    if depth == 0 or n < 2 * LEAST or y.min() == y.max():
         return node
-    impurity = lambda part: len(part) * part.mean() * (1 - part.mean())
-    best = impurity(y) - 1e-9
+    best = y.sum() * (1 - y.mean()) - 1e-9
     for f in range(x.shape[1]):
-        values = np.unique(x[:, f])
-        for cut in (values[:-1] + values[1:]) / 2:
-            low = x[:, f] <= cut
-            if (now := impurity(y[low]) + impurity(y[~low])) < best - 1e-12:
-                best, node.feature, node.cut = now, f, float(cut)
+        order = np.argsort(x[:, f], kind="stable")
+        v, ones = x[order, f], np.cumsum(y[order])
+        size = np.arange(1, n)
+        low, rest = ones[:-1], ones[-1] - ones[:-1]
+        impurity = low * (1 - low / size) + rest * (1 - rest / (n - size))
+        impurity[(v[1:] <= v[:-1]) | (size < LEAST) | (n - size < LEAST)] = np.inf
+        at = int(np.argmin(impurity))
+        if impurity[at] < best - 1e-12:
+            best, node.feature, node.cut = float(impurity[at]), f, float((v[at] + v[at + 1]) / 2)
     if node.feature >= 0:
         low = x[:, node.feature] <= node.cut
         node.low, node.high = grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1)
     return node
 
 
-def train(pages: tuple[tuple[str, str], ...] = PAGES) -> Node:
-    x = [features_of(blocks_of(page)) for page, _ in pages]
-    for rows, (page, labels) in zip(x, pages, strict=True):
-        if len(rows) != len(labels):
-            raise ValueError(f"{len(labels)} labels for {len(rows)} blocks: {page[:60]}")
-    return grow(np.concatenate(x), np.array([c == "1" for _, labels in pages for c in labels], float))
+@cache
+def train(n: int = LABELLED_PAGES) -> Node:
+    pages = labelled_pages(n)
+    return grow(np.concatenate([features_of(blocks_of(page)) for page, _ in pages]), np.array([m for _, labels in pages for m in labels], float))
 
 
-def is_main(node: Node, row: np.ndarray) -> bool:
-    while node.feature >= 0:
-        node = node.low if row[node.feature] <= node.cut else node.high
-    return node.label
+def is_main(node: Node, rows: np.ndarray) -> np.ndarray:
+    """The tree's decision for each row of features."""
+    out = np.zeros(len(rows), bool)
+    todo = [(node, np.arange(len(rows)))]
+    while todo:
+        node, own = todo.pop()
+        if node.feature < 0:
+            out[own] = node.label
+        elif len(own):
+            low = rows[own, node.feature] <= node.cut
+            todo += [(node.low, own[low]), (node.high, own[~low])]
+    return out
 
 
-def main_text(page: str | None, tree: Node) -> str:
+def main_text(page: str | None, tree: Node, check: bool = True) -> str:
+    """The blocks that the tree takes, without those that the page marks as no article (unless check is off)."""
     blocks = blocks_of(page or "")
-    return " ".join(b.text for b, row in zip(blocks, features_of(blocks), strict=True) if is_main(tree, row))
+    return " ".join(b.text for b, main in zip(blocks, is_main(tree, features_of(blocks)).tolist(), strict=True) if main and not (check and b.marked))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

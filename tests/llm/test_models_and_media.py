@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lamella.llm import bpe, html_text, lm_scoring, media_tiff, mih, textkernels, toxicity
+from lamella.llm import bpe, lm_scoring, media_tiff, mih, textkernels, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -250,24 +250,3 @@ def test_cache_starts_anew_when_it_is_full(monkeypatch):
     monkeypatch.setattr(bpe, "STEPS", 3)
     own.clear()
     assert list(own.encode(texts)) == expected
-
-
-LONG = "Some words that make up a paragraph which goes on long enough to be one, with commas and a full stop at its end."
-HTML = [
-    (f"<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>{LONG}<p>Be <b>bo</b>ld.<br>Line</p></article><footer>F</footer>", f"T & U {LONG} Be bold. Line"),
-    (f"<article><p>{LONG}</p><div class='ad'>Buy</div><script>var x='<p>no</p>'</script><p>Yes.</p><section class=comments><p>{LONG}</p></section>", f"{LONG} Yes."),
-    (f"<!-- <article>x</article> --><header>Site</header><main><p>a  &lt;b&gt;\n c</p><aside>{LONG}</aside></main>", "a <b> c"),
-    ("", ""), (None, ""), ("<", ""), ("<article><p>cut of", "cut of"), ("<article><p>x</p></article", "x"),
-]
-
-
-def test_html(spark):
-    df = spark.createDataFrame([(i, f"u{i}", h) for i, (h, _) in enumerate(HTML)], "page_id long, text string, html string")
-    out = html_text.extract(df)
-    assert {x.c0: x.text for x in out.collect()} == {i: t for i, (_, t) in enumerate(HTML)}
-    assert html_text.extract(df.limit(0)).collect() == []
-    tree = html_text.train()
-    long = "<article>" + "<p>word</p>" * 20_000 + "</article>"
-    assert html_text.main_text(long, tree) == " ".join(["word"] * 20_000)
-    wrong = [p for p, labels in html_text.PAGES if [html_text.is_main(tree, x) for x in html_text.features_of(html_text.blocks_of(p))] != [c == "1" for c in labels]]
-    assert len(wrong) <= 1

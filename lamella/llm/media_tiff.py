@@ -5,7 +5,8 @@ PackBits (32773); predictor 1 and 2; 8-bit samples, interleaved. A directory tha
 loops of directories end; a page that can't be read becomes a row with its error and no samples.
 
 ``store`` writes bytes as RGB rows of 64 pixels in pages of up to ``PAGE_ROWS`` rows, whose compression, predictor
-and layout follow from their place and size. The operator's query does so with texts, and reads them back.
+and layout (``WAYS``) follow from the payload's checksum and the page's number, not from its size. The operator's query
+does so with texts, and reads them back.
 
 Defined cases: null bytes are empty; an empty text is one blank row; equal texts give equal files; any length fits in
 as many pages as needed, one page in memory at a time when read; repeated rows and further columns play no part.
@@ -29,9 +30,7 @@ UNIT = 192
 WIDTH, SAMPLES = 64, 3
 PAGE_ROWS = 512
 STRIP_ROWS = 64
-TILE_SIDE = 32
-#: Pages of at most so many bytes are written with PackBits or LZW; larger ones with deflate, which is compiled code.
-SMALL_PAGE = 768
+TILE_WIDE, TILE_HIGH = 32, 16
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Fixed values of the format: tag numbers and the sizes of the field types.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -42,109 +41,133 @@ FIELD_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
-        run = 1
-        while run < 128 and i + run < len(data) and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        start = i
-        while i < len(data) and i - start < 128 and not (i + 1 < len(data) and data[i + 1] == data[i]):
-            i += 1
-        out.append(i - start - 1)
-        out += data[start:i]
-    return bytes(out)
+    """Runs of two or more equal bytes as (257 - length, byte), all else as (length - 1, bytes); 128 at most each."""
+    x = np.frombuffer(data, np.uint8)
+    if not len(x):
+        return b""
+    # pieces: maximal runs, where neighbours of length 1 are joined to one literal piece
+    edge = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+    length = np.diff(np.append(edge, len(x)))
+    single = length == 1
+    begins = ~(single & np.append(False, single[:-1]))
+    start, run = edge[begins], ~single[begins]
+    size = np.diff(np.append(start, len(x)))
+    # cut to 128 bytes each
+    pieces = -(-size // 128)
+    first = np.repeat(np.cumsum(pieces) - pieces, pieces)
+    part = np.arange(len(first)) - first
+    size = np.minimum(np.repeat(size, pieces) - part * 128, 128)
+    start, run = np.repeat(start, pieces) + part * 128, np.repeat(run, pieces)
+    taken = np.where(run, 1, size)
+    head = np.cumsum(taken + 1) - (taken + 1)
+    out = np.empty(int((taken + 1).sum()), np.uint8)
+    out[head] = np.where(run & (size > 1), 257 - size, size - 1)
+    at = np.repeat(head + 1 - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))
+    out[at] = x[np.repeat(start - (np.cumsum(taken) - taken), taken) + np.arange(int(taken.sum()))]
+    return out.tobytes()
 
 
 def unpack_bits(data: bytes) -> bytes:
-    out, i = bytearray(), 0
-    while i < len(data):
+    out, i, end = [], 0, len(data)
+    while i < end:
         n = data[i]
         if n < 128:
-            out += data[i + 1 : i + 2 + n]
+            out.append(data[i + 1 : i + 2 + n])
             i += n + 2
         elif n > 128:
-            if i + 1 >= len(data):
+            if i + 1 >= end:
                 raise ValueError("PackBits run without its byte")
-            out += data[i + 1 : i + 2] * (257 - n)
+            out.append(data[i + 1 : i + 2] * (257 - n))
             i += 2
         else:
             i += 1
-    return bytes(out)
+    return b"".join(out)
+
+
+CLEAR, END, FIRST, FULL = 256, 257, 258, 4094
+#: Width of the k-th code after a clear code: 9 to 12 bits, changed one code early, as the format has it.
+_K = np.arange(FULL - FIRST + 2)
+WIDTHS = 9 + (_K >= 254).astype(np.int64) + (_K >= 766) + (_K >= 1790)
+BITS_BEFORE = np.append(0, np.cumsum(WIDTHS))
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """TIFF's LZW: most significant bit first, widths of 9 to 12 bits that change one code early."""
-    codes, table, width, held, bits, out = [256], {bytes((i,)): i for i in range(256)}, 9, 0, 0, bytearray()
-    widths, following, word = [9], 258, b""
-    for byte in data:
-        longer = word + bytes((byte,))
-        if longer in table:
-            word = longer
-            continue
-        codes.append(table[word])
-        widths.append(width)
-        table[longer] = following
-        following += 1
-        if following == 4094:
-            codes.append(256)
-            widths.append(12)
-            table, following, width = {bytes((i,)): i for i in range(256)}, 258, 9
-        elif following + 1 > (1 << width) - 0 and width < 12:
-            width += 1
-        word = bytes((byte,))
-    if word:
-        codes.append(table[word])
-        widths.append(width)
-        following += 1
-        if following + 1 > 1 << width and width < 12:
-            width += 1
-    codes.append(257)
-    widths.append(width)
-    for code, w in zip(codes, widths, strict=True):
-        held = held << w | code
-        bits += w
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-        held &= (1 << bits) - 1
-    if bits:
-        out.append(held << 8 - bits & 255)
-    return bytes(out)
+    """TIFF's LZW, most significant bit first; the table starts anew when it is full."""
+    codes: list[int] = []
+    counts: list[int] = []  # codes after each clear code, its successor included
+    rest = iter(data)
+    code = next(rest, -1)
+    while code >= 0:
+        begin, following, table = len(codes), FIRST, {}
+        find, add = table.get, codes.append
+        for byte in rest:
+            key = code << 8 | byte
+            longer = find(key)
+            if longer is not None:
+                code = longer
+                continue
+            add(code)
+            table[key] = following
+            following += 1
+            code = byte
+            if following == FULL:
+                break
+        else:
+            add(code)
+            code = -1
+        add(CLEAR if code >= 0 else END)
+        counts.append(len(codes) - begin)
+    if not codes:
+        codes, counts = [END], [1]
+    widths = np.concatenate([[9], *(WIDTHS[:n] for n in counts)])
+    values = np.concatenate([[CLEAR], codes]).astype(np.uint32)
+    bits = (values[:, None] >> np.arange(11, -1, -1, dtype=np.uint32)) & 1
+    return np.packbits(bits.astype(bool)[np.arange(12) >= 12 - widths[:, None]]).tobytes()
+
+
+def _codes(data: bytes) -> Iterator[list[int]]:
+    """The codes between clear codes; ends at the end code or with the data."""
+    x = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    at, end = 0, 8 * len(data)
+    while at < end:
+        places = at + BITS_BEFORE[: len(WIDTHS)]
+        n = int(np.searchsorted(places + WIDTHS, end, side="right"))
+        places, widths = places[:n], WIDTHS[:n]
+        k = places >> 3
+        window = x[k] << 16 | x[k + 1] << 8 | x[k + 2]
+        codes = (window >> (24 - widths - (places & 7)).astype(np.uint32)) & ((1 << widths) - 1).astype(np.uint32)
+        stop = np.flatnonzero((codes == CLEAR) | (codes == END))
+        yield codes[: stop[0]].tolist() if len(stop) else codes.tolist()
+        if not len(stop) or codes[stop[0]] == END:
+            return
+        at += int(BITS_BEFORE[stop[0] + 1])
 
 
 def lzw_decode(data: bytes) -> bytes:
-    out: list[bytes] = []
-    first = [bytes((i,)) for i in range(256)] + [b"", b""]
-    words, width, held, bits, previous = list(first), 9, 0, 0, None
-    for byte in data:
-        held = held << 8 | byte
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits
-        held &= (1 << bits) - 1
-        if code == 257:
-            break
-        if code == 256:
-            words, width, previous = list(first), 9, None
-            continue
-        if previous is None:
-            word = words[code]
-        else:
-            if code > len(words):
+    """A code of the table is what one earlier code stood for and one byte more, so it is a slice of what is out."""
+    whole = bytearray()
+    for codes in _codes(data):
+        out, starts, lengths, made = bytearray(), [], [], 0
+        begin, size = starts.append, lengths.append
+        for code in codes:
+            begin(made)
+            if code < CLEAR:
+                out.append(code)
+                made += 1
+                size(1)
+                continue
+            k = code - FIRST
+            if k >= len(lengths):
                 raise ValueError("LZW code ahead of its table")
-            word = words[code] if code < len(words) else previous + previous[:1]
-            words.append(previous + word[:1])
-            if len(words) + 1 >= 1 << width and width < 12:
-                width += 1
-        out.append(word)
-        previous = word
-    return b"".join(out)
+            a, n = starts[k], lengths[k] + 1
+            word = out[a : a + n]
+            if len(word) < n:
+                word.append(word[0])  # the string that this very code completes ends as it begins
+            out += word
+            made += n
+            size(n)
+        whole += out
+    return bytes(whole)
 
 
 PACKERS: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 1), PACKBITS: pack_bits}
@@ -154,9 +177,18 @@ UNPACKERS: dict[int, Callable[[bytes], bytes]] = {NONE: bytes, LZW: lzw_decode,
 def _pieces(image: np.ndarray, tiled: bool) -> list[np.ndarray]:
     if not tiled:
         return [image[y : y + STRIP_ROWS] for y in range(0, len(image), STRIP_ROWS)]
-    short = -len(image) % TILE_SIDE
+    short = -len(image) % TILE_HIGH
     padded = np.pad(image, ((0, short), (0, 0), (0, 0)))
-    return [padded[y : y + TILE_SIDE, x : x + TILE_SIDE] for y in range(0, len(padded), TILE_SIDE) for x in range(0, WIDTH, TILE_SIDE)]
+    return [padded[y : y + TILE_HIGH, x : x + TILE_WIDE] for y in range(0, len(padded), TILE_HIGH) for x in range(0, WIDTH, TILE_WIDE)]
+
+
+#: The ways to store a page: compression, whether tiled, predictor. PackBits has no predictor in the format.
+WAYS = ((LZW, False, 1), (PACKBITS, True, 1), (DEFLATE, False, 1), (LZW, True, 2), (PACKBITS, False, 1), (DEFLATE, True, 2), (LZW, False, 2), (DEFLATE, True, 1), (LZW, True, 1), (DEFLATE, False, 2))
+
+
+def way_of(key: int, page: int) -> tuple[int, bool, int]:
+    """How a page is stored: by the payload's checksum, whatever its size, and in turn from page to page."""
+    return WAYS[(key + page) % len(WAYS)]
 
 
 def store(payload: bytes) -> bytes:
@@ -164,15 +196,11 @@ def store(payload: bytes) -> bytes:
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
     step = PAGE_ROWS * UNIT
+    key = zlib.crc32(payload)
     for page, start in enumerate(range(0, len(payload), step)):
         part = payload[start : start + step]
         image = np.frombuffer(part, np.uint8).reshape(-1, WIDTH, SAMPLES)
-        tiled = page % 2 == 1
-        if len(part) <= SMALL_PAGE:
-            compression = (PACKBITS, LZW)[len(part) // UNIT % 2]
-        else:
-            compression = DEFLATE
-        predictor = 2 if compression != PACKBITS and len(image) % 2 else 1
+        compression, tiled, predictor = way_of(key, page)
         offsets, counts = [], []
         for piece in _pieces(image, tiled):
             if predictor == 2:
@@ -197,7 +225,7 @@ def store(payload: bytes) -> bytes:
         fields += [(SAMPLES_PER_PIXEL, 3, 1, SAMPLES)]
         fields += [] if tiled else [(ROWS_PER_STRIP, 4, 1, STRIP_ROWS), (STRIP_COUNTS, 4, n, at[1])]
         fields += [(PLANAR, 3, 1, 1), (PREDICTOR, 3, 1, predictor)]
-        fields += [(TILE_WIDTH, 4, 1, TILE_SIDE), (TILE_LENGTH, 4, 1, TILE_SIDE), (TILE_OFFSETS, 4, n, at[0]), (TILE_COUNTS, 4, n, at[1])] if tiled else []
+        fields += [(TILE_WIDTH, 4, 1, TILE_WIDE), (TILE_LENGTH, 4, 1, TILE_HIGH), (TILE_OFFSETS, 4, n, at[0]), (TILE_COUNTS, 4, n, at[1])] if tiled else []
         out[link : link + 4] = struct.pack("<I", len(out))
         out += struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", *f) for f in fields)
         link = len(out)

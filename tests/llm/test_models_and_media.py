@@ -42,6 +42,92 @@ def test_codecs_round_trip(n):
         assert media_tiff.lzw_decode(media_tiff.lzw_encode(data)) == data
 
 
+def plain_lzw(data):
+    """TIFF's LZW as the specification tells it, bit by bit."""
+    bits = "".join(f"{b:08b}" for b in data)
+    table, width, at, old, out = None, 9, 0, None, b""
+    while True:
+        code, at = int(bits[at : at + width], 2), at + width
+        if code == 257:
+            return out
+        if code == 256:
+            table, width, old = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, 9, None
+            continue
+        word = table[code] if code in table else old + old[:1]
+        if old is not None:
+            table[len(table)] = old + word[:1]
+        width = 9 + (len(table) >= 511) + (len(table) >= 1023) + (len(table) >= 2047)
+        out, old = out + word, word
+
+
+def plain_pack_bits(data):
+    out, i = b"", 0
+    while i < len(data):
+        n = data[i] - 256 if data[i] > 127 else data[i]
+        out += data[i + 1 : i + 2 + n] if n >= 0 else data[i + 1 : i + 2] * (1 - n)
+        i += 2 + n if n >= 0 else 2
+    return out
+
+
+def plain_tiff(data):
+    """(compression, tiled, predictor, samples) of each page, read by the specification, sample by sample."""
+    import struct
+
+    at = struct.unpack("<I", data[4:8])[0]
+    while at:
+        n = struct.unpack("<H", data[at : at + 2])[0]
+        tags = {}
+        for tag, kind, count, value in struct.iter_unpack("<HHII", data[at + 2 : at + 2 + 12 * n]):
+            size = {3: 2, 4: 4}[kind] * count
+            raw = struct.pack("<I", value)[:size] if size <= 4 else data[value : value + size]
+            tags[tag] = struct.unpack(f"<{count}{'HI'[kind == 4]}", raw)
+        at = struct.unpack("<I", data[at + 2 + 12 * n : at + 6 + 12 * n])[0]
+        (width,), (height,), (how,), tiled = tags[256], tags[257], tags[259], 322 in tags
+        wide, high = (tags[322][0], tags[323][0]) if tiled else (width, tags[278][0])
+        image = bytearray(width * height * 3)
+        across = -(-width // wide)
+        for k, (offset, size) in enumerate(zip(tags[324 if tiled else 273], tags[325 if tiled else 279], strict=True)):
+            piece = bytearray({5: plain_lzw, 8: zlib.decompress, 32773: plain_pack_bits}[how](data[offset : offset + size]))
+            for row in range(len(piece) // (3 * wide)):
+                if tags[317] == (2,):
+                    for i in range(3 * wide * row + 3, 3 * wide * (row + 1)):
+                        piece[i] = (piece[i] + piece[i - 3]) % 256
+                y, x = k // across * high + row, k % across * wide
+                if y < height:
+                    image[3 * (y * width + x) : 3 * (y * width + x + wide)] = piece[3 * wide * row : 3 * wide * (row + 1)]
+        yield how, tiled, tags[317][0], bytes(image)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 129, 5000, 20_000])
+def test_codecs_against_plain_ones(n):
+    r = random.Random(n)
+    for pool in (b"a", b"ab", b"the of and ", bytes(range(256))):
+        data = bytes(r.choice(pool) for _ in range(n))
+        assert plain_lzw(media_tiff.lzw_encode(data)) == data
+        assert plain_pack_bits(media_tiff.pack_bits(data)) == data
+
+
+def test_every_way_to_store_covers_its_share_at_every_size():
+    r = random.Random(2)
+    shares, sizes = Counter(), Counter()
+    for size in (1, 2, 5, 13, 40, 700):
+        for _ in range(60 if size < 100 else 8):
+            payload = "".join(r.choice("abc dé\n") for _ in range(192 * size)).encode()[: 192 * size]
+            read = list(plain_tiff(media_tiff.store(payload)))
+            assert b"".join(x[3] for x in read) == payload
+            for how, tiled, predictor, part in read:
+                shares[how, tiled, predictor] += len(part)
+                sizes[how, size] += 1
+    total = sum(shares.values())
+    print({k: round(v / total, 3) for k, v in shares.items()})
+    assert set(shares) == set(media_tiff.WAYS)
+    for how, least in ((media_tiff.LZW, 0.25), (media_tiff.PACKBITS, 0.1), (media_tiff.DEFLATE, 0.25)):
+        assert sum(v for k, v in shares.items() if k[0] == how) / total > least
+        assert all(sizes[how, size] for size in (1, 2, 5, 13, 40, 700))
+    for tiled in (True, False):
+        assert sum(v for k, v in shares.items() if k[1] == tiled) / total > 0.3
+
+
 def test_tiff(spark):
     r = random.Random(1)
     texts = ["", None, "short", "short", "é" * 200, "x" * 192, *("".join(r.choice("abc dé\n") for _ in range(n)) for n in (191, 193, 500, 900, 120_000, 250_000))]

@@ -6,8 +6,13 @@ such. The others become rows (word, position, token); the recursive step joins n
 finds each word's lowest rank and contracts its leftmost pair of that rank, until no word has a pair left. Decoding
 joins ids with the tokens' bytes and aggregates them in order of position.
 
-A task meets a word's query once: results stay in a cache of ``CACHE_WORDS`` words. Rounds of the recursion end
-after ``STEPS`` steps and go on from the last state, so that long words don't pile up all their states.
+One step contracts all pairs of a word's lowest rank that don't overlap, from the left, where that is what one at a
+time would do: unless a token so made has, with a neighbour, a pair of a still lower rank. Words with such a pair (the
+table ``danger`` knows them) contract their leftmost pair only. A step returns the rows that it changed, so work and
+memory are in proportion to a word's length. Before that, words of over ``LONG_WORD`` bytes are cut where no token of
+the vocabulary occurs across: no contraction can cross there, so the pieces are words of their own.
+
+A task meets a word's query once: results stay in a cache of ``CACHE_WORDS`` words.
 
 Defined cases: null text is empty; empty text has no ids and decodes to nothing; special tokens are ordinary text;
 repeated rows are encoded alike; any length is encoded whole, a slice of texts in memory at a time; further columns
@@ -36,28 +41,49 @@ from lamella.llm.textkernels import span_hashes
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_WORDS = 300_000
 SLICE_CHARS = 500_000
-STEPS = 64
-#: Words in one recursive query.
-CALL_WORDS = 8_000
-MEMORY = "300MB"
-
-#: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right.
+#: Words, and bytes of words, in one recursive query; a longer word has a query of its own.
+CALL_WORDS, CALL_BYTES = 8_000, 200_000
+#: DuckDB's memory in MB, and how many bytes more it may take for each byte of a word beyond CALL_BYTES.
+MEMORY_MB, MEMORY_BYTE = 300, 1_000
+LONG_WORD = 32
+
+#: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right,
+#: merged is what both make. A row that was contracted into its left neighbour has no id any more.
 STEP = """
-WITH RECURSIVE t(step, w, p, id, np, nid) AS (
-  SELECT 0, w, p, id, np, nid FROM state
-  UNION ALL
-  SELECT step + 1, t.w, t.p, CASE WHEN t.p = best THEN merged ELSE id END, CASE WHEN t.p = best THEN x_np ELSE np END,
-    CASE WHEN t.p = best THEN x_nid WHEN np = best THEN merged ELSE nid END
-  FROM t JOIN (
-    SELECT q.w, (k & 4294967295)::INT AS best, nb, (k >> 32)::INT AS merged, x.np AS x_np, x.nid AS x_nid
-    FROM (
-      SELECT w, min(k) AS k, arg_min(np, k) AS nb
-      FROM (SELECT w, np, (merged::BIGINT << 32) | p AS k FROM t JOIN merges m ON m.ab = (t.id::BIGINT << 32) | t.nid) GROUP BY w
-    ) q JOIN t x ON x.p = q.nb
-  ) q ON t.w = q.w
-  WHERE t.p <> nb AND step < {steps}
-), u AS MATERIALIZED (SELECT step, w, p, id FROM t)
-SELECT u.w, u.p, u.id, u.step FROM u JOIN (SELECT w, max(step) AS last FROM u GROUP BY w) l ON u.w = l.w AND u.step = l.last
+WITH RECURSIVE t(p, w, id, np, nid, merged) USING KEY (p) AS (
+  SELECT p, w, id, np, nid, merged FROM state LEFT JOIN merges ON ab = (id::BIGINT << 32) | nid
+  UNION (
+    WITH lowest AS (SELECT w, min(merged) AS r FROM recurring.t WHERE merged IS NOT NULL GROUP BY w),
+    found AS (
+      SELECT x.w, x.p, x.np AS q, l.r, lag(x.np) OVER (PARTITION BY x.w ORDER BY x.p) IS DISTINCT FROM x.p AS first
+      FROM recurring.t x JOIN lowest l ON x.w = l.w AND x.merged = l.r
+    ),
+    chained AS (SELECT *, sum(first::INT) OVER (PARTITION BY w ORDER BY p) AS chain FROM found),
+    apart AS (
+      SELECT w, p, q, r, row_number() OVER (PARTITION BY w, chain ORDER BY p) AS k, row_number() OVER (PARTITION BY w ORDER BY p) AS n
+      FROM chained QUALIFY k % 2 = 1
+    ),
+    pairs AS (SELECT e.w, e.p, e.q, e.r, e.n, y.np AS after, y.nid AS follows FROM apart e JOIN recurring.t y ON y.p = e.q),
+    before AS (SELECT e.w, z.p, z.id, z.np, e.r FROM recurring.t z JOIN apart e ON z.np = e.p),
+    unsafe AS (
+      SELECT w FROM (
+        SELECT w, r, (r::BIGINT << 32) | follows AS ab FROM pairs
+        UNION ALL SELECT w, r, (id::BIGINT << 32) | r FROM before
+        UNION ALL SELECT w, r, (r::BIGINT << 32) | r FROM pairs
+      ) made JOIN danger ON danger.ab = made.ab AND danger.part = made.r GROUP BY w
+    ),
+    chosen AS (SELECT * FROM pairs WHERE n = 1 OR w NOT IN (SELECT w FROM unsafe)),
+    changed AS (
+      SELECT c.p, c.w, c.r AS id, c.after AS np, CASE WHEN h.p IS NULL THEN c.follows ELSE c.r END AS nid FROM chosen c LEFT JOIN chosen h ON h.p = c.after
+      UNION ALL
+      SELECT z.p, z.w, z.id, z.np, z.r FROM before z JOIN chosen c ON c.p = z.np LEFT JOIN chosen gone ON gone.q = z.p WHERE gone.q IS NULL
+      UNION ALL
+      SELECT q, w, NULL, NULL, NULL FROM chosen
+    )
+    SELECT p, w, id, np, nid, merged FROM changed LEFT JOIN merges ON ab = (id::BIGINT << 32) | nid
+  )
+)
+SELECT w, p, id FROM t WHERE id IS NOT NULL ORDER BY p
 """
 #: One string for all sequences of a call, in order; it is cut where the sequences' token lengths end.
 DECODE = "SELECT string_agg(hex, '' ORDER BY p) AS hex FROM ids JOIN tokens USING (id)"
@@ -134,16 +160,23 @@ class Codec:
         self.rank = {t: i for i, t in enumerate(self.tokens) if t}
         self.pattern = None if pattern == KNOWN_PATTERN else regex.compile(pattern)
         self.kinds = character_kinds()
-        ab, merged = [], []
+        ab, merged, risk, part = [], [], [], []
+        self.prefixes: set[bytes] = set()
         for i, token in enumerate(self.tokens):
+            self.prefixes.update(token[:k] for k in range(2, len(token) + 1))
             for k in range(1, len(token)):
                 left, right = self.rank.get(token[:k]), self.rank.get(token[k:])
                 if left is not None and right is not None:
                     ab.append(left << 32 | right)
                     merged.append(i)
+                    for own in {left, right}:
+                        if i < own:
+                            risk.append(ab[-1])
+                            part.append(own)
         self.byte = np.array([self.rank[bytes((i,))] for i in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": MEMORY})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         self._table("merges", ab=np.array(ab, np.int64), merged=np.array(merged, np.int32))
+        self._table("danger", ab=np.array(risk, np.int64), part=np.array(part, np.int32))
         self.db.register("given", pa.table({"id": pa.array(range(len(self.tokens)), pa.int32()), "hex": [t.hex() for t in self.tokens]}))
         self.db.execute("CREATE TABLE tokens AS SELECT * FROM given")
         self.length = np.array([len(t) for t in self.tokens], np.int64)
@@ -160,22 +193,52 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, position, id) of the words' tokens; positions number the bytes of all words."""
+    def borders(self, word: bytes) -> list[int]:
+        """Where a word can be cut: no token of the vocabulary occurs in it across these places."""
+        out, reach = [0], 0
+        for p in range(len(word)):
+            if p >= reach and p:
+                out.append(p)
+            k = 2
+            while (part := word[p : p + k]) in self.prefixes and len(part) == k:
+                if part in self.rank:
+                    reach = max(reach, p + k)
+                k += 1
+        return [*out, len(word)]
+
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(word, id) of the words' tokens, in order."""
+        pieces, owner = [], []
+        for i, word in enumerate(words):
+            cuts = self.borders(word) if len(word) > LONG_WORD else [0, len(word)]
+            pieces += [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            owner += [i] * (len(cuts) - 1)
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        at = 0
+        while at < len(pieces):
+            end, size = at, 0
+            while end < len(pieces) and (end == at or (end - at < CALL_WORDS and size + len(pieces[end]) <= CALL_BYTES)):
+                size += len(pieces[end])
+                end += 1
+            w, ids = self._contract(pieces[at:end], size)
+            done.append((np.array(owner[at:end], np.int64)[w], ids))
+            at = end
+        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+    def _contract(self, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
         w = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words])
         p = np.arange(len(w), dtype=np.int32)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
-        done: list[tuple[np.ndarray, ...]] = []
-        while len(w):
-            last = np.append(w[1:] != w[:-1], True)
-            self._table("state", w=w, p=p, id=ids, np=pa.array(np.append(p[1:], p[:1]), mask=last), nid=pa.array(np.append(ids[1:], ids[:1]), mask=last))
-            out = self.db.execute(STEP.format(steps=STEPS)).fetchnumpy()
-            order = np.argsort(np.asarray(out["p"]))
-            w, p, ids, step = (np.asarray(out[c])[order] for c in ("w", "p", "id", "step"))
-            open_ = step == STEPS
-            done.append((w[~open_], p[~open_], ids[~open_]))
-            w, p, ids = w[open_], p[open_], ids[open_]
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int32),) * 3
+        last = np.append(w[1:] != w[:-1], True)
+        more = max(0, size - CALL_BYTES) * MEMORY_BYTE // 1_000_000
+        if more:
+            self.db.execute(f"SET memory_limit = '{MEMORY_MB + more}MB'")
+        self._table("state", w=w, p=p, id=ids, np=pa.array(np.append(p[1:], p[:1]), mask=last), nid=pa.array(np.append(ids[1:], ids[:1]), mask=last))
+        out = self.db.execute(STEP).fetchnumpy()
+        self.db.execute("DROP TABLE state")
+        if more:
+            self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
+        return np.asarray(out["w"]), np.asarray(out["id"])
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The bytes of each sequence; ends are where the sequences end in ids."""
@@ -190,7 +253,7 @@ class Codec:
         """Puts words into the cache; keys are their hashes."""
         whole = np.fromiter((self.rank.get(x, -1) for x in raw), np.int64, len(raw))
         split = np.flatnonzero(whole < 0)
-        w, p, ids = self.contract([raw[i] for i in split])
+        w, ids = self.contract([raw[i] for i in split])
         single = np.flatnonzero(whole >= 0)
         w, ids = np.concatenate([split[w], single]), np.concatenate([ids, whole[single]])
         order = np.argsort(w, kind="stable")  # positions already ascend inside each word

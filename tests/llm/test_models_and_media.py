@@ -309,6 +309,45 @@ def test_bpe(spark):
     assert bpe.digests(df.limit(0)).collect() == []
 
 
+def test_bpe_long_words():
+    """Unbroken words in time that grows with their length, equal to the library's."""
+    import time
+
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    own = bpe.Codec(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.rank, special_tokens={})
+    r = random.Random(4)
+    letters = lambda pool, n: "".join(r.choice(pool) for _ in range(n))
+    words = [
+        "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(100_000)), letters("日本語中国人大小山川", 20_000), letters("abcdefghijklmnopqrstuvwxyz", 60_000),
+        "a" * 60_000, "ab" * 30_000, letters("thes", 8_000), letters("tanrdi", 8_000), letters(".-=*", 8_000), letters("01", 20_000),
+    ]
+    for word in words:
+        start = time.time()
+        ids, data = next(own.encode([word]))
+        assert time.time() - start < 30
+        assert data == word.encode()
+        assert np.frombuffer(ids, "<u4").tolist() == library._core_bpe.encode_single_piece(word.encode())
+
+
+def test_bpe_contractions_one_by_one_or_together(monkeypatch):
+    """Words of a few letters, so that equal, overlapping and dangerous pairs abound."""
+    import tiktoken
+
+    path, pattern = bpe.vocabulary()
+    own = bpe.Codec(path, pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=own.rank, special_tokens={})
+    r = random.Random(5)
+    words = ["".join(r.choice(pool) for _ in range(r.randrange(1, 60))).encode() for pool in ("a", "an", "the", "stanri", "esinghtd", "é", "日本", "ss ") for _ in range(300)]
+    for least in (1, 1000):
+        monkeypatch.setattr(bpe, "LONG_WORD", least)
+        w, ids = own.contract(words)
+        for i, word in enumerate(words):
+            assert ids[w == i].tolist() == library._core_bpe.encode_single_piece(word)
+
+
 def test_words_of_all_characters():
     import regex
 
@@ -333,6 +372,7 @@ def test_cache_starts_anew_when_it_is_full(monkeypatch):
     expected = list(own.encode(texts))
     monkeypatch.setattr(bpe, "CACHE_WORDS", 20)
     monkeypatch.setattr(bpe, "SLICE_CHARS", 30)
-    monkeypatch.setattr(bpe, "STEPS", 3)
+    monkeypatch.setattr(bpe, "CALL_BYTES", 20)
+    monkeypatch.setattr(bpe, "LONG_WORD", 1)
     own.clear()
     assert list(own.encode(texts)) == expected

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lamella.llm import bpe, lm_scoring, media_tiff, mih, textkernels, toxicity
+from lamella.llm import bpe, lm_scoring, media_tiff, textkernels, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -161,47 +161,6 @@ def test_broken_tiff_files_give_error_rows(spark):
     assert {x.id for x in rows if x.error} == set(range(len(files)))
 
 
-def vectors(n, d, seed):
-    r = np.random.default_rng(seed)
-    return [[float(v) for v in row] for row in r.standard_normal((n, d)).astype(np.float32)]
-
-
-def test_nearest_neighbours(spark):
-    rows = list(enumerate(vectors(700, 16, 3)))
-    rows += [(1000 + i, rows[50][1]) for i in range(40)]  # many copies of a query's vector
-    rows += [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0]), (2050, [float("inf")] * 16), (None, rows[0][1]), rows[7]]
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, label int").withColumnRenamed("label", "score").repartition(3)
-    got = {}
-    for x in mih.search(df, block=128, query_block=4).collect():
-        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
-    good = {i: np.array(v) for i, v in rows if i is not None and v and len(v) == 16 and np.isfinite(v).all() and any(v)}
-    hit = total = 0
-    for q in (i for i in good if i % 50 == 0):
-        ids = [i for i in good if i != q]
-        score = {i: float(good[q] @ good[i] / math.sqrt(good[q] @ good[q]) / math.sqrt(good[i] @ good[i])) for i in ids}
-        near = sorted(ids, key=lambda i: (-round(score[i], 12), i))[:5]
-        own = sorted(got.pop(q))
-        assert [k for k, *_ in own] == [1, 2, 3, 4, 5]
-        for _, i, s in own:
-            assert s == pytest.approx(score[i], abs=1e-9)
-        hit += len({i for _, i, _ in own} & set(near))
-        total += 5
-    assert not got
-    assert hit / total >= 0.95
-    assert mih.search(df.limit(0)).collect() == []
-    assert len(mih.search(df.where("vec_id < 3")).collect()) == 2
-
-
-def test_index_returns_every_code_within_the_radius():
-    r = np.random.default_rng(1)
-    codes = r.integers(0, 1 << 16, (3000, 4)).astype(np.uint16)
-    codes[:300] = codes[0] ^ (1 << r.integers(0, 16, (300, 4))).astype(np.uint16)
-    index = mih.MultiIndex(codes)
-    for radius in (0, 3, 4, 8, 11):
-        found = index.within(codes[0], radius, mih.MultiIndex.masks(radius // 4))
-        assert found.tolist() == np.flatnonzero(mih.distances(codes, codes[0]) <= radius).tolist()
-
-
 def test_lm_scores_against_plain_counts(spark):
     texts = ["a b c a b c", "a b c d", "x y z x y", "x y", None, "", "A  B\tc", "a b c a b c", "unseen"]
     targets = {0, 1, 6}

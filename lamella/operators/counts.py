@@ -29,7 +29,7 @@ def detectability(counts: DataFrame, domain: str, row: str, gene: str, count: st
     """Genes seen in at least this share of a domain's rows."""
     rows = counts.groupBy(domain).agg(F.countDistinct(row).alias("rows"))
     seen = counts.where(F.col(count) > 0).groupBy(domain, gene).agg(F.countDistinct(row).alias("seen"))
-    return seen.join(F.broadcast(rows), domain).withColumn("fraction", F.round(F.col("seen") / F.col("rows"), 6)).where(F.col("seen") / F.col("rows") >= least).select(domain, gene, "fraction")
+    return seen.join(rows, domain).withColumn("fraction", F.round(F.col("seen") / F.col("rows"), 6)).where(F.col("seen") / F.col("rows") >= least).select(domain, gene, "fraction")
 
 
 def log_cpm(counts: DataFrame, domain: str, row: str, gene: str, count: str, prior: float = 2.0) -> DataFrame:
@@ -102,8 +102,7 @@ def _pairs(s, d):
 
 QUERIES = {
     "row_totals": lambda s, d: row_totals(_counts(s, d), "row", "gene", "count"),
-    "library_size_uq": lambda s, d: upper_quartile(_counts(s, d).where("domain = 'F'"), "row", "gene", "count"),
-    "library_size_uq_all": lambda s, d: upper_quartile(_counts(s, d).groupBy("row", "gene").agg(F.sum("count").alias("count")), "row", "gene", "count"),
+    "library_size_uq": lambda s, d: upper_quartile(_counts(s, d).groupBy("row", "gene").agg(F.sum("count").alias("count")), "row", "gene", "count"),
     "detectability": lambda s, d: detectability(_counts(s, d), "domain", "row", "gene", "count"),
     "cpm_log": lambda s, d: log_cpm(_counts(s, d), "domain", "row", "gene", "count").withColumn("value", F.round("value", 6)),
     "module_z": lambda s, d: module_score(log_cpm(_counts(s, d), "domain", "row", "gene", "count"), "domain", "row", "gene"),
@@ -115,8 +114,7 @@ QUERIES = {
 }
 SQL = {
     "row_totals": f"WITH {_M} SELECT \"row\", CAST(sum(count) AS BIGINT) AS total, count(*) FILTER (WHERE count > 0) AS detected FROM m GROUP BY 1",
-    "library_size_uq": f"WITH {_M}, f AS (SELECT * FROM m WHERE domain = 'F'), g AS (SELECT a.\"row\", b.gene, coalesce(f.count, 0) AS c FROM (SELECT DISTINCT \"row\" FROM f) a CROSS JOIN (SELECT DISTINCT gene FROM f) b LEFT JOIN f ON f.\"row\" = a.\"row\" AND f.gene = b.gene) SELECT \"row\", CAST(sum(c) AS BIGINT) AS size, round(CASE WHEN sum(c) > 0 THEN quantile_cont(CAST(c AS DOUBLE), 0.75) / sum(c) ELSE 0 END, 9) AS upper_quartile FROM g GROUP BY 1",
-    "library_size_uq_all": f"WITH {_M}, f AS (SELECT \"row\", gene, sum(count) AS count FROM m GROUP BY 1, 2), g AS (SELECT a.\"row\", b.gene, coalesce(f.count, 0) AS c FROM (SELECT DISTINCT \"row\" FROM f) a CROSS JOIN (SELECT DISTINCT gene FROM f) b LEFT JOIN f ON f.\"row\" = a.\"row\" AND f.gene = b.gene) SELECT \"row\", CAST(sum(c) AS BIGINT) AS size, round(CASE WHEN sum(c) > 0 THEN quantile_cont(CAST(c AS DOUBLE), 0.75) / sum(c) ELSE 0 END, 9) AS upper_quartile FROM g GROUP BY 1",
+    "library_size_uq": f"WITH {_M}, f AS (SELECT \"row\", gene, sum(count) AS count FROM m GROUP BY 1, 2), g AS (SELECT a.\"row\", b.gene, coalesce(f.count, 0) AS c FROM (SELECT DISTINCT \"row\" FROM f) a CROSS JOIN (SELECT DISTINCT gene FROM f) b LEFT JOIN f ON f.\"row\" = a.\"row\" AND f.gene = b.gene) SELECT \"row\", CAST(sum(c) AS BIGINT) AS size, round(CASE WHEN sum(c) > 0 THEN quantile_cont(CAST(c AS DOUBLE), 0.75) / sum(c) ELSE 0 END, 9) AS upper_quartile FROM g GROUP BY 1",
     "detectability": f"WITH {_M}, r AS (SELECT domain, count(DISTINCT \"row\") AS n FROM m GROUP BY 1) SELECT m.domain, gene, round(count(DISTINCT \"row\") / any_value(n), 6) AS fraction FROM m JOIN r ON m.domain = r.domain WHERE count > 0 GROUP BY 1, 2 HAVING count(DISTINCT \"row\") / any_value(n) >= 0.1",
     "cpm_log": f"WITH {_M}{_L} SELECT domain, \"row\", gene, round(value, 6) AS value FROM v",
     "module_z": f"WITH {_M}{_L}, st AS (SELECT domain, gene, avg(value) AS mean, stddev_samp(value) AS sd FROM v GROUP BY 1, 2 HAVING stddev_samp(value) > 1e-9) SELECT v.domain, \"row\", round(avg((value - mean) / sd), 6) AS score, count(*) AS genes FROM v JOIN st ON v.domain = st.domain AND v.gene = st.gene GROUP BY 1, 2",

@@ -33,14 +33,17 @@ def trimmed_factors(counts: DataFrame, row: str, gene: str, count: str, ratio_tr
     own, ref = F.col(count) / F.col("size"), F.col("rc") / F.col("rsize")
     variance = (F.col("size") - F.col(count)) / F.col("size") / F.col(count) + (F.col("rsize") - F.col("rc")) / F.col("rsize") / F.col("rc")
     ratios = both.select(row, F.log2(own / ref).alias("m"), variance.alias("v"), F.round(F.log2(own / ref), RANK_DIGITS).alias("mk"), F.round((F.log2(own) + F.log2(ref)) / 2, RANK_DIGITS).alias("ak"))
-    n = F.count("*").over(Window.partitionBy(row))
+    # genes whose ratio has no variance don't count; a row with fewer than two, or no ratio off 0, has the factor 1
+    own_row = Window.partitionBy(row)
+    ratios = ratios.where("v > 0").withColumn("far", F.max(F.abs("m")).over(own_row))
+    n = F.count("*").over(own_row)
     ranked = ratios.withColumn("n", n).withColumn("rm", average_rank("mk", [row])).withColumn("ra", average_rank("ak", [row]))
 
     def inside(rank: str, trim: float) -> Column:
         low = F.floor(F.col("n") * trim) + 1
         return F.col(rank).between(low, F.col("n") + 1 - low)
 
-    kept = ranked.where(inside("rm", ratio_trim) & inside("ra", sum_trim) & (F.col("v") > 0))
+    kept = ranked.where(inside("rm", ratio_trim) & inside("ra", sum_trim) & (F.col("n") >= 2) & (F.col("far") >= 1e-6))
     means = kept.groupBy(row).agg((F.sum(F.col("m") / F.col("v")) / F.sum(1 / F.col("v"))).alias("f"))
     raw = sums.select(row).join(means, row, "left").select(row, F.coalesce("f", F.lit(0.0)).alias("f"))
     centre = raw.agg(F.avg("f").alias("centre"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.text import as_bool, capped_ratio, first_rule, normalise, simplify, slug
 from lamella.plans import table
+from lamella.plans.prefix import kept
 
 
 def grain_audit(rows: DataFrame, keys: list[str], unit: str) -> DataFrame:
@@ -32,12 +33,12 @@ def simultaneous_coverage(rows: DataFrame, unit: str, part: str) -> DataFrame:
     """Units that have every part (relational division)."""
     pairs = rows.select(unit, part).distinct()
     needed = pairs.select(F.countDistinct(part).alias("needed"))
-    return pairs.groupBy(unit).agg(F.count("*").alias("n_parts")).join(F.broadcast(needed)).where("n_parts = needed").select(unit, "n_parts")
+    return pairs.groupBy(unit).agg(F.count("*").alias("n_parts")).crossJoin(needed).where("n_parts = needed").select(unit, "n_parts")
 
 
 def complete_grid(rows: DataFrame, first: str, second: str, value: str, fill: float) -> DataFrame:
     """Every pair of the values of two dimensions, with fill where rows have none. Both dimensions are small by kind."""
-    grid = rows.select(first).distinct().crossJoin(F.broadcast(rows.select(second).distinct()))
+    grid = rows.select(first).distinct().crossJoin(rows.select(second).distinct())
     sums = rows.groupBy(first, second).agg(F.sum(value).alias(value))
     return grid.join(sums, [first, second], "left").withColumn(value, F.coalesce(value, F.lit(fill)))
 
@@ -116,16 +117,26 @@ QUERIES = {
 }
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, depth) of a forest given as (node, parent): rounds of joins until none adds a row. A node given
+    twice fails, and so does a cycle; a parent that is no node itself is a root."""
+    if twice := edges.groupBy("node").count().where("count > 1").first():
+        raise ValueError(f"node {twice['node']!r} is given twice")
+    up = kept(edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")).where("next IS NOT NULL"))
+    step = kept(edges.where("parent IS NOT NULL").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+    found = step
+    while not step.isEmpty():
+        if loop := step.where("node = ancestor").first():
+            raise ValueError(f"node {loop['node']!r} is its own ancestor")
+        step = kept(step.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth")))
+        found = found.union(step)
+    return found
+
+
 def ontology(regions: DataFrame, nations: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """(node, ancestor, depth) of a tree of three levels; level by level, as deep as the tree and no deeper."""
     edges = nations.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
     edges = edges.union(suppliers.select(F.concat(F.lit("s"), "s_suppkey"), F.concat(F.lit("n"), "s_nationkey")))
-    up = edges.select(F.col("node").alias("ancestor"), F.col("parent").alias("next"))
-    found = step = edges.select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    for _ in range(1):
-        step = step.join(up, "ancestor").select("node", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        found = found.union(step)
-    return found
+    return closure(edges.union(regions.select(F.concat(F.lit("r"), "r_regionkey"), F.lit(None).cast("string"))))
 
 
 SQL = {

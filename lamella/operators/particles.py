@@ -52,9 +52,9 @@ def nearest_support(queries: DataFrame, sections: DataFrame, group: str, at: str
     """For each query the nearest section of its group, ties to the lower; none beyond the tolerance. One window over
     both tables, not a join of ranges."""
     both = queries.select(group, F.col(at).alias("z"), F.lit(None).cast("double").alias("s"), F.lit(1).alias("q")).union(sections.select(group, F.col(z).alias("z"), F.col(z).alias("s"), F.lit(0).alias("q")))
-    w = Window.partitionBy(group).orderBy("z", "q")
+    w, back = Window.partitionBy(group).orderBy("z", "q"), Window.partitionBy(group).orderBy(F.col("z").desc(), F.col("q").desc())
     before = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    after = F.last("s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     found = both.withColumn("b", before).withColumn("a", after).where("q = 1")
     best = F.when(F.col("a").isNull() | (F.col("z") - F.col("b") <= F.col("a") - F.col("z")), F.col("b")).otherwise(F.col("a"))
     return found.withColumn("nearest", best).select(group, F.col("z").alias(at), F.when(F.abs(F.col("nearest") - F.col("z")) <= tolerance, F.col("nearest")).alias("section"))
@@ -65,8 +65,9 @@ def bracket_interpolation(queries: DataFrame, known: DataFrame, group: str, at:
     pair = F.struct(F.col(place).alias("p"), F.col(value).alias("v"))
     kind = known.select(pair.alias("k")).schema["k"].dataType
     both = queries.select(group, F.col(at).alias("z"), F.lit(None).cast(kind).alias("k"), F.lit(1).alias("q")).union(known.select(group, F.col(place).alias("z"), pair.alias("k"), F.lit(0).alias("q")))
-    w = Window.partitionBy(group).orderBy("z", "q")
-    found = both.withColumn("b", F.last("k", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first("k", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("q = 1")
+    w, back = Window.partitionBy(group).orderBy("z", "q"), Window.partitionBy(group).orderBy(F.col("z").desc(), F.col("q").desc())
+    upto = lambda x: F.last("k", True).over(x.rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("b", upto(w)).withColumn("a", upto(back)).where("q = 1")
     share = (F.col("z") - F.col("b.p")) / (F.col("a.p") - F.col("b.p"))
     between = F.col("b.v") + (F.col("a.v") - F.col("b.v")) * share
     out = F.when(F.col("b").isNull(), F.col("a.v")).when(F.col("a").isNull() | (F.col("a.p") == F.col("b.p")), F.col("b.v")).otherwise(between)
@@ -107,8 +108,7 @@ QUERIES = {
     "bin_2d": lambda s, d: bin_2d(_points(s, d), "x", "y", "m", 3.0),
     "soft_histogram": lambda s, d: soft_histogram(_points(s, d).withColumn("f", (F.col("x") + 25) / 50), "l_orderkey", "f", 8),
     "slab_filter": lambda s, d: slab(_points(s, d), ["x", "y"], [1.0, 2.0], [0.6, 0.8], 3.0).select("id"),
-    "gauss_kernel_sum": lambda s, d: kernel_sum(_points(s, d).where("id % 97 = 0"), _points(s, d).where("id % 31 = 0"), "id", "x", "y", "m", 0.7),
-    "gauss_kernel_sum_all": lambda s, d: kernel_sum(_points(s, d), _points(s, d), "id", "x", "y", "m", 0.7),
+    "gauss_kernel_sum": lambda s, d: kernel_sum(_points(s, d), _points(s, d), "id", "x", "y", "m", 0.7),
     "nearest_support": lambda s, d: nearest_support(_events(s, d, 0), _events(s, d, 1), "g", "z", "z", 5.0),
     "bracket_interp": lambda s, d: bracket_interpolation(_events(s, d, 0), _events(s, d, 1), "g", "z", "z", "v"),
     "categorical_fusion": lambda s, d: categorical_fusion(_scores(s, d, 0), _scores(s, d, 1), "voxel", "label", "score", 0.25),
@@ -118,8 +118,7 @@ SQL = {
     "bin_2d": f"WITH {_P} SELECT CAST(floor(x / 3) AS BIGINT) AS bx, CAST(floor(y / 3) AS BIGINT) AS by, count(*) AS n, round(sum(m), 6) AS mass, round(sum(x * m) / sum(m), 6) AS cx, round(sum(y * m) / sum(m), 6) AS cy FROM p GROUP BY 1, 2",
     "soft_histogram": f"WITH {_P}, q AS (SELECT l_orderkey, greatest(0.0, least((x + 25) / 50 * 7, 7.0)) AS pl FROM p), l AS (SELECT *, least(floor(pl), 6) AS lo FROM q), s AS (SELECT l_orderkey, CAST(lo AS BIGINT) AS bin, 1 - (pl - lo) AS mass FROM l UNION ALL SELECT l_orderkey, CAST(lo + 1 AS BIGINT), pl - lo FROM l) SELECT l_orderkey, bin, round(sum(mass), 6) AS mass FROM s WHERE mass > 0 GROUP BY 1, 2",
     "slab_filter": f"WITH {_P} SELECT id FROM p WHERE abs((x - 1.0) * 0.6::DOUBLE + (y - 2.0) * 0.8::DOUBLE) <= 1.5",
-    "gauss_kernel_sum": f"WITH {_P} SELECT t.id, count(*) AS n, round(sum(s.m * exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)) / 0.98)), 6) AS density FROM p t JOIN p s ON (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= 12.25 WHERE t.id % 97 = 0 AND s.id % 31 = 0 GROUP BY 1",
-    "gauss_kernel_sum_all": f"WITH {_P}, c AS (SELECT x, y, count(*) AS k, sum(m) AS w FROM p GROUP BY 1, 2), g AS (SELECT t.x, t.y, sum(s.k) AS n, sum(s.w * exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)) / 0.98)) AS density FROM c t JOIN c s ON (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= 12.25 GROUP BY 1, 2) SELECT id, CAST(sum(n) AS BIGINT) AS n, round(sum(density), 6) AS density FROM p JOIN g ON p.x = g.x AND p.y = g.y GROUP BY 1",
+    "gauss_kernel_sum": f"WITH {_P}, c AS (SELECT x, y, count(*) AS k, sum(m) AS w FROM p GROUP BY 1, 2), g AS (SELECT t.x, t.y, sum(s.k) AS n, sum(s.w * exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)) / 0.98)) AS density FROM c t JOIN c s ON (t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) <= 12.25 GROUP BY 1, 2) SELECT id, CAST(sum(n) AS BIGINT) AS n, round(sum(density), 6) AS density FROM p JOIN g ON p.x = g.x AND p.y = g.y GROUP BY 1",
     "nearest_support": f"WITH {_E}, n AS (SELECT t0.g, t0.z, t1.z AS s, row_number() OVER (PARTITION BY t0.g, t0.z ORDER BY abs(t1.z - t0.z), t1.z) AS r FROM t0 LEFT JOIN t1 ON t0.g = t1.g) SELECT g, z, CASE WHEN abs(s - z) <= 5 THEN s END AS section FROM n WHERE r = 1",
     "bracket_interp": f"WITH {_E}, b AS (SELECT t0.g, t0.z, max_by(t1.v, t1.z) FILTER (WHERE t1.z <= t0.z) AS bv, max(t1.z) FILTER (WHERE t1.z <= t0.z) AS bz, min_by(t1.v, t1.z) FILTER (WHERE t1.z > t0.z) AS av, min(t1.z) FILTER (WHERE t1.z > t0.z) AS az FROM t0 LEFT JOIN t1 ON t0.g = t1.g GROUP BY 1, 2) SELECT g, z, round(CASE WHEN bz IS NULL THEN av WHEN az IS NULL OR bz = z THEN bv ELSE bv + (av - bv) * ((z - bz) / (az - bz)) END, 6) AS value FROM b",
     "categorical_fusion": "WITH s AS (SELECT user_id % 50 AS voxel, length(event_type) % 7 AS label, CAST(count(*) FILTER (WHERE event_id % 2 = 0) AS DOUBLE) AS l, CAST(count(*) FILTER (WHERE event_id % 2 = 1) AS DOUBLE) AS r FROM events GROUP BY 1, 2), x AS (SELECT *, round(0.75 * l + 0.25 * r, 9) AS score FROM s) SELECT voxel, label, score FROM (SELECT *, row_number() OVER (PARTITION BY voxel ORDER BY score DESC, l DESC, r DESC, label) AS k FROM x) WHERE k = 1",

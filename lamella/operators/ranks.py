@@ -7,18 +7,33 @@ from pyspark.sql import functions as F
 
 from lamella.functions.text import right_closed_bin, support_band
 from lamella.plans import table
+from lamella.plans.prefix import average_ranks, running
 
 
 def average_rank(value: str, groups: list[str]) -> Column:
-    """Ties share the mean of their places."""
+    """Ties share the mean of their places; for groups that are small by kind (``average_ranks`` is for any)."""
     least = F.rank().over(Window.partitionBy(*groups).orderBy(value))
     return least + (F.count("*").over(Window.partitionBy(*groups, value)) - 1) / F.lit(2.0)
 
 
-def spearman(rows: DataFrame, groups: list[str], x: str, y: str) -> DataFrame:
-    """Pearson's correlation of average ranks, and how many rows it rests on."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("rx", average_rank(x, groups)).withColumn("ry", average_rank(y, groups))
-    return ranked.groupBy(*groups).agg(F.count("*").alias("n"), F.round(F.corr("rx", "ry"), 6).alias("rho"))
+def spearman(rows: DataFrame, groups: list[str], x: str, y: str, least: int = 0) -> DataFrame:
+    """Pearson's correlation of average ranks, and how many rows it rests on; null below least rows."""
+    known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y)
+    # pairs of values are counted first, so that equal ones rank once
+    pairs = known.groupBy(*groups, x, y).agg(F.count("*").alias("w"))
+    ranked = weighted_ranks(weighted_ranks(pairs, groups, x, "w", "rx"), groups, y, "w", "ry")
+    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
+    s = ranked.groupBy(*groups).agg(F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"), F.sum(w * rx * ry).alias("xy"))
+    n = F.col("n")
+    spread = (F.col("xx") - F.col("sx") ** 2 / n) * (F.col("yy") - F.col("sy") ** 2 / n)
+    return s.select(*groups, "n", F.when((spread > 0) & (n >= least), F.round((F.col("xy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread), 6)).alias("rho"))
+
+
+def weighted_ranks(counted: DataFrame, groups: list[str], value: str, count: str, name: str) -> DataFrame:
+    """counted (a row for each combination, count rows each) with the average rank of value inside the group."""
+    values = counted.groupBy(*groups, value).agg(F.sum(count).alias("_k"))
+    placed = running(values, groups, [value], {"_before": "_k"}).select(*groups, value, (F.col("_before") + (F.col("_k") + 1) / F.lit(2.0)).alias(name))
+    return counted.join(placed, [*groups, value])
 
 
 def within_between(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -43,11 +58,13 @@ def adjacent_pairs(rows: DataFrame, group: str, anchor: str) -> DataFrame:
 
 
 def benjamini_hochberg(rows: DataFrame, family: str, p: str, order: str) -> DataFrame:
-    """q of the step-up rule inside each family: running minimum of p * n / rank from the largest p down."""
-    w = Window.partitionBy(family)
-    ranked = rows.withColumn("r", F.row_number().over(w.orderBy(p, order))).withColumn("n", F.count("*").over(w))
-    down = w.orderBy(F.col("r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q", F.round(F.least(F.lit(1.0), F.min(F.col(p) * F.col("n") / F.col("r")).over(down)), 6)).drop("r", "n")
+    """q of the step-up rule inside each family: running minimum of p * n / rank from the largest p down. Places count
+    from the end, so that ranks and minima run the same way, over range-sorted rows."""
+    n = rows.groupBy(family).agg(F.count("*").alias("_n"))
+    placed = running(rows.join(n, family), [family], [-F.col(p), -F.col(order)], {"_after": F.lit(1)})
+    rank = F.col("_n") - F.col("_after")
+    low = running(placed.withColumn("_m", F.col(p) * F.col("_n") / rank), [family], ["_after"], {}, {"_q": "_m"})
+    return low.withColumn("q", F.round(F.least(F.lit(1.0), F.col("_q")), 6)).drop("_n", "_after", "_m", "_q")
 
 
 def collision_rank(rows: DataFrame, key: list[str], distance: str, section: str, label: str) -> DataFrame:
@@ -66,12 +83,18 @@ def boundaries(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def tertiles(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
-    """Two rules that differ: equal counts, and cuts at the quantiles."""
-    w = Window.partitionBy(group)
-    cuts = [F.percentile(value, F.lit(p)).over(w) for p in (1 / 3, 2 / 3)]
-    by_count = F.ntile(3).over(w.orderBy(value, order))
-    by_cut = F.lit(1) + sum((F.when(F.col(value) >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    return rows.withColumn("by_count", by_count).withColumn("by_cut", by_cut)
+    """Two rules that differ: equal counts, and cuts at the quantiles (linear between the two nearest places)."""
+    n = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    placed = running(rows.join(n, group), [group], [value, order], {"_place": F.lit(1)})
+    third, rest = F.floor(F.col("_n") / 3), F.col("_n") % 3
+    # the first `rest` parts have one row more
+    wide = rest * (third + 1)
+    by_count = F.when(F.col("_place") < wide, F.floor(F.col("_place") / (third + 1))).otherwise(rest + F.floor((F.col("_place") - wide) / F.greatest(third, F.lit(1)))) + 1
+    ends = placed.groupBy(group).agg(*(F.max(F.when(F.col("_place") == f((F.col("_n") - 1) * F.lit(q)), F.col(value))).alias(f"_{side}{i}") for i, q in enumerate((1 / 3, 2 / 3)) for side, f in (("lo", F.floor), ("hi", F.ceil))), F.max("_n").alias("_m"))
+    at = lambda i, q: F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * ((F.col("_m") - 1) * F.lit(q) - F.floor((F.col("_m") - 1) * F.lit(q)))
+    cuts = ends.select(group, at(0, 1 / 3).alias("_c0"), at(1, 2 / 3).alias("_c1"))
+    by_cut = F.lit(1) + sum((F.when(F.col(value) >= F.col(c), 1).otherwise(0) for c in ("_c0", "_c1")), F.lit(0))
+    return placed.join(cuts, group).withColumn("by_count", by_count.cast("int")).withColumn("by_cut", by_cut).drop("_n", "_place", "_c0", "_c1")
 
 
 def _orders(s, d):
@@ -97,7 +120,7 @@ def _voxels(s, d):
 
 
 QUERIES = {
-    "avg_rank": lambda s, d: _few(s, d).select("o_orderkey", average_rank("o_totalprice", ["o_orderpriority"]).alias("rank")),
+    "avg_rank": lambda s, d: average_ranks(_few(s, d), ["o_orderpriority"], "o_totalprice", "rank").select("o_orderkey", "rank"),
     "spearman_by_group": lambda s, d: spearman(table(s, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice"),
     "within_between": lambda s, d: within_between(_few(s, d), "o_custkey", "o_totalprice"),
     "cumulative_share": lambda s, d: cumulative_share(_few(s, d), "o_custkey", ["o_totalprice", "o_orderkey"], "o_totalprice").select("o_orderkey", "place", "share"),

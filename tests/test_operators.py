@@ -1,6 +1,7 @@
 """Operators on tables small enough to check by hand."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def test_all_particles_feel_all_particles(spark, tmp_path):
     lines = [(i, 1 + i % 3, float(25 + i % 7), (i % 5) / 100, 0.01 * (i % 4)) for i in range(60)]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
     points = [(8 * k + n, q - 25, d * 100, t + 0.01) for k, n, q, d, t in lines]
-    got = {r.id: (r.n, r.density) for r in registry.queries()["gauss_kernel_sum_all"](spark, str(tmp_path)).collect()}
+    got = {r.id: (r.n, r.density) for r in registry.queries()["gauss_kernel_sum"](spark, str(tmp_path)).collect()}
     for i, x, y, _ in points:
         near = [(m, (x - u) ** 2 + (y - v) ** 2) for _, u, v, m in points if (x - u) ** 2 + (y - v) ** 2 <= 12.25]
         assert got.pop(i) == (len(near), pytest.approx(sum(m * math.exp(-d2 / 0.98) for m, d2 in near), abs=2e-6))
@@ -105,7 +106,7 @@ def test_library_sizes_count_lines_of_every_status(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "p_partkey long, p_type string").write.parquet(f"{tmp_path}/part.parquet")
     lines = [(1, 10, "F", 4.0), (1, 10, "O", 2.0), (2, 10, "O", 3.0), (3, 20, "O", 8.0)]
     spark.createDataFrame(lines, "l_partkey long, l_suppkey long, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = {r["row"]: (r["size"], r.upper_quartile) for r in registry.queries()["library_size_uq_all"](spark, str(tmp_path)).collect()}
+    got = {r["row"]: (r["size"], r.upper_quartile) for r in registry.queries()["library_size_uq"](spark, str(tmp_path)).collect()}
     # counts 0, 3, 6 and 0, 0, 8; the quartile is halfway from the second to the third
     assert got == {10: (9, 0.5), 20: (8, 0.5)}
 
@@ -120,3 +121,94 @@ def test_bootstrap_and_flips_are_as_wide_as_theory(spark):
     assert inference.sign_flips(rows, "k", "v").first().p == pytest.approx(1 / 5001)
     u = spark.createDataFrame([(x,) for x in (0.3, 0.4, 0.99, 0.9964, 0.9995, 0.9999999)], "u double")
     assert [r[0] for r in u.select(inference.poisson(F.col("u"))).collect()] == [0, 1, 4, 5, 6, 10]
+
+
+def test_draws_of_units_are_independent(spark):
+    """Over 4,000 repeats the draws of two units are uncorrelated, and each is spread evenly."""
+    rows = spark.range(1, 4001).select(F.col("id").alias("rep"))
+    drawn = rows.select(*(inference.draw(F.lit(k), F.col("rep")).alias(f"u{k}") for k in (1, 2, 3)))
+    got = drawn.agg(F.corr("u1", "u2"), F.corr("u1", "u3"), F.corr("u2", "u3"), F.avg("u1"), F.stddev("u2")).first()
+    assert all(abs(x) < 0.06 for x in got[:3])
+    assert got[3] == pytest.approx(0.5, abs=0.02)
+    assert got[4] == pytest.approx(12**-0.5, abs=0.01)
+
+
+def test_running_sums_with_a_group_of_most_rows(spark):
+    """Ranks, corrected p-values and tertiles of a group with nine tenths of the rows, against plain Python."""
+    import random
+
+    from lamella.operators import ranks
+    from lamella.plans import prefix
+
+    r = random.Random(2)
+    rows = [("hot" if r.random() < 0.9 else "cold", i, r.randrange(300) / 7) for i in range(3000)]
+    rows += [(None, 5000, 1.0), ("hot", 5001, 2.0)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(7)
+    own = {g: sorted(v for h, _, v in rows if h == g) for g in ("hot", "cold", None)}
+    for x in prefix.average_ranks(df, ["g"], "v", "rank").collect():
+        values = own[x.g]
+        assert x["rank"] == values.index(x.v) + (values.count(x.v) + 1) / 2
+    for x in prefix.running(df, ["g"], ["v", "i"], {"n": F.lit(1), "s": "v"}, {"low": -F.col("v")}).collect():
+        before = sorted((v, i) for h, i, v in rows if h == x.g and (v, i) < (x.v, x.i))
+        assert (x.n, x.low) == (len(before), -x.v)
+        assert x.s == pytest.approx(sum(v for v, _ in before))
+    p = df.where("g IS NOT NULL").withColumn("p", (F.col("v") + 0.01) / 50)
+    for x in ranks.benjamini_hochberg(p, "g", "p", "i").where("g = 'cold'").collect():
+        values = [(v + 0.01) / 50 for v in own["cold"]]
+        assert x.q == pytest.approx(min(1.0, min(w * len(values) / (k + 1) for k, w in enumerate(values) if w >= x.p - 1e-12)), abs=2e-6)
+    thirds = [x.by_count for x in ranks.tertiles(df.where("g = 'hot'"), "g", "v", "i").orderBy("v", "i").collect()]
+    n = len(thirds)
+    assert thirds == [k + 1 for k in range(3) for _ in range(n // 3 + (k < n % 3))]
+
+
+def test_closure_refuses_cycles_and_repeats(spark):
+    from lamella.operators import linkage
+
+    edges = lambda *rows: spark.createDataFrame(list(rows), "node string, parent string")
+    got = {(r.node, r.ancestor, r.depth) for r in linkage.closure(edges(("d", "c"), ("c", "b"), ("b", "a"), ("x", None), ("o", "gone"))).collect()}
+    assert got == {("d", "c", 1), ("c", "b", 1), ("b", "a", 1), ("d", "b", 2), ("c", "a", 2), ("d", "a", 3), ("o", "gone", 1)}
+    with pytest.raises(ValueError, match="own ancestor"):
+        linkage.closure(edges(("a", "b"), ("b", "a")))
+    with pytest.raises(ValueError, match="given twice"):
+        linkage.closure(edges(("a", "b"), ("a", "c")))
+
+
+def test_factors_of_rows_with_too_few_genes(spark):
+    """Rows that share one gene with the reference row, or are in proportion to it, have the factor 1 before scaling."""
+    from lamella.operators import factors
+
+    counts = [(1, "a", 10), (1, "b", 20), (1, "c", 30), (1, "d", 5), (2, "a", 20), (2, "b", 40), (2, "c", 60), (2, "d", 10), (3, "a", 7), (3, "z", 70), (3, "y", 3)]
+    got = {r["row"]: r.factor for r in factors.trimmed_factors(spark.createDataFrame(counts, "row long, gene string, count long"), "row", "gene", "count").collect()}
+    assert len(got) == 3
+    assert got[1] == got[2] == got[3] == 1.0
+
+
+def test_leave_one_out(spark):
+    rows = [(i, float(i), 2.0 * i + (i % 3)) for i in range(8)]
+    got = {r.k: (r.line, r.mean) for r in inference.fold_error(spark.createDataFrame(rows, "k long, x double, y double"), "k", "x", "y").collect()}
+    for k, x, y in rows:
+        rest = [(u, v) for i, u, v in rows if i != k]
+        mx, my = (sum(c) / 7 for c in zip(*rest, strict=True))
+        slope = sum((u - mx) * (v - my) for u, v in rest) / sum((u - mx) ** 2 for u, _ in rest)
+        assert got[k] == pytest.approx(((y - my - slope * (x - mx)) ** 2, (y - my) ** 2), abs=1e-4)
+
+
+def test_stream_drops_late_events(spark, tmp_path):
+    """Files come one by one; an event older than the watermark adds nothing, one within it does."""
+    import datetime
+
+    from lamella.streaming import windows
+
+    at = lambda minute: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+    files = [[(at(5), "a", 1.0), (at(200), "a", 1.0)], [(at(201), "b", 1.0)], [(at(202), "b", 1.0)], [(at(190), "a", 10.0), (at(6), "a", 100.0)], [(at(210), "b", 1.0)]]
+    for i, rows in enumerate(files):
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        for file in (tmp_path / "in" / str(i)).glob("*.parquet"):
+            import os
+
+            os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    out = windows.run_windows(windows.tumbling(stream, "ts", "event_type", "value"), ["start", "event_type"], f"{tmp_path}/run")
+    base = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp())
+    got = {((r.start - base) // 60, r.event_type): (r.n, r.total) for r in out.collect()}
+    assert got == {(0, "a"): (1, 1.0), (200, "a"): (1, 1.0), (200, "b"): (2, 2.0), (190, "a"): (1, 10.0), (210, "b"): (1, 1.0)}

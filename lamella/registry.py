@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition, counts, factors, identifiers, inference, linkage, particles, ranks, reshape, volumes
+from lamella.operators import composition, counts, crosswalk, factors, identifiers, inference, linkage, particles, ranks, reshape, volumes
 from lamella.streaming import windows
 
-_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, identifiers, windows)
+_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, identifiers, crosswalk, windows)
 
 
 def queries() -> dict:

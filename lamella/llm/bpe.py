@@ -6,11 +6,12 @@ such. The others become rows (word, position, token); the recursive step joins n
 finds each word's lowest rank and contracts its leftmost pair of that rank, until no word has a pair left. Decoding
 joins ids with the tokens' bytes and aggregates them in order of position.
 
-One step contracts all pairs of a word's lowest rank that don't overlap, from the left, where that is what one at a
-time would do: unless a token so made has, with a neighbour, a pair of a still lower rank. Words with such a pair (the
-table ``danger`` knows them) contract their leftmost pair only. A step returns the rows that it changed, so work and
-memory are in proportion to a word's length. Before that, words of over ``LONG_WORD`` bytes are cut where no token of
-the vocabulary occurs across: no contraction can cross there, so the pieces are words of their own.
+Words of over ``LONG_WORD`` bytes are first cut where no token of the vocabulary occurs across: no contraction can
+cross there, so the pieces are words of their own. Pieces that are still longer go through a second form of the query
+with the same results, whose steps return only rows that changed, so that work and memory are in proportion to a
+word's length: a step contracts all pairs of a word's lowest rank that don't overlap, from the left, where that is what
+one at a time would do, that is unless a token so made has, with a neighbour, a pair of a still lower rank. Words with
+such a pair (the table ``danger`` knows them) contract their leftmost pair only.
 
 A task meets a word's query once: results stay in a cache of ``CACHE_WORDS`` words.
 
@@ -47,9 +48,28 @@ CALL_WORDS, CALL_BYTES = 8_000, 200_000
 MEMORY_MB, MEMORY_BYTE = 300, 1_000
 LONG_WORD = 32
 
-#: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right,
-#: merged is what both make. A row that was contracted into its left neighbour has no id any more.
+#: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right.
+#: For words of up to LONG_WORD bytes: each step contracts one pair and returns all rows of words that had one.
 STEP = """
+WITH RECURSIVE t(step, w, p, id, np, nid) AS (
+  SELECT 0, w, p, id, np, nid FROM state
+  UNION ALL
+  SELECT step + 1, t.w, t.p, CASE WHEN t.p = best THEN merged ELSE id END, CASE WHEN t.p = best THEN x_np ELSE np END,
+    CASE WHEN t.p = best THEN x_nid WHEN np = best THEN merged ELSE nid END
+  FROM t JOIN (
+    SELECT q.w, (k & 4294967295)::INT AS best, nb, (k >> 32)::INT AS merged, x.np AS x_np, x.nid AS x_nid
+    FROM (
+      SELECT w, min(k) AS k, arg_min(np, k) AS nb
+      FROM (SELECT w, np, (merged::BIGINT << 32) | p AS k FROM t JOIN merges m ON m.ab = (t.id::BIGINT << 32) | t.nid) GROUP BY w
+    ) q JOIN t x ON x.p = q.nb
+  ) q ON t.w = q.w
+  WHERE t.p <> nb
+), u AS MATERIALIZED (SELECT step, w, p, id FROM t)
+SELECT u.w, u.id FROM u JOIN (SELECT w, max(step) AS last FROM u GROUP BY w) l ON u.w = l.w AND u.step = l.last ORDER BY p
+"""
+#: For longer words: each step contracts all pairs that it may and returns the rows that changed; merged is what a row
+#: and its neighbour make. A row that was contracted into its left neighbour has no id any more.
+LONG_STEP = """
 WITH RECURSIVE t(p, w, id, np, nid, merged) USING KEY (p) AS (
   SELECT p, w, id, np, nid, merged FROM state LEFT JOIN merges ON ab = (id::BIGINT << 32) | nid
   UNION (
@@ -83,7 +103,7 @@ WITH RECURSIVE t(p, w, id, np, nid, merged) USING KEY (p) AS (
     SELECT p, w, id, np, nid, merged FROM changed LEFT JOIN merges ON ab = (id::BIGINT << 32) | nid
   )
 )
-SELECT w, p, id FROM t WHERE id IS NOT NULL ORDER BY p
+SELECT w, id FROM t WHERE id IS NOT NULL ORDER BY p
 """
 #: One string for all sequences of a call, in order; it is cut where the sequences' token lengths end.
 DECODE = "SELECT string_agg(hex, '' ORDER BY p) AS hex FROM ids JOIN tokens USING (id)"
@@ -213,19 +233,23 @@ class Codec:
             cuts = self.borders(word) if len(word) > LONG_WORD else [0, len(word)]
             pieces += [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             owner += [i] * (len(cuts) - 1)
-        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        at = 0
-        while at < len(pieces):
-            end, size = at, 0
-            while end < len(pieces) and (end == at or (end - at < CALL_WORDS and size + len(pieces[end]) <= CALL_BYTES)):
-                size += len(pieces[end])
-                end += 1
-            w, ids = self._contract(pieces[at:end], size)
-            done.append((np.array(owner[at:end], np.int64)[w], ids))
-            at = end
-        return tuple(np.concatenate(x) for x in zip(*done, strict=True))
-
-    def _contract(self, words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        short = np.array([len(x) <= LONG_WORD for x in pieces], bool)
+        for query, chosen in ((STEP, np.flatnonzero(short).tolist()), (LONG_STEP, np.flatnonzero(~short).tolist())):
+            at = 0
+            while at < len(chosen):
+                end, size = at, 0
+                while end < len(chosen) and (end == at or (end - at < CALL_WORDS and size + len(pieces[chosen[end]]) <= CALL_BYTES)):
+                    size += len(pieces[chosen[end]])
+                    end += 1
+                w, ids = self._contract([pieces[i] for i in chosen[at:end]], size, query)
+                done.append((np.array(chosen[at:end], np.int64)[w], ids))
+                at = end
+        piece, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(piece, kind="stable")
+        return np.array(owner, np.int64)[piece[order]], ids[order]
+
+    def _contract(self, words: list[bytes], size: int, query: str) -> tuple[np.ndarray, np.ndarray]:
         w = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in words])
         p = np.arange(len(w), dtype=np.int32)
         ids = self.byte[np.frombuffer(b"".join(words), np.uint8)]
@@ -234,7 +258,7 @@ class Codec:
         if more:
             self.db.execute(f"SET memory_limit = '{MEMORY_MB + more}MB'")
         self._table("state", w=w, p=p, id=ids, np=pa.array(np.append(p[1:], p[:1]), mask=last), nid=pa.array(np.append(ids[1:], ids[:1]), mask=last))
-        out = self.db.execute(STEP).fetchnumpy()
+        out = self.db.execute(query).fetchnumpy()
         self.db.execute("DROP TABLE state")
         if more:
             self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")

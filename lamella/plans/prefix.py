@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Tables counted to have no more rows are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of this machine only where the session runs on it alone and has set none."""
     if folder := spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
@@ -48,7 +52,8 @@ def running(rows: DataFrame, groups: list[str], order: list[Column | str], sums:
     same = F.col("_part") == F.col("_p")
     for k, g in enumerate(groups):
         same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
-    joined = local.join(whole, same)
+    whole = kept(whole)
+    joined = local.join(F.broadcast(whole) if whole.count() <= BROADCAST_ROWS else whole.hint("merge"), same)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     out = {n: zero(f"_bs{i}") + zero(f"_is{i}") for i, n in enumerate(sums)} | {n: F.least(f"_bl{i}", f"_il{i}") for i, n in enumerate(lows)}
     return joined.select(*(joined[c] for c in rows.columns), *(e.alias(n) for n, e in out.items()))

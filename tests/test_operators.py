@@ -212,3 +212,102 @@ def test_stream_drops_late_events(spark, tmp_path):
     base = int(datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc).timestamp())
     got = {((r.start - base) // 60, r.event_type): (r.n, r.total) for r in out.collect()}
     assert got == {(0, "a"): (1, 1.0), (200, "a"): (1, 1.0), (200, "b"): (2, 2.0), (190, "a"): (1, 10.0), (210, "b"): (1, 1.0)}
+
+
+def test_drawing_transforms():
+    from lamella.operators import geometry as g
+
+    assert g.drawing_transform(None) == g.identity()
+    m = g.drawing_transform("translate(1 2), rotate(90) scale(2)")
+    x, y = (sum(a * b for a, b in zip(row, (3, 1, 1), strict=True)) for row in m[:2])
+    assert (x, y) == pytest.approx((1 - 2, 2 + 6))
+    for bad in ("rotate(1 2)", "turn(3)", "scale(2) x", "matrix(1 2 3)"):
+        with pytest.raises(ValueError):
+            g.drawing_transform(bad)
+    frame = g.Frames(m, "a", "b")
+    with pytest.raises(ValueError):
+        frame.then(g.Frames(m, "a", "b"))
+    assert [v for row in frame.then(frame.inverse()).matrix for v in row] == pytest.approx([v for row in g.identity() for v in row], abs=1e-12)
+    assert g.plane_basis(0, 0)[2] == pytest.approx((0, -1, 0))
+
+
+def test_places_and_masks_refuse(spark):
+    from lamella.operators import geometry as g
+
+    rows = spark.createDataFrame([(1, 1.0, float("nan")), (2, 2.0, 4.0), (3, -1.0, 8.0), (4, None, 1.0)], "id int, x double, y double")
+    kept, counts = g.centred_places(rows, ["x", "y"], 2.0, "mean")
+    assert tuple(counts.first()) == (4, 2)
+    assert sorted((r.id, r.x, r.y) for r in kept.collect()) == [(2, 3.0, -4.0), (3, -3.0, 4.0)]
+    with pytest.raises(ValueError):
+        g.centred_places(rows, ["x"], 0.0)
+    with pytest.raises(ValueError):
+        g.masked(rows, "x", "threshold", 99.0)
+    with pytest.raises(ValueError):
+        g.slab_sides(rows, ["x", "y", "id"], [0, 0, 0], (1, 0, 0), (1, 0, 0), 1.0, "x")
+    with pytest.raises(KeyError):
+        g.grouped_features(rows.withColumn("f", F.lit("a")), "f", "x", {"one": ["a", "b"]})
+    with pytest.raises(ValueError):
+        g.grouped_features(rows.withColumn("f", F.lit("a")), "f", "x", {}, [])
+    found = g.distinct_candidates([(0.3, 0, 0, 0, False), (0.1, 1, 0, 5, False), (0.2, 0, 0, 350, False), (0.4, 9, 0, 0, False), (0.5, 1, 0, 5, True)], 3)
+    assert [c[0] for c in found] == [0.1, 0.4, 0.5]
+
+
+def test_measures(spark):
+    """A measure is 0 away from itself; far ones are the sum of both norms over the second."""
+    from lamella.operators import geometry as g
+
+    a = spark.createDataFrame([(0.0, 0.0, "f", 2.0)], "x double, y double, f string, m double")
+    b = spark.createDataFrame([(100.0, 0.0, "f", 1.0)], "x double, y double, f string, m double")
+    assert g.varifold_distance(a, a, ["x", "y"], "f", "m").first().score == 0
+    assert g.varifold_distance(a, b, ["x", "y"], "f", "m").first().score == pytest.approx(5)
+    grid = spark.createDataFrame([(0, 0.0, 0.1), (1, 50.0, 0.0)], "n int, x double, y double")
+    points = spark.createDataFrame([(7, 0.0, 0.0, 2.0, 6.0)], "p int, x double, y double, m double, q double")
+    assert sorted(tuple(r)[:2] for r in g.reconstructed(grid, points, "n", "p", ["x", "y"], "m", "q").collect()) == [(0, pytest.approx(3.0)), (1, 0.0)]
+
+
+def test_sections_map_or_fail(spark):
+    from lamella.operators import crosswalk
+
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    sections = frame([(1, 10), (2, 20), (3, 30), (4, 30), (5, 50)], ("section", "number"))
+    none = frame([], ("image", "section"))
+    files = frame([(70,)], ("number",))
+    run = lambda plates, cached=none: {r.image: (r.section, r.status) for r in crosswalk.section_mapping(frame(plates, ("image", "number")), sections, cached, files).collect()}
+    assert run([(1, 10), (9, 20), (8, 70), (7, 99)]) == {1: (1, "exact_id"), 9: (2, "repaired_unique_section"), 8: (None, "filename_only"), 7: (None, "unresolved")}
+    assert run([(9, 30)], frame([(9, 3)], ("image", "section"))) == {9: (3, "repaired_unique_section")}
+    for plates, cached, say in (([(9, 30)], none, "several sections"), ([(1, 11)], none, "number differs"), ([(9, 1)], frame([(9, 77)], ("image", "section")), "unknown"), ([(1, 10)], frame([(1, 2)], ("image", "section")), "differ")):
+        with pytest.raises(Exception, match=say):
+            run(plates, cached)
+
+
+def test_counts_that_are_none(spark):
+    from lamella.operators import matched
+
+    mapping = spark.createDataFrame([(1, "g")], "c int, grp string")
+    run = lambda count: matched.exact_sums(spark.createDataFrame([(1, "x", count), (1, "x", 2.0)], "c int, gene string, n double"), mapping, "c", "grp", "gene", "n").collect()
+    assert run(3.0)[0].n == 5
+    for bad in (1.5, -1.0, float("nan"), None):
+        with pytest.raises(Exception, match="no count"):
+            run(bad)
+
+
+def test_matched_draws_never_take_the_signature_or_a_gene_twice(spark):
+    from lamella.operators import matched
+
+    genes = [("d", f"g{i}", i // 10, float(i)) for i in range(60)]
+    df = spark.createDataFrame(genes, "d string, g string, place int, a double")
+    signature = spark.createDataFrame([("d", f"g{i}") for i in (*range(50, 58), 3, 12)], "d string, g string")
+    got = matched.matched_draws(df, signature, "d", "g", 30).collect()
+    own = {r.g for r in signature.collect()}
+    by = {}
+    for r in got:
+        by.setdefault(r.draw, []).append(r)
+    assert len(by) == 30
+    for rows in by.values():
+        names = [r.g for r in rows]
+        assert len(names) == len(set(names)) == len(own)
+        assert not own & set(names)
+        # the last stratum has two partners for eight genes; six come from the one before it
+        assert sorted(r.place for r in rows) == [0, 1, *[4] * 6, 5, 5]
+        assert sum(r.borrowed for r in rows) == 6
+    assert len({tuple(sorted(r.g for r in rows)) for rows in by.values()}) > 20

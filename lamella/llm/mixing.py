@@ -1,29 +1,31 @@
 """Mixing sources to target weights: hash-random keys, a range sort within each source, distributed prefix sums of
 word counts, and a cut at each source's exact budget, with whole epochs before it where the budget asks for them.
 
-All of it is DataFrame functions. A source's documents fall into as many key ranges as the root of their number, so
-neither a range nor the list of a source's ranges is large, whatever share of the rows the source holds: sums per
-range are formed before the shuffle, prefix sums run over a source's ranges, then over the documents of a range.
+All of it is DataFrame functions. Rows are range-sorted by (source, key, id, size, place in the input): a source lies in
+as many partitions as its share of the rows asks for, and so do rows that share an id, or have none. Sums run inside a
+partition, those of the partitions before come from a table with a row for each partition and source in it; its number
+of rows is counted before it is broadcast. The table of sources is worked on in the same way.
 
 Defined cases: null text counts no words; null sources are one source, the last; sources without words get nothing;
-repeated rows count each for itself; documents with equal keys follow their id and size; an empty table gives an
-empty result. The cut falls on a word: one document of each source may be taken in part.
+repeated rows count each for itself, and so do rows of one id or of none; documents with equal keys follow their id and
+size; an empty table gives an empty result. The cut falls on a word: one document of each source may be taken in part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import SPACE_CLASS, WORD_PATTERN, cut, fresh, table
+from lamella.llm.common import SPACE_CLASS, WORD_PATTERN, cut, table
+from lamella.plans.prefix import running
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-#: Bits of the key's leading part, by which ranges are cut.
-KEY_SPACE = 1 << 32
+#: Tables of sources that are counted to have no more rows are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -36,48 +38,42 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     The excess of capped sources goes to the others by weight; the level at which that ends is found with running
     sums over the sources in the order in which they reach their caps. The table has a row for each source.
     """
-    ranked = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    ranked = running(sizes, [], [F.col("source").isNull(), "source"], {"place": F.lit(1)})
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights)).cast("int") + 1)
     ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    everything = Window.partitionBy()
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
-    below = lambda c: F.coalesce(F.sum(c).over(by_cap), F.lit(0.0))
-    total = F.sum("source_size").over(everything) * F.lit(float(share))
-    level = (total - below("cap")) / (F.sum("weight").over(everything) - below("weight"))
-    open_ = ranked.withColumn("level", level).withColumn("open", F.col("cap") / F.col("weight") > F.col("level"))
+    ranked = running(ranked, [], [F.col("cap") / F.col("weight"), "place"], {"cap_below": "cap", "weight_below": "weight"})
+    whole = ranked.agg((F.sum("source_size") * F.lit(float(share))).alias("total"), F.sum("weight").alias("weights"))
+    level = (F.col("total") - F.col("cap_below")) / (F.col("weights") - F.col("weight_below"))
+    open_ = cut(ranked.crossJoin(whole).withColumn("level", level))
     # the first source in that order which stays below its cap sets the level of all such
-    first = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("place"), F.col("level")))).over(everything)
-    final = open_.withColumn("final", first["level"])
+    stays = F.col("cap") / F.col("weight") > F.col("level")
+    first = open_.agg(F.min(F.when(stays, F.struct((F.col("cap") / F.col("weight")).alias("at"), "place", "level")))["level"].alias("final"))
     target = F.when(F.col("final").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("final") * F.col("weight")))
-    return final.select("source", "source_size", "docs", target.alias("target"))
+    return open_.crossJoin(first).select("source", "source_size", target.alias("target"))
 
 
-def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """For each row: its id, source, size, its source's size and target, and how many of its words the mix takes."""
-    key = F.md5(F.coalesce(documents[id_col].cast("string"), F.lit("")))
-    rows = documents.select(documents[id_col].alias("doc_id"), documents[source_col].alias("source"), words_of(documents[text_col]).alias("size"), key.alias("key"))
-    rows = cut(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    budgets = cut(targets(sizes))
+def plan(rows: DataFrame) -> DataFrame:
+    """rows (id, source, size and any others) with source_size, target and taken: how many of a row's words the mix
+    takes, whole epochs included."""
+    budgets = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     budget = F.floor("target")
-    plan = budgets.select(
-        F.struct("source").alias("s"), "source_size", "target",
-        F.ceil(F.sqrt(F.col("docs").cast("double"))).cast("long").alias("ranges"),
+    sources = budgets.select(
+        F.struct("source").alias("s"), "source_size", "target", budget.alias("budget"),
         F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).alias("epochs"),
-        budget.alias("budget"),
     )
-    # a row for each source of the mixture
-    placed = rows.withColumn("s", F.struct("source")).join(F.broadcast(plan), "s")
-    lead = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
-    placed = placed.withColumn("range", F.floor(lead * F.col("ranges") / F.lit(float(KEY_SPACE))).cast("long"))
-    before = Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = placed.groupBy("s", "range").agg(F.sum("size").alias("range_size"))
-    sums = sums.select("s", "range", F.coalesce(F.sum("range_size").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("s", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums.hint("merge"), ["s", "range"])
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("inside")
-    last = F.greatest(F.lit(0), F.least(rest, F.col("size")))
-    return placed.select("doc_id", F.col("s.source").alias("source"), "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+    few = sources.count() <= BROADCAST_ROWS
+    key = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    placed = running(rows.withColumn("row", F.monotonically_increasing_id()), ["source"], [key, "id", "size", "row"], {"before": "size"})
+    joined = placed.withColumn("s", F.struct("source")).join(F.broadcast(sources) if few else sources.hint("merge"), "s")
+    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("before")
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(rest, F.col("size")))
+    return joined.withColumn("taken", taken.cast("long")).select(*rows.columns, "source_size", "target", "taken")
+
+
+def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """For each row: its id, source, size, its source's size and target, and how many of its words the mix takes."""
+    rows = documents.select(documents[id_col].alias("id"), documents[source_col].alias("source"), words_of(documents[text_col]).alias("size"))
+    return plan(cut(rows)).withColumnRenamed("id", "doc_id")
 
 
 def leading_words(text: Column, n: Column) -> Column:
@@ -87,19 +83,17 @@ def leading_words(text: Column, n: Column) -> Column:
 
 def apply_mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: a row for each epoch that takes a document, the last one cut at the budget's last word."""
-    taken, size, k = (fresh(documents, c) for c in ("_taken", "_size", "_epoch"))
-    key, source = fresh(documents, "_key"), fresh(documents, "_source")
-    plan = mix(documents, id_col, text_col, source_col).where("taken > 0")
-    plan = plan.groupBy("doc_id", "source", "size").agg(F.min("taken").alias("lo"), F.max("taken").alias("hi"))
-    plan = plan.select(F.col("doc_id").alias(key), F.col("source").alias(source), F.col("size").alias(size), F.col("hi").alias(taken))
-    same = documents[id_col].eqNullSafe(plan[key]) & documents[source_col].eqNullSafe(plan[source]) & (words_of(documents[text_col]) == plan[size])
-    joined = documents.join(plan.hint("merge"), same).drop(key, source)
-    epochs = F.sequence(F.lit(0), F.ceil(F.col(taken) / F.col(size)).cast("int") - 1)
-    joined = joined.withColumn(k, F.explode(epochs))
-    part = F.least(F.col(size), F.col(taken) - F.col(k) * F.col(size))
-    text = F.when(part < F.col(size), leading_words(F.col(f"`{text_col}`"), part)).otherwise(F.col(f"`{text_col}`"))
-    out = joined.withColumn(text_col, text)
-    return out.select(*(F.length(F.col(f"`{text_col}`")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in documents.columns))
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    own = dict(zip(documents.columns, names, strict=True))
+    rows = documents.toDF(*names)
+    rows = rows.select("*", F.col(own[id_col]).alias("id"), F.col(own[source_col]).alias("source"), words_of(F.col(own[text_col])).alias("size"))
+    taken = plan(rows).where("taken > 0")
+    epochs = F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)
+    each = taken.withColumn("k", F.explode(epochs))
+    part = F.least(F.col("size"), F.col("taken") - F.col("k") * F.col("size"))
+    text = own[text_col]
+    out = each.withColumn(text, F.when(part < F.col("size"), leading_words(F.col(text), part)).otherwise(F.col(text)))
+    return out.select(*(F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(n).alias(c) for c, n in own.items()))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

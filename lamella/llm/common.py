@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamella.plans.prefix import shared_folder
+
 #: The white space of all contracts here: space and the controls from tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
@@ -23,12 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's folder in spark.checkpoint.dir is used; one is set only where there is none (tests)."""
+    """The session's folder in spark.checkpoint.dir; one of this machine only where the session runs on it alone."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="lamella-checkpoint-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def ownership(candidates: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
     """For each row: id, base spans and added spans (start, kind, end, live, owners, repos), in order."""
     text = F.coalesce(documents[text_col].cast("string"), F.lit(""))
-    owner = F.coalesce(documents[owner_col].cast("string"), F.concat(F.lit("\0"), documents[repo_col].cast("string")))
+    owner = F.coalesce(documents[owner_col].cast("string"), F.concat(F.lit("\0"), F.coalesce(documents[repo_col].cast("string"), F.lit(""))))
     rows = documents.select(documents[id_col].alias("doc_id"), owner.alias("owner"), F.coalesce(documents[repo_col].cast("string"), F.lit("\0")).alias("repo"), text.alias("text"))
     found = rows.select("doc_id", "owner", "repo", F.concat(*(matches(F.col("text"), k) for k in KINDS)).alias("found"))
     found = cut(found.withColumn("row", F.monotonically_increasing_id()))
@@ -123,7 +123,7 @@ SQL = {
     "op7_secret_scan": "WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),\nm AS ("
     + "\nUNION ALL ".join(_kind_sql(i, k) for i, k in enumerate(KINDS))
     + """),
-o AS (SELECT value, count(DISTINCT source) <= 1 AS live FROM m JOIN d USING (r) GROUP BY value),
+o AS (SELECT value, count(DISTINCT coalesce(source, chr(1) || coalesce(CAST(doc_id AS VARCHAR), ''))) <= 1 AS live FROM m JOIN d USING (r) GROUP BY value),
 j AS (SELECT m.*, o.live FROM m JOIN o USING (value) WHERE kind <> 'key' OR o.live),
 g AS (SELECT r, count(*) FILTER (WHERE kind = 'assign') AS a, count(*) FILTER (WHERE kind = 'access') AS b, count(*) FILTER (WHERE kind = 'hex') AS h,
   count(*) FILTER (WHERE kind <> 'key' AND live) AS n_live, count(*) FILTER (WHERE kind <> 'key' AND NOT live) AS n_copied,

@@ -29,10 +29,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import cut, fresh, release, released, shuffle_partitions, table
+from lamella.llm.common import WORD_PATTERN, cut, release, released, shuffle_partitions, table
 from lamella.llm.textkernels import shingle_sets, text_slices
 
 PERCENT = 80
@@ -42,9 +42,8 @@ TILE = 128
 COUNTERS_LOG2 = 22
 #: Lists that the counts put above this are dealt out so that one list can be split over tasks.
 HOT_LIST = 1 << 17
-#: Classes in a tile of the bitmap filter; blocks of more than SIEVE_PARTS such tiles go on unfiltered.
-SIEVE_TILE = 512
-SIEVE_PARTS = 16
+#: Classes in a tile of the bitmap filter.
+SIEVE_TILE = 1024
 #: Up to so many classes that need their whole sets are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 250_000
 #: Columns of the dense part of a tile's product.
@@ -67,49 +66,54 @@ def parities(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount((own & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).tobytes()
 
 
-def near(bits: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """For each set of a unit whether its bitmap allows a link with another one."""
+def near(bits: list[np.ndarray], sizes: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set of a unit whether its bitmap allows a link with another one, of the other side where sides are given."""
     found = np.zeros(len(bits), bool)
     length = np.array([len(b) for b in bits])
     for width in np.unique(length).tolist():
         own = np.flatnonzero(length == width)
-        mine = np.stack([bits[i] for i in own])
-        for other in (own, np.flatnonzero(length == 2 * width)):
-            if not len(other):
+        for asked, other in ((own, own), (own, np.flatnonzero(length == 2 * width))) if side is None else _facing(own, np.flatnonzero(length == 2 * width), side):
+            if not len(other) or not len(asked):
                 continue
             # the wider bitmap folds onto the narrower one
-            theirs = mine if other is own else np.stack([bits[j][:width] ^ bits[j][width:] for j in other])
-            for k, i in enumerate(own.tolist()):
-                differ = np.bitwise_count(theirs.view(np.uint64) ^ mine[k].view(np.uint64)).sum(axis=1, dtype=np.int64)
+            theirs = np.stack([bits[j] if len(bits[j]) == width else bits[j][:width] ^ bits[j][width:] for j in other])
+            for i in asked.tolist():
+                differ = np.bitwise_count(theirs.view(np.uint64) ^ bits[i].view(np.uint64)).sum(axis=1, dtype=np.int64)
                 # intersection >= percent / (100 + percent) of both sizes
-                hit = (100 + percent) * differ <= (100 - percent) * (sizes[other] + sizes[i])
-                if other is own:
-                    hit[k] = False
+                hit = ((100 + percent) * differ <= (100 - percent) * (sizes[other] + sizes[i])) & (other != i)
                 if hit.any():
                     found[i] = True
                     found[other[hit]] = True
     return found
 
 
+def _facing(own: np.ndarray, wider: np.ndarray, side: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Whom to compare with whom, so that each pair of different sides meets once."""
+    of = lambda x, k: x[side[x] == k]
+    return [(of(own, 0), of(own, 1)), (of(own, 0), of(wider, 1)), (of(own, 1), of(wider, 0))]
+
+
 def _sieve(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(hub, set_id) of the members that may link; the rows come sorted by unit."""
+    """(hub, set_id) of the members that may link; the rows come sorted by unit. A unit is a tile, or two that meet."""
     unit: str | None = None
     hub = 0
-    members: dict[int, tuple[int, np.ndarray]] = {}
+    members: dict[int, tuple[int, np.ndarray, int]] = {}
 
     def done() -> list[tuple[int, int]]:
         if len(members) < 2:
             return []
-        stay = near([b for _, b in members.values()], np.array([n for n, _ in members.values()]), percent)
+        side = np.array([k for _, _, k in members.values()])
+        stay = near([b for _, b, _ in members.values()], np.array([n for n, _, _ in members.values()]), percent, side if side.any() else None)
         return [(hub, i) for i, s in zip(members, stay.tolist(), strict=True) if s]
 
     for batch in batches:
         out: list[tuple[int, int]] = []
-        for key, block, i, n, packed in zip(batch.column("unit").to_pylist(), batch.column("hub").to_pylist(), batch.column("set_id").to_pylist(), batch.column("n").to_pylist(), batch.column("bits"), strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("unit", "hub", "set_id", "n", "side"))
+        for key, block, i, n, side, packed in zip(*columns, batch.column("bits"), strict=True):
             if key != unit:
                 out += done()
                 unit, hub, members = key, block, {}
-            members[i] = (n, np.frombuffer(packed.as_buffer(), np.uint8))
+            members[i] = (n, np.frombuffer(packed.as_buffer(), np.uint8), side)
         if out:
             yield _edges(out)
     if last := done():
@@ -308,12 +312,19 @@ def _multiply(units: DataFrame, sets: DataFrame, percent: int, grouped: bool) ->
 
 def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, hot_list: int = HOT_LIST) -> DataFrame:
     """For each row of documents: its id, the size of its set and the least id of its component."""
+    rows = _components(documents, id_col, text_col, width, percent, tile, hot_list)
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return rows.select(known("rid").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"))
+
+
+def _components(documents: DataFrame, id_col: str, text_col: str, width: int = WIDTH, percent: int = PERCENT, tile: int = TILE, hot_list: int = HOT_LIST) -> DataFrame:
+    """(rid, text_key, n, root, component) of each row, NO_ID for a null id; root tells components apart even where ids repeat."""
     spark = documents.sparkSession
     text = documents[text_col].cast("string")
     # ids may be null or repeated: a class is found again by the id and the text of one of its rows
     docs = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(NO_ID)).alias("rid"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     seen = cut(docs.mapInArrow(released(partial(_profile, width=width)), "rid long, text_key long, n long, set_id long, bits binary, piece int, counts binary"))
-    base = seen.where("piece IS NULL").select("rid", "n", "set_id")
+    base = seen.where("piece IS NULL").select("rid", "text_key", "n", "set_id")
     summed = seen.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary")
     # 64 rows of 64 thousand counters, however large the corpus
     level, floor = _levels({r["piece"]: np.frombuffer(zlib.decompress(r["counts"]), np.uint64) for r in summed.toLocalIterator()})
@@ -354,29 +365,48 @@ def components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classed = classes.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
     classed = classed.select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     least = classed.groupBy("root").agg(F.min("rep").alias("least"))
-    labelled = classed.join(least.hint("merge"), "root").select("set_id", "least")
+    labelled = classed.join(least.hint("merge"), "root").select("set_id", "root", "least")
     rows = base.join(labelled.hint("merge"), "set_id", "left")
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return rows.select(known("rid").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, known("least")).otherwise(known("rid")).alias("component_id"))
+    return rows.select("rid", "text_key", "n", "root", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("rid")).alias("component"))
 
 
 def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(hub, set_id), the hub's own row included: the members of blocks that may link with another of their block."""
+    """(hub, set_id), the hub's own row included: the members of blocks that may link with another of their block.
+
+    A block of up to SIEVE_TILE members is one unit. A larger one falls into bands by the sets' sizes, whose steps are
+    so wide that sets two bands apart can't link, and each band into tiles; a tile meets the tiles of its band and of
+    the next one."""
     members = pairs.union(pairs.select("hub", F.col("hub").alias("set_id")).distinct())
-    parts = F.ceil(F.count("*") / F.lit(SIEVE_TILE)).cast("int")
-    members = members.join(members.groupBy("hub").agg(parts.alias("parts")).hint("merge"), "hub")
+    members = members.join(members.groupBy("hub").agg(F.count("*").alias("size")).hint("merge"), "hub")
     members = members.join(classes.select("set_id", "n", "bits").hint("merge"), "set_id")
-    part = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
-    # a tile meets every tile of its block, itself included
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = members.where(F.col("parts") <= SIEVE_PARTS).withColumn("part", part).withColumn("other", other)
-    unit = F.concat_ws(":", "hub", F.least("part", "other"), F.greatest("part", "other"))
-    dealt = dealt.select(unit.alias("unit"), "hub", "set_id", "n", "bits")
+    columns = ["unit", "hub", "set_id", "n", "side", "bits"]
+    small = members.where(F.col("size") <= SIEVE_TILE).withColumn("unit", F.col("hub").cast("string")).withColumn("side", F.lit(0)).select(*columns)
+
+    large = members.where(F.col("size") > SIEVE_TILE).withColumn("band", _band(percent))
+    counts = large.groupBy("hub", "band").agg(F.ceil(F.count("*") / F.lit(SIEVE_TILE)).cast("int").alias("parts"))
+    after = counts.select("hub", (F.col("band") - 1).alias("band"), F.col("parts").alias("after"))
+    before = counts.select("hub", (F.col("band") + 1).alias("band"), F.col("parts").alias("before"))
+    bands = counts.join(after, ["hub", "band"], "left").join(before, ["hub", "band"], "left")
+    dealt = large.join(bands.hint("merge"), ["hub", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int"))
+    # the tiles that a member's tile meets: (band, part) and which of the two comes first
+    meets = lambda n, step, first: F.transform(F.sequence(F.lit(1), n), lambda q: F.struct((F.col("band") + step).alias("band"), (q - 1).alias("part"), F.lit(first).alias("first")))
+    none = F.array().cast("array<struct<band:int,part:int,first:boolean>>")
+    there = lambda n, *of: F.when(F.coalesce(n, F.lit(0)) > 0, meets(n, *of)).otherwise(none)
+    other = F.explode(F.concat(meets(F.col("parts"), 0, True), there(F.col("after"), 1, True), there(F.col("before"), -1, False)))
+    dealt = dealt.withColumn("other", other)
+    same = F.col("other.band") == F.col("band")
+    first = F.when(same, F.col("part") <= F.col("other.part")).otherwise(F.col("other.first"))
+    own, theirs = F.concat_ws(".", "band", "part"), F.concat_ws(".", "other.band", "other.part")
+    unit = F.when(first, F.concat_ws(":", "hub", own, theirs)).otherwise(F.concat_ws(":", "hub", theirs, own))
+    tiles = dealt.withColumn("unit", unit).withColumn("side", F.when(first, 0).otherwise(1)).select(*columns)
     count = max(shuffle_partitions(pairs.sparkSession), 12)
-    dealt = dealt.repartition(count, "unit").sortWithinPartitions("unit")
-    stay = dealt.mapInArrow(released(partial(_sieve, percent=percent)), "u long, v long").select(F.col("u").alias("hub"), F.col("v").alias("set_id"))
-    large = members.where(F.col("parts") > SIEVE_PARTS).select("hub", "set_id")
-    return cut(stay.union(large).distinct())
+    stay = small.union(tiles).repartition(count, "unit").sortWithinPartitions("unit").mapInArrow(released(partial(_sieve, percent=percent)), "u long, v long")
+    return cut(stay.select(F.col("u").alias("hub"), F.col("v").alias("set_id")).distinct())
+
+
+def _band(percent: int) -> Column:
+    """Steps of a set's size n: sets two steps apart can't be similar enough."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
 
 
 def _rest(large: DataFrame, blocks: DataFrame, classes: DataFrame, found: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
@@ -385,9 +415,7 @@ def _rest(large: DataFrame, blocks: DataFrame, classes: DataFrame, found: DataFr
     hubs = large.select("hub")
     members = blocks.join(hubs.hint("merge"), "hub", "left_semi")
     members = members.join(roots.hint("merge"), "set_id", "left").join(classes.select("set_id", "n").hint("merge"), "set_id")
-    # sets whose sizes lie two steps apart can't be similar enough
-    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
-    members = cut(members.select("hub", "set_id", F.coalesce("root", "set_id").alias("grp"), step.alias("step")))
+    members = cut(members.select("hub", "set_id", F.coalesce("root", "set_id").alias("grp"), _band(percent).alias("step")))
     per = members.groupBy("hub", "grp").agg(F.count("*").alias("k"))
     main = per.groupBy("hub").agg(F.max(F.struct("k", "grp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("hub", F.col("m.grp").alias("main"))
     open_ = members.join(main.hint("merge"), "hub")
@@ -406,11 +434,21 @@ def _rest(large: DataFrame, blocks: DataFrame, classes: DataFrame, found: DataFr
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without those that a smaller id of their component stands for; texts without a word all stay."""
-    grouped = components(documents, id_col, text_col)
-    key = fresh(documents, "_kept")
-    kept = grouped.where("doc_id <=> component_id").select(F.col("doc_id").alias(key)).distinct()
-    return documents.join(kept.hint("merge"), documents[id_col].eqNullSafe(kept[key]), "left_semi")
+    """documents with one row of each component: that of the least id, and of several such rows that of the least hash of
+    the text, and of equal ones the first that comes. Rows without a word all stay."""
+    names = [f"c{i}" for i in range(len(documents.columns))]
+    own = dict(zip(documents.columns, names, strict=True))
+    text = F.col(own[text_col]).cast("string")
+    rows = documents.toDF(*names).withColumn("rid", F.coalesce(F.col(own[id_col]).cast("long"), F.lit(NO_ID))).withColumn("text_key", F.xxhash64(text))
+    worded = F.coalesce(text.rlike(WORD_PATTERN), F.lit(False))
+    grouped = _components(documents, id_col, text_col).where("n > 0")
+    copies = grouped.groupBy("root", "rid", "text_key").agg(F.count("*").alias("copies"))
+    best = copies.groupBy("root").agg(F.min(F.struct("rid", "text_key", "copies")).alias("b")).select("b.rid", "b.text_key", "b.copies")
+    found = rows.where(worded).join(best.hint("merge"), ["rid", "text_key"])
+    one = found.where("copies = 1").select(*names)
+    # equal rows but for other columns: one of them, chosen in partial aggregates, so that no task holds them all
+    again = found.where("copies > 1").groupBy("rid", "text_key").agg(F.first(F.struct(*names)).alias("r")).select("r.*")
+    return rows.where(~worded).select(*names).union(one).union(again).toDF(*documents.columns)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

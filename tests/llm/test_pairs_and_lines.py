@@ -65,7 +65,6 @@ def test_components(spark, seed, tile, hot, monkeypatch):
     rows = corpus(seed)
     if tile < 100:
         monkeypatch.setattr(ngram_join, "SIEVE_TILE", 4)
-        monkeypatch.setattr(ngram_join, "SIEVE_PARTS", 2)
         monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = ngram_join.components(df, tile=tile, hot_list=hot)
@@ -98,6 +97,48 @@ def test_long_text_and_kept_rows(spark):
     assert sorted(x.doc_id for x in kept.collect()) == [1, 3]
 
 
+def test_one_row_of_each_component_stays(spark):
+    """Rows of one id with other texts, equal rows, and null ids: one row of each component, and all rows without words."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a + " end", "en", "s", 1), (2, a, "en", "s", 1), (3, b, "en", "t", 2), (3, b, "en", "u", 2)]
+    rows += [(None, "alone among all of these texts", "en", "s", 1)] * 3 + [(None, b + " x", "en", "s", 1)] + [(7, "", "en", "s", 0), (7, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "copies").withColumnRenamed("source", "rid")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((x.doc_id, x.text) for x in kept.collect()), key=str)
+    firsts = [x for x in got if x[0] == 1 and x[1] in (a, a + " end")]
+    assert len(firsts) == 1
+    got.remove(firsts[0])
+    assert got == sorted([(1, b), (None, "alone among all of these texts"), (7, ""), (7, ""), (None, None)], key=str)
+
+
+def test_large_blocks_are_sieved_in_bands(spark, monkeypatch):
+    """A block of many tiles and sizes: texts that share a passage, among them near copies of all sizes."""
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for k in range(120):
+        base = passage + [f"own{k}x{i}" for i in range(r.randrange(0, 60))]
+        for _ in range(r.choice([1, 1, 2, 3])):
+            rows.append((len(rows), " ".join(base + [f"tail{len(rows)}" for _ in range(r.randrange(0, 2))])))
+    monkeypatch.setattr(ngram_join, "SIEVE_TILE", 5)
+    got = ngram_join.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), tile=4)
+    assert sorted(map(tuple, got.collect())) == brute_components(rows)
+
+
+def test_facing_bitmaps_find_what_all_pairs_find():
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    sets = []
+    for _ in range(40):
+        base = r.integers(0, 2**63, int(r.integers(1, 300)), dtype=np.uint64)
+        sets += [np.unique(np.concatenate([base, r.integers(0, 2**63, int(r.integers(0, 9)), dtype=np.uint64)])) for _ in range(2)]
+    bits, sizes, side = [np.frombuffer(ngram_join.parities(x), np.uint8) for x in sets], np.array([len(x) for x in sets]), r.integers(0, 2, len(sets))
+    pairs = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and side[i] != side[j] and ngram_join.near([bits[i], bits[j]], sizes[[i, j]], 80).all()}
+    assert ngram_join.near(bits, sizes, 80, side).tolist() == [any(i == a for a, _ in pairs) for i in range(len(sets))]
+
+
 def test_parity_bitmaps_never_lose_a_link():
     import numpy as np
 
@@ -183,6 +224,40 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mixing_of_equal_ids_at_the_cut(spark):
+    """A third of the rows has no id, another third one id: budgets are met to the word, rows are taken one by one."""
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, "one two three" if i % 2 else f"a b {i}", "en", "ab"[i % 5 == 0], 0) for i in range(900)]
+    df = spark.createDataFrame(rows, DOCS).withColumnRenamed("lang", "before").withColumnRenamed("n_chars", "row").repartition(5)
+    out = mixing.mix(df).collect()
+    target = brute_targets({s: sum(len(t.split()) for _, t, _, u, _ in rows if u == s) for s in "ab"})
+    assert len(out) == 900
+    mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns
+    texts = mixed.collect()
+    for s in "ab":
+        assert sum(x.taken for x in out if x.source == s) == int(target[s])
+        assert sum(len(x.text.split()) for x in texts if x.source == s) == int(target[s])
+
+
+def test_secrets_without_source_are_owners_of_their_own(spark, tmp_path):
+    """The query against its SQL, with null sources and ids, columns of clashing names, and a very long text."""
+    import duckdb
+
+    secret = "token=abcdefgh12345678"
+    rows = [(1, secret, None, 0), (2, secret, None, 0), (3, "secret: zzzzzzzzzzzz", None, 0), (4, "secret: yyyyyyyyyyyy", "s", 0), (5, "secret: yyyyyyyyyyyy", "s", 0), (6, "secret: yyyyyyyyyyyy", "s", 0), (None, "token=onlyhere1", None, 0)]
+    rows += [(8, "word " * 50_000 + secret + " A1b2" + "Zz9" * 12, "t", 0), (9, None, None, 0), (9, "", "q", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, value int")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    result = db.execute(secrets.SQL["op7_secret_scan"])
+    names = [c[0] for c in result.description]
+    got = secrets.op7(spark, str(tmp_path))
+    assert sorted(map(str, (tuple(r[n] for n in names) for r in got.collect()))) == sorted(map(str, result.fetchall()))
+    live = {x.doc_id: x.n_live for x in got.collect() if x.doc_id in (1, 3, 4, 8)}
+    assert live == {1: 0, 3: 1, 4: 1, 8: 0}
+
+
 def test_secrets(spark):
     hexed, key = "0123456789abcdef" * 2, "AKIA" + "Q" * 16
     texts = [

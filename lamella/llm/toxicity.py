@@ -5,8 +5,11 @@ digits is one blank. Features are presence in the text; each is scaled by the lo
 frequencies in toxic and clean labelled texts, and a logistic regression is fitted on the scaled features. All of a
 text is scored, batch by batch, with one table of weights of fixed size.
 
-The classifier is fitted on at most ``MAX_TOXIC`` toxic and ``MAX_CLEAN`` clean labelled documents, picked by a hash
-of their ids; that is the only bound. Labels count only where crc32 of the id's text modulo ``FOLDS`` isn't 0.
+Bounds, all parameters of ``train``: it is fitted on at most ``max_toxic`` toxic and ``max_clean`` clean labelled
+documents, picked by a hash of their ids, and keeps the at most ``features`` n-grams whose likelihood ratio statistic is
+largest and at least ``evidence``. N-grams are counted in the tasks and chosen in Spark; of the documents only the kept
+features reach the driver, however long the texts. Labels count only where crc32 of the id's text modulo ``FOLDS``
+isn't 0. Nothing of the scoring is bounded: all of each text is scored.
 
 Defined cases: null text scores as the empty text; null ids are scored, never learnt from, and count as held out by
 no fold; labels that are null or contradict each other are left out; without labels of both kinds every score is the
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import fresh, release, released, table
+from lamella.llm.common import cut, fresh, release, released, table
 from lamella.llm.textkernels import mix64, sorted_unique
 
 ORDERS = (4, 5, 6)
@@ -31,8 +34,7 @@ BITS = 20
 FOLDS = 5
 MAX_TOXIC = 2_000
 MAX_CLEAN = 4_000
-#: Features kept: those whose likelihood ratio statistic (of toxic and clean documents that hold it, against the same
-#: share in both) is so large; of them at most FEATURES, the largest. The rest would only add noise to long texts.
+#: Features kept: those with so much evidence, and of them at most FEATURES; the rest only add noise to long texts.
 EVIDENCE = 12.0
 FEATURES = 20_000
 EPOCHS = 300
@@ -89,73 +91,97 @@ def gram_slices(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.n
         row = end
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _presence(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, its distinct features) of each text."""
+    for row, numbers, owner in gram_slices(texts):
+        pairs = sorted_unique(owner.astype(np.int64) << BITS | numbers)
+        last = int(pairs[-1] >> BITS) + 1 if len(pairs) else 0
+        ends = np.searchsorted(pairs, np.arange(1, last + 1, dtype=np.int64) << BITS).tolist()
+        for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            yield row + i, pairs[a:b] & ((1 << BITS) - 1)
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, clean, toxic): in how many texts of each label of this task a feature is."""
+    seen = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        labels = batch.column("toxic").to_pylist()
+        for i, own in _presence(batch.column("text").to_pylist()):
+            seen[labels[i], own] += 1
+    feature = np.flatnonzero(seen.any(axis=0)).astype(np.int32)
+    yield pa.record_batch([pa.array(feature), pa.array(seen[0, feature]), pa.array(seen[1, feature])], ["feature", "clean", "toxic"])
+
+
+def _kept_features(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
+    """(toxic, features): the places of a text's kept features in their list."""
+    place = np.full(1 << BITS, -1, np.int32)
+    place[kept.value] = np.arange(len(kept.value))
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        sets: list[bytes] = [b""] * len(texts)
-        for row, numbers, owner in gram_slices(texts):
-            pairs = sorted_unique(owner.astype(np.int64) << BITS | numbers)
-            ends = np.searchsorted(pairs, np.arange(1, len(texts) - row + 1, dtype=np.int64) << BITS).tolist()
-            for i, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-                if b > a:
-                    sets[row + i] = (pairs[a:b] & ((1 << BITS) - 1)).astype("<i4").tobytes()
+        sets = [b""] * len(batch)
+        for i, own in _presence(batch.column("text").to_pylist()):
+            at = place[own]
+            sets[i] = at[at >= 0].astype("<i4").tobytes()
         yield pa.record_batch([batch.column("toxic"), pa.array(sets, pa.binary())], ["toxic", "features"])
 
 
-def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, float] | None:
-    """(weight of each feature, intercept) from (label, its distinct features); None without both labels."""
+def fit(rows: list[tuple[int, np.ndarray]], ratio: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weight of each feature, intercept) from (label, places of its features) and the features' log-count ratios."""
     labels = np.array([y for y, _ in rows], np.float64)
-    if not rows or labels.min() == labels.max():
-        return None
-    seen = np.zeros((2, 1 << BITS))
-    for y, own in rows:
-        seen[y, own] += 1
-    total = np.array([(labels == 0).sum(), (labels == 1).sum()], np.float64)
-    ratio = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-    both = seen.sum(axis=0)
-    evidence = np.zeros(1 << BITS)
-    for y in (0, 1):
-        expected = both * total[y] / total.sum()
-        evidence += 2 * seen[y] * np.log(np.maximum(seen[y], 1e-9) / np.maximum(expected, 1e-9))
-    ratio[evidence < EVIDENCE] = 0
-    ratio[np.argsort(-evidence, kind="stable")[FEATURES:]] = 0
-    picked = np.flatnonzero(ratio)
-    place = np.full(1 << BITS, -1)
-    place[picked] = np.arange(len(picked))
-    own = [place[x][place[x] >= 0] for _, x in rows]
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in own])
-    column = np.concatenate(own) if own else np.zeros(0, int)
-    scaled = ratio[picked][column]
-    weight, bias = np.zeros(len(picked)), 0.0
-    step_w, step_b = np.zeros(len(picked)), 0.0
+    row = np.repeat(np.arange(len(rows)), [len(x) for _, x in rows])
+    column = np.concatenate([x for _, x in rows])
+    scaled = ratio[column]
+    weight, bias = np.zeros(len(ratio)), 0.0
+    step_w, step_b = np.zeros(len(ratio)), 0.0
     for _ in range(EPOCHS):  # full-batch AdaGrad: deterministic
         margin = np.clip(bias + np.bincount(row, scaled * weight[column], len(rows)), -30, 30)
         slope = (1 / (1 + np.exp(-margin)) - labels) / len(rows)
-        grad = np.bincount(column, scaled * slope[row], len(picked)) + L2 * weight
+        grad = np.bincount(column, scaled * slope[row], len(ratio)) + L2 * weight
         step_w += grad**2
         step_b += slope.sum() ** 2
         weight -= 0.3 * grad / np.sqrt(step_w + 1e-12)
         bias -= 0.3 * slope.sum() / np.sqrt(step_b + 1e-12)
-    out = np.zeros(1 << BITS, np.float32)
-    out[picked] = weight * ratio[picked]
-    return out, float(bias)
+    return weight * ratio, float(bias)
+
+
+def evidence_of(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Column:
+    """Twice the log likelihood ratio of a feature's counts against the same share in both labels."""
+    both, total = clean + toxic, float(n_clean + n_toxic)
+    term = lambda seen, n: F.when(seen > 0, seen * F.ln(seen / (both * F.lit(n / total)))).otherwise(0.0)
+    return 2 * (term(clean, n_clean) + term(toxic, n_toxic))
 
 
-def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, folds: int = FOLDS) -> tuple[np.ndarray, float] | None:
-    """The classifier, from labelled documents outside the held-out fold."""
+def train(
+    documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN,
+    folds: int = FOLDS, evidence: float = EVIDENCE, features: int = FEATURES,
+) -> tuple[np.ndarray, float] | None:
+    """The classifier, from labelled documents outside the held-out fold; None without both labels."""
     key = F.col("key")
     one = labels.select(labels[id_col].alias("key"), labels[label_col].cast("int").alias("toxic")).where("toxic IN (0, 1) AND key IS NOT NULL")
     one = one.where(~held_out(key, folds)).groupBy("key").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     mixed = F.md5(key.cast("string"))
     ids = one.where("toxic = 1").orderBy(mixed, "key").limit(max_toxic).union(one.where("toxic = 0").orderBy(mixed, "key").limit(max_clean))
-    # at most max_toxic + max_clean ids
+    # at most max_toxic + max_clean ids; equal texts of one label count once
     texts = documents.select(documents[id_col].alias("key"), F.coalesce(documents[text_col].cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(ids), "key").select("toxic", "text").mapInArrow(released(_features), "toxic int, features binary").distinct()
-    gathered = sorted((r["toxic"], bytes(r["features"])) for r in rows.toLocalIterator())
-    model = fit([(y, np.frombuffer(x, "<i4")) for y, x in gathered])
+    rows = cut(texts.join(F.broadcast(ids), "key").select("toxic", "text").distinct())
+    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return None
+    counts = rows.mapInArrow(released(_counts), "feature int, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    told = F.round(evidence_of(F.col("clean"), F.col("toxic"), n[0], n[1]), 9)
+    # 2 ** BITS features at most, of which `features` come to the driver
+    kept = counts.withColumn("e", told).where(F.col("e") >= evidence).orderBy(F.col("e").desc(), "feature").limit(features).toPandas()
+    if kept.empty:
+        return None
+    ratio = np.log((kept["toxic"].to_numpy() + 0.5) / (n[1] + 1)) - np.log((kept["clean"].to_numpy() + 0.5) / (n[0] + 1))
+    shared = documents.sparkSession.sparkContext.broadcast(kept["feature"].to_numpy())
+    found = rows.mapInArrow(released(partial(_kept_features, kept=shared)), "toxic int, features binary")
+    gathered = sorted((r["toxic"], bytes(r["features"])) for r in found.toLocalIterator())
+    weight, bias = fit([(y, np.frombuffer(x, "<i4")) for y, x in gathered], ratio)
     del gathered
+    out = np.zeros(1 << BITS, np.float32)
+    out[kept["feature"].to_numpy()] = weight
     release()
-    return model
+    return out, bias
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.llm import bpe, lm_scoring, media_tiff, textkernels, toxicity
 
@@ -238,6 +239,10 @@ def test_toxicity(spark):
     assert none is None
     assert {x.score for x in toxicity.score(df, none).collect()} == {0.0}
     assert toxicity.score(df.limit(0), model).collect() == []
+    # a row without an id is scored and held out by no fold
+    loose = spark.createDataFrame([(None, "grumblor " * 9, "en", "s", 0)], DOCS)
+    assert toxicity.score(loose, model).first().score >= 0.5
+    assert not loose.select(toxicity.held_out(F.col("doc_id"))).first()[0]
     marked = {x.doc_id: x.h for x in df.select("doc_id", toxicity.held_out(df.doc_id).alias("h")).collect()}
     assert all(marked[i] == (zlib.crc32(str(i).encode()) % 5 == 0) for i in range(600))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition, counts, crosswalk, factors, geometry, identifiers, inference, linkage, matched, particles, ranks, reshape, volumes
+from lamella.operators import composition, counts, crosswalk, factors, geometry, identifiers, inference, linkage, matched, models, particles, ranks, reshape, volumes
 from lamella.streaming import windows
 
-_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, identifiers, crosswalk, matched, geometry, windows)
+_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, identifiers, crosswalk, matched, geometry, models, windows)
 
 
 def queries() -> dict:

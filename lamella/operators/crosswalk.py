@@ -159,7 +159,7 @@ def coverage(rows: DataFrame, unit: str, columns: list[str]) -> DataFrame:
     each = rows.select(unit, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select(unit, "x.*")
     q = F.percentile("v", F.array(*(F.lit(p) for p in (0.0, 0.25, 0.5, 0.75, 1.0))))
     own = each.groupBy("column").agg(F.count("v").alias("present"), F.countDistinct(F.when(F.col("v").isNotNull(), F.col(unit))).alias("units_present"), q.alias("q"), F.count(F.when(F.col("v") == 0, 1)).alias("zeros"))
-    missing = F.round(100 * (1 - F.col("present") / F.col("n_rows")), 1)
+    missing = F.round(100 * (1 - F.col("present") / F.col("n_rows")), 4)
     return own.crossJoin(total).select("column", "n_rows", "n_units", "present", "units_present", missing.alias("pct_missing"), *(F.round(F.element_at("q", i + 1), 6).alias(n) for i, n in enumerate(("least", "q25", "median", "q75", "largest"))), "zeros")
 
 
@@ -293,7 +293,7 @@ SQL = {
       f AS (SELECT *, n_distinct / present >= 0.05 AND (coalesce(l, 0) / present > 0.01 OR coalesce(h, 0) / present > 0.01) AS by_values, coalesce(h, 0) > 0 AS donor_like, coalesce(l, 0) > 0 AS numeric_like FROM a)
       SELECT "column", present, n_distinct, by_name, by_values, donor_like, numeric_like, examples, by_name::INT + by_values::INT + donor_like::INT + numeric_like::INT AS score FROM f""",
     "coverage": """WITH t AS (SELECT user_id AS u, unnest(['a', 'b']) AS c, unnest([CASE WHEN value > 50 THEN value END, event_id % 4]) AS v FROM events), n AS (SELECT count(*) AS n, count(DISTINCT user_id) AS u FROM events)
-      SELECT c AS "column", any_value(n.n) AS n_rows, any_value(n.u) AS n_units, count(v) AS present, count(DISTINCT t.u) FILTER (WHERE v IS NOT NULL) AS units_present, round(100 * (1 - count(v) / any_value(n.n)), 1) AS pct_missing, round(min(v), 6) AS least,
+      SELECT c AS "column", any_value(n.n) AS n_rows, any_value(n.u) AS n_units, count(v) AS present, count(DISTINCT t.u) FILTER (WHERE v IS NOT NULL) AS units_present, round(100 * (1 - count(v) / any_value(n.n)), 4) AS pct_missing, round(min(v), 6) AS least,
         round(quantile_cont(v, 0.25), 6) AS q25, round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q75, round(max(v), 6) AS largest, count(*) FILTER (WHERE v = 0) AS zeros FROM t CROSS JOIN n GROUP BY c""",
     "value_counts": f"""SELECT coalesce({_NORM("code")}, '<NA>') AS value, count(*) AS n FROM {made_sql("orders", _TABLE)} GROUP BY 1""",
     "pair_counts": f"""SELECT donor, value, n, CAST(row_number() OVER (PARTITION BY donor ORDER BY n DESC, value) AS INT) AS place FROM (SELECT donor, {_NORM("code")} AS value, count(*) AS n FROM {made_sql("orders", _TABLE)} GROUP BY 1, 2) WHERE value IS NOT NULL""",

@@ -311,3 +311,70 @@ def test_matched_draws_never_take_the_signature_or_a_gene_twice(spark):
         assert sorted(r.place for r in rows) == [0, 1, *[4] * 6, 5, 5]
         assert sum(r.borrowed for r in rows) == 6
     assert len({tuple(sorted(r.g for r in rows)) for rows in by.values()}) > 20
+
+
+def test_configs_and_drift():
+    from lamella.operators import selection
+
+    merged = selection.merged_config({"a": [[1]], "b": {"c": [2, 3], "d": 4}}, {"b": {"d": [5]}, "e": 6}, ["a", "e"])
+    assert merged == {"a": 1, "b": {"c": [2, 3], "d": 5}, "e": 6}
+    with pytest.raises(ValueError, match="missing"):
+        selection.merged_config({}, {}, ["a"])
+    one, two = {"files": [{"k": 1, "timestamp": 3}]}, {"files": [{"timestamp": 9, "k": 1}]}
+    assert not selection.drifted(one, two)
+    assert selection.drifted(one, {"files": []})
+    import hashlib
+
+    assert not selection.drifted(one, {"files": []}, hashlib.sha256(b'{"files":[{"k":1}]}').hexdigest())
+
+
+def test_states_and_channels_refuse(spark):
+    from lamella.operators import selection
+
+    planes = spark.createDataFrame([(1, 1), (1, 2)], "g int, z int")
+    known = spark.createDataFrame([(5,)], "id int")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "g int, z int, labels array<int>")
+    run = lambda o, i: sorted(map(tuple, selection.plane_states(planes, o, i, ["g", "z"], "labels", known).collect()))
+    assert run(frame((1, 1, [5])), frame((1, 1, [5]), (1, 2, [5]))) == [(1, 1, "LABELED"), (1, 2, "INFERRED")]
+    with pytest.raises(Exception, match="unknown label 6"):
+        run(frame((1, 1, [6])), frame())
+    with pytest.raises(Exception, match="no such plane 1/9"):
+        run(frame(), frame((1, 9, [5])))
+    active = spark.createDataFrame([("a", 0, 0, 5), ("a", 0, 0, 6)], "g string, y int, x int, l long")
+    with pytest.raises(Exception, match="several labels at a/0/0"):
+        selection.decoded_channels(active, "g", ["y", "x"], "l").collect()
+
+
+def test_models_against_numpy(spark):
+    import numpy as np
+
+    from lamella.operators import models
+
+    r = np.random.default_rng(4)
+    n = 300
+    x = r.standard_normal((n, 4))
+    y = x @ [1.0, -2.0, 0.5, 0.0] + r.standard_normal(n) + 1e4
+    cluster = r.integers(0, 20, n)
+    rows = [(int(i), int(cluster[i]), *map(float, x[i]), float(y[i]), "g") for i in range(n)] + [(n, 1, None, 1.0, 1.0, 1.0, 1.0, "g")]
+    df = spark.createDataFrame(rows, "k long, c int, x0 double, x1 double, x2 double, x3 double, y double, g string")
+    fit = lambda cols: np.linalg.lstsq(np.column_stack([np.ones(n), x[:, cols]]), y, rcond=None)
+    rss = lambda cols: float(((y - np.column_stack([np.ones(n), x[:, cols]]) @ fit(cols)[0]) ** 2).sum())
+    tss = float(((y - y.mean()) ** 2).sum())
+    got = models.redundancy(df, ["g"], "y", {"a": ["x0", "x1"], "b": ["x2", "x3"]}).first()
+    assert (got.n, got.r2) == (n, pytest.approx(1 - rss([0, 1, 2, 3]) / tss, abs=1e-6))
+    assert got.unique_a == pytest.approx((rss([2, 3]) - rss([0, 1, 2, 3])) / tss, abs=1e-6)
+    f = models.nested_f(df, ["g"], "y", ["x0"], ["x1", "x2", "x3"]).first()
+    assert f.f == pytest.approx((rss([0]) - rss([0, 1, 2, 3])) / 3 / (rss([0, 1, 2, 3]) / (n - 5)), rel=1e-6)
+    short = models.redundancy(df.limit(5), ["g"], "y", {"a": ["x0"]}).first()
+    assert short.r2 is None
+    wald = models.robust_wald(df, ["g"], "c", ["x0", "x1", "x2"], "y").first()
+    z = np.column_stack([np.ones(n), x[:, :3]])
+    b, e = fit([0, 1, 2])[0], y - z @ fit([0, 1, 2])[0]
+    inverse = np.linalg.inv(z.T @ z)
+    meat = sum(np.outer(u, u) for u in (z[cluster == c].T @ e[cluster == c] for c in np.unique(cluster)))
+    g = len(np.unique(cluster))
+    v = (inverse @ meat @ inverse * (g / (g - 1)) * ((n - 1) / (n - 4)))[1:, 1:]
+    assert wald.f == pytest.approx(float(b[1:] @ np.linalg.inv(v) @ b[1:]) / 3, rel=1e-4)
+    components = models.principal(df.dropna(), "k", ["x0", "x1", "x2", "x3"], 30).orderBy("component").collect()
+    assert [c.value for c in components] == pytest.approx(sorted(np.linalg.eigvalsh(np.corrcoef(x.T)), reverse=True), abs=1e-3)
+    assert not any(c.kept for c in components)

@@ -3,7 +3,7 @@ stays, sources are mixed to their weights, and texts become ids.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
 documents; the last one returns the digests of its ids instead. Stages are meant to be written and read again between
-each other; ``run`` does so in the session's checkpoint folder.
+each other; ``run`` does so in the session's checkpoint folder, and removes a stage's rows once the next one is written.
 """
 
 from __future__ import annotations
@@ -47,6 +47,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    """By Spark's own file system, wherever the folder lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
@@ -54,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _remove(spark, f"{folder}/{i - 1}")
     return docs

@@ -161,16 +161,16 @@ def cells_around(*axes: str) -> dict[str, Column]:
     return {a: F.explode(F.sequence(F.col(a) - 1, F.col(a) + 1)) for a in axes}
 
 
-def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, axes: Sequence[str], k: int, radius: float) -> DataFrame:
-    """(query, rank, point, distance): up to k nearest points within radius (ties: the smaller point). Cells have the
-    radius as side, so a query meets the points of its own and the neighbouring cells only."""
+def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, axes: Sequence[str], k: int, radius: float, by: Sequence[str] = ()) -> DataFrame:
+    """(query, rank, point, distance): up to k nearest points within radius (ties: the smaller point), of equal `by`
+    columns. Cells have the radius as side, so a query meets the points of its own and the neighbouring cells only."""
     cell = lambda a: F.floor(F.col(a) / radius)
-    q = queries.select(query, *(F.col(a).alias(f"_q{i}") for i, a in enumerate(axes)), *(cell(a).alias(f"_g{i}") for i, a in enumerate(axes)))
+    q = queries.select(query, *by, *(F.col(a).alias(f"_q{i}") for i, a in enumerate(axes)), *(cell(a).alias(f"_g{i}") for i, a in enumerate(axes)))
     for i in range(len(axes)):
         q = q.withColumns(cells_around(f"_g{i}"))
-    p = points.select(point, *(F.col(a).alias(f"_p{i}") for i, a in enumerate(axes)), *(cell(a).alias(f"_g{i}") for i, a in enumerate(axes)))
+    p = points.select(point, *by, *(F.col(a).alias(f"_p{i}") for i, a in enumerate(axes)), *(cell(a).alias(f"_g{i}") for i, a in enumerate(axes)))
     d2 = sum(((F.col(f"_q{i}") - F.col(f"_p{i}")) * (F.col(f"_q{i}") - F.col(f"_p{i}")) for i in range(len(axes))), F.lit(0.0))
-    near = q.join(p, [f"_g{i}" for i in range(len(axes))]).withColumn("_d", F.sqrt(d2)).where(F.col("_d") <= radius)
+    near = q.join(p, [*by, *(f"_g{i}" for i in range(len(axes)))]).withColumn("_d", F.sqrt(d2)).where(F.col("_d") <= radius)
     order = Window.partitionBy(query).orderBy("_d", point)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", point, F.col("_d").alias("distance"))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from lamella.operators import composition, counts, crosswalk, factors, geometry, identifiers, inference, linkage, masks, matched, models, particles, ranks, reshape, selection, volumes
+from lamella.operators import alignment, composition, counts, crosswalk, factors, geometry, identifiers, inference, linkage, masks, matched, models, particles, ranks, reshape, selection, volumes
 from lamella.sources import matrices
 from lamella.streaming import windows
 
-_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, identifiers, crosswalk, matched, geometry, models, selection, matrices, masks, windows)
+_MODULES = (composition, linkage, ranks, counts, particles, inference, reshape, factors, volumes, identifiers, crosswalk, matched, geometry, models, selection, matrices, masks, alignment, windows)
 
 
 def queries() -> dict:

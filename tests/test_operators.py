@@ -378,3 +378,20 @@ def test_models_against_numpy(spark):
     components = models.principal(df.dropna(), "k", ["x0", "x1", "x2", "x3"], 30).orderBy("component").collect()
     assert [c.value for c in components] == pytest.approx(sorted(np.linalg.eigvalsh(np.corrcoef(x.T)), reverse=True), abs=1e-3)
     assert not any(c.kept for c in components)
+
+
+def test_shift_candidates_find_a_known_placement(spark):
+    """A measure that was turned by 90 degrees, flipped and moved is found again."""
+    import random
+
+    from lamella.operators import alignment
+
+    r = random.Random(3)
+    points = [(r.uniform(-8, 8), r.uniform(-5, 5), r.choice("ab"), 1.0) for _ in range(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "x double, y double, feature string, m double")
+    # flipped (x to -x), turned by 90 degrees ((x, y) to (-y, x)), then moved by (3, -2)
+    fixed = frame([(-y + 3, -x - 2, f, m) for x, y, f, m in points])
+    got = alignment.shift_candidates(frame(points), fixed, ["a", "b"], [0, 90, 180, 270], [1.0], [False, True], 0.5, 64, 1.0).orderBy(F.col("score").desc()).first()
+    assert (got.angle, got.flip) == (90.0, True)
+    assert (got.dx, got.dy) == pytest.approx((3, -2), abs=0.51)
+    assert 0.9 < got.score <= 1.0 + 1e-9

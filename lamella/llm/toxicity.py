@@ -39,7 +39,9 @@ EVIDENCE = 12.0
 FEATURES = 20_000
 EPOCHS = 300
 L2 = 1e-4
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
+#: Rows of a batch that are worked on at a time.
+STEP = 1024
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -186,7 +188,7 @@ def train(
 
 def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     weight, bias = model.value
-    for batch in batches:
+    for batch in (whole.slice(a, STEP) for whole in batches for a in range(0, len(whole), STEP)):
         margin = np.full(len(batch), bias)
         for row, numbers, owner in gram_slices(batch.column(batch.num_columns - 1).to_pylist()):
             hit = weight[numbers] != 0

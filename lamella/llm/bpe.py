@@ -26,6 +26,7 @@ import base64
 import hashlib
 import sys
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -47,10 +48,12 @@ CALL_WORDS, CALL_BYTES = 8_000, 200_000
 #: DuckDB's memory in MB, and how many bytes more it may take for each byte of a word beyond CALL_BYTES.
 MEMORY_MB, MEMORY_BYTE = 300, 1_000
 LONG_WORD = 32
+#: Rows of a batch that are worked on at a time.
+ROWS = 1024
 
 #: Positions number the bytes of all words of a call; np and nid are the place and id of the neighbour to the right.
 #: For words of up to LONG_WORD bytes: each step contracts one pair and returns all rows of words that had one.
-STEP = """
+SHORT_STEP = """
 WITH RECURSIVE t(step, w, p, id, np, nid) AS (
   SELECT 0, w, p, id, np, nid FROM state
   UNION ALL
@@ -181,9 +184,8 @@ class Codec:
         self.pattern = None if pattern == KNOWN_PATTERN else regex.compile(pattern)
         self.kinds = character_kinds()
         ab, merged, risk, part = [], [], [], []
-        self.prefixes: set[bytes] = set()
+        self.ordered = sorted(self.rank)
         for i, token in enumerate(self.tokens):
-            self.prefixes.update(token[:k] for k in range(2, len(token) + 1))
             for k in range(1, len(token)):
                 left, right = self.rank.get(token[:k]), self.rank.get(token[k:])
                 if left is not None and right is not None:
@@ -219,11 +221,14 @@ class Codec:
         for p in range(len(word)):
             if p >= reach and p:
                 out.append(p)
-            k = 2
-            while (part := word[p : p + k]) in self.prefixes and len(part) == k:
-                if part in self.rank:
+            # tokens that begin here, by ever longer prefixes in the ordered list
+            for k in range(2, len(word) - p + 1):
+                part = word[p : p + k]
+                at = bisect_left(self.ordered, part)
+                if at == len(self.ordered) or not self.ordered[at].startswith(part):
+                    break
+                if self.ordered[at] == part:
                     reach = max(reach, p + k)
-                k += 1
         return [*out, len(word)]
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,7 +240,7 @@ class Codec:
             owner += [i] * (len(cuts) - 1)
         done: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int32))]
         short = np.array([len(x) <= LONG_WORD for x in pieces], bool)
-        for query, chosen in ((STEP, np.flatnonzero(short).tolist()), (LONG_STEP, np.flatnonzero(~short).tolist())):
+        for query, chosen in ((SHORT_STEP, np.flatnonzero(short).tolist()), (LONG_STEP, np.flatnonzero(~short).tolist())):
             at = 0
             while at < len(chosen):
                 end, size = at, 0
@@ -372,7 +377,7 @@ def vocabulary(name: str = VOCABULARY) -> tuple[str, str]:
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, pattern)
-    for batch in batches:
+    for batch in (whole.slice(a, ROWS) for whole in batches for a in range(0, len(whole), ROWS)):
         rows = [(len(a) // 4, hashlib.sha256(a).hexdigest(), hashlib.sha256(b).hexdigest()) for a, b in own.encode(batch.column(1).to_pylist())]
         n, ids, text = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -15,6 +15,7 @@ from lamella.plans.prefix import shared_folder
 
 #: The white space of all contracts here: space and the controls from tab to carriage return.
 SPACE_CLASS = r"\x20\x09-\x0D"
+SPACES = " \t\n\v\f\r"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,8 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ascii_lower(column: Column) -> Column:
-    """A-Z lower-cased, all else as it is (lower() would also fold other alphabets)."""
-    return F.translate(column, UPPER, LOWER)
+    """A-Z lower-cased, all else as it is: lower() would also fold other alphabets, so it takes text of one byte a
+    character only."""
+    return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
 def fresh(df: DataFrame, name: str) -> str:

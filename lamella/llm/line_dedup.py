@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamella.llm.common import SPACE_CLASS, ascii_lower, cut, fresh, table
+from lamella.llm.common import SPACES, ascii_lower, cut, fresh, table
 
 MIN_DOCUMENTS = 10
 MIN_CHARS = 1
@@ -27,7 +27,7 @@ BROADCAST_ROWS = 250_000
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, rf"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", ""))
+    return ascii_lower(F.trim(line, F.lit(SPACES)))
 
 
 def line_hash(key: Column) -> Column:

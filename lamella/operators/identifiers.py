@@ -88,15 +88,16 @@ def gigabytes(size: Column) -> Column:
     return F.bround(size / F.lit(float(BYTES_PER_GB)), 3)
 
 
-def object_manifest(objects: DataFrame, key: str, size: str) -> DataFrame:
-    """objects with folder, file, size in MB, assay, region, donor, date, nuclei set and family."""
+def object_manifest(objects: DataFrame, key: str, size: str, release: str = "[A-Z]+") -> DataFrame:
+    """objects with folder, file, size in MB, assay, region, donor, date, nuclei set and family; a region stands between
+    the release's name (a pattern) and the assay."""
     k = F.col(key)
     file = F.regexp_extract(k, "([^/]*)$", 1)
     found = lambda text, pattern, group=0: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
     family = F.coalesce(first_match(k, FAMILIES, None), first_match(file, FILE_FAMILIES, "other"))
     return objects.select(
         key, found(k, "^([^/]+)/", 1).alias("folder"), file.alias("file"), F.round(F.col(size) / 1e6, 6).alias("size_mb"), first_match(k, ASSAYS, "multiregion/model output").alias("assay"),
-        found(file, "SEAAD_([A-Za-z0-9]+)_(?:RNAseq|ATACseq)", 1).alias("region"), found(file, f"^{DONOR}").alias("donor"), found(file, r"\d{4}-\d{2}-\d{2}").alias("release_date"),
+        found(file, f"{release}_([A-Za-z0-9]+)_(?:RNAseq|ATACseq)", 1).alias("region"), found(file, f"^{DONOR}").alias("donor"), found(file, r"\d{4}-\d{2}-\d{2}").alias("release_date"),
         first_match(file, (("all-nuclei", "all-nuclei"), ("final-nuclei", "final-nuclei")), None).alias("nuclei_set"), family.alias("family"),
     )
 
@@ -212,7 +213,7 @@ _KEYS = {
 }
 _OBJECTS = {
     "key": "CASE o_orderkey % 6 WHEN 0 THEN 'r/RNAseq/' WHEN 1 THEN 'r/ATACseq/donors_objects/' WHEN 2 THEN 'pseudobulk_objects/' WHEN 3 THEN 'x/final_embeddings/' WHEN 4 THEN 'a/' ELSE '' END"
-    " || CASE o_custkey % 5 WHEN 0 THEN 'H' || lpad(CAST(o_custkey % 100 AS STRING), 2, '0') || '.33.004_SEAAD_MTG_RNAseq_all-nuclei.2024-02-1' || CAST(o_custkey % 9 AS STRING) || '.h5ad' WHEN 1 THEN 'SEAAD_DLPFC_ATACseq_final-nuclei_metadata.csv' WHEN 2 THEN 'cell-annotation.rds' WHEN 3 THEN 'Manifest_detected_transcripts.csv' ELSE 'DAPI_Max.TIFF' END",
+    " || CASE o_custkey % 5 WHEN 0 THEN 'H' || lpad(CAST(o_custkey % 100 AS STRING), 2, '0') || '.33.004_STUDY_MTG_RNAseq_all-nuclei.2024-02-1' || CAST(o_custkey % 9 AS STRING) || '.h5ad' WHEN 1 THEN 'STUDY_DLPFC_ATACseq_final-nuclei_metadata.csv' WHEN 2 THEN 'cell-annotation.rds' WHEN 3 THEN 'Manifest_detected_transcripts.csv' ELSE 'DAPI_Max.TIFF' END",
     "size": "o_orderkey * 1048576",
 }
 _NAMES = {
@@ -279,7 +280,7 @@ SQL = {
       c AS (SELECT *, string_split(CASE WHEN starts_with(section, donor || '-') THEN section[len(donor) + 2:] ELSE section END, '-') AS c FROM s)
       SELECT id, CAST(len(t) AS INT) AS n_tokens, donor, section, CASE WHEN len(c) >= 2 THEN c[-1] END AS stain, CASE WHEN len(c) >= 2 THEN array_to_string(c[:-2], '-') END AS block FROM c""",
     "object_manifest": f"""SELECT key, nullif(regexp_extract(key, '^([^/]+)/', 1), '') AS folder, {_FILE} AS file, round(size / 1e6, 6) AS size_mb, {_case("key", ASSAYS, "multiregion/model output")} AS assay,
-      nullif(regexp_extract({_FILE}, 'SEAAD_([A-Za-z0-9]+)_(?:RNAseq|ATACseq)', 1), '') AS region, nullif(regexp_extract({_FILE}, '^H\\d{{2}}\\.\\d{{2}}\\.\\d{{3}}'), '') AS donor, nullif(regexp_extract({_FILE}, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), '') AS release_date,
+      nullif(regexp_extract({_FILE}, '[A-Z]+_([A-Za-z0-9]+)_(?:RNAseq|ATACseq)', 1), '') AS region, nullif(regexp_extract({_FILE}, '^H\\d{{2}}\\.\\d{{2}}\\.\\d{{3}}'), '') AS donor, nullif(regexp_extract({_FILE}, '\\d{{4}}-\\d{{2}}-\\d{{2}}'), '') AS release_date,
       CASE WHEN contains({_FILE}, 'all-nuclei') THEN 'all-nuclei' WHEN contains({_FILE}, 'final-nuclei') THEN 'final-nuclei' END AS nuclei_set, coalesce({_case("key", FAMILIES, None)}, {_case(_FILE, FILE_FAMILIES, "other")}) AS family FROM {made_sql("orders", _OBJECTS)}""",
     "section_file_roles": f"""SELECT key, {_case(f"lower({_FILE})", _CELLPOSE(SECTION_ROLES), "other")} AS section_role, {_case(f"lower({_FILE})", _CELLPOSE(SPATIAL_ROLES), "other")} AS spatial_role, round_even(size / 1073741824, 3) AS gb FROM {made_sql("orders", _OBJECTS)}""",
     "metric_family": f"""WITH b AS (SELECT *, regexp_replace(name, '{REGION_SUFFIX}', '') AS base FROM {made_sql("part", _NAMES)}) SELECT id, {_case("base", _METRICS, UNKNOWN_METRIC)} AS metric, {_case("base", _METRICS, None, 2)} AS unit, nullif(regexp_extract(name, '{REGION_SUFFIX}', 1), '') AS region FROM b""",

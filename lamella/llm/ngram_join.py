@@ -344,21 +344,21 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int = W
     blocks = _sieved(cut(pairs.distinct()), classes, percent)
 
     parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
-    sized = cut(blocks.groupBy("hub").agg(F.count("*").alias("size")).select("hub", "size", parts.alias("parts")))
+    # blocks of several tiles; all others have one
+    large = cut(blocks.groupBy("hub").agg(F.count("*").alias("size")).select("hub", parts.alias("parts")).where("parts > 1"))
     wanted = classes.join(blocks.select("set_id").distinct().hint("merge"), "set_id", "left_semi")
     reps = cut(wanted.select(F.col("rep").alias("rid"), "text_key", "set_id"))
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps.hint("merge")
     sets = cut(docs.join(reps, ["rid", "text_key"]).select("rid", "text", "set_id").mapInArrow(released(partial(_whole_sets, width=width)), "set_id long, hashes binary"))
 
     share = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
-    dealt = blocks.join(sized.hint("merge"), "hub")
+    dealt = blocks.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large.hint("merge"), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     unit = lambda *of: F.concat_ws(":", *of)
     first = dealt.where("set_id <> hub").select("set_id", unit("hub", share).alias("unit"))
     hub_rows = dealt.where("set_id = hub").select("hub", "set_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     first = first.union(hub_rows.select("set_id", unit("hub", "part").alias("unit")))
     found = cut(_multiply(first, sets, percent, grouped=False))
 
-    large = sized.where("parts > 1")
     if not large.isEmpty():
         found = cut(found.union(_rest(large, blocks, classes, found, sets, percent, tile)))
     roots = connected_components(found)
@@ -377,17 +377,17 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     so wide that sets two bands apart can't link, and each band into tiles; a tile meets the tiles of its band and of
     the next one."""
     members = pairs.union(pairs.select("hub", F.col("hub").alias("set_id")).distinct())
-    members = members.join(members.groupBy("hub").agg(F.count("*").alias("size")).hint("merge"), "hub")
-    members = members.join(classes.select("set_id", "n", "bits").hint("merge"), "set_id")
+    hubs = members.groupBy("hub").agg(F.count("*").alias("size")).where(F.col("size") > SIEVE_TILE)
+    members = members.join(_counted(hubs), "hub", "left").join(classes.select("set_id", "n", "bits").hint("merge"), "set_id")
     columns = ["unit", "hub", "set_id", "n", "side", "bits"]
-    small = members.where(F.col("size") <= SIEVE_TILE).withColumn("unit", F.col("hub").cast("string")).withColumn("side", F.lit(0)).select(*columns)
+    small = members.where("size IS NULL").withColumn("unit", F.col("hub").cast("string")).withColumn("side", F.lit(0)).select(*columns)
 
-    large = members.where(F.col("size") > SIEVE_TILE).withColumn("band", _band(percent))
+    large = members.where("size IS NOT NULL").withColumn("band", _band(percent))
     counts = large.groupBy("hub", "band").agg(F.ceil(F.count("*") / F.lit(SIEVE_TILE)).cast("int").alias("parts"))
     after = counts.select("hub", (F.col("band") - 1).alias("band"), F.col("parts").alias("after"))
     before = counts.select("hub", (F.col("band") + 1).alias("band"), F.col("parts").alias("before"))
     bands = counts.join(after, ["hub", "band"], "left").join(before, ["hub", "band"], "left")
-    dealt = large.join(bands.hint("merge"), ["hub", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int"))
+    dealt = large.join(_counted(bands), ["hub", "band"]).withColumn("part", F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int"))
     # the tiles that a member's tile meets: (band, part) and which of the two comes first
     meets = lambda n, step, first: F.transform(F.sequence(F.lit(1), n), lambda q: F.struct((F.col("band") + step).alias("band"), (q - 1).alias("part"), F.lit(first).alias("first")))
     none = F.array().cast("array<struct<band:int,part:int,first:boolean>>")
@@ -404,6 +404,12 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return cut(stay.select(F.col("u").alias("hub"), F.col("v").alias("set_id")).distinct())
 
 
+def _counted(few: DataFrame) -> DataFrame:
+    """A table of large blocks, counted before it is broadcast: members then needn't meet by their hub in one task."""
+    few = cut(few)
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge")
+
+
 def _band(percent: int) -> Column:
     """Steps of a set's size n: sets two steps apart can't be similar enough."""
     return F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
@@ -413,7 +419,7 @@ def _rest(large: DataFrame, blocks: DataFrame, classes: DataFrame, found: DataFr
     """Links between different components of blocks that were dealt out in several tiles."""
     roots = connected_components(found).select(F.col("node").alias("set_id"), "root")
     hubs = large.select("hub")
-    members = blocks.join(hubs.hint("merge"), "hub", "left_semi")
+    members = blocks.join(_counted(hubs), "hub", "left_semi")
     members = members.join(roots.hint("merge"), "set_id", "left").join(classes.select("set_id", "n").hint("merge"), "set_id")
     members = cut(members.select("hub", "set_id", F.coalesce("root", "set_id").alias("grp"), _band(percent).alias("step")))
     per = members.groupBy("hub", "grp").agg(F.count("*").alias("k"))

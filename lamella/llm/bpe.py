@@ -35,7 +35,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lamella.llm.common import fresh, released, table
 from lamella.llm.textkernels import span_hashes

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Binary codes: vectors are turned by learned rotations (iterative quantisation: each rotation is fitted so that the
-signs of the turned sample lie close to it); every rotation gives one bit per dimension. A code splits into
+signs of the turned sample lie close to it); every rotation gives one bit per dimension, of the leading principal ones
+where there are more than ``DIMENSIONS``. A code splits into
 substrings of ``SUBSTRING`` bits, and each substring has an index of its own: rows are shuffled by (substring, value).
 
 A query probes every index at all values up to one bit away from its own substring, so that by the pigeonhole
@@ -43,6 +44,7 @@ SAMPLE = 4096
 SAMPLE_QUERIES = 96
 SAMPLE_RECALL = 0.96
 ROTATIONS = 4
+DIMENSIONS = 64
 STEPS = 20
 SUBSTRING = 16
 VALUES = 1 << SUBSTRING
@@ -84,9 +86,13 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def learn(sample: np.ndarray, rotations: int = ROTATIONS, steps: int = STEPS, seed: int = 7) -> np.ndarray:
-    """(dimensions, bits): the learned rotations side by side."""
+    """(dimensions, bits): the learned rotations side by side. Of vectors with more than DIMENSIONS components the
+    sample's leading principal ones are turned, so that a code's length doesn't grow with them."""
     rng = np.random.default_rng(seed)
-    own = unit(sample)
+    own, basis = unit(sample), None
+    if own.shape[1] > DIMENSIONS:
+        basis = np.linalg.eigh(own.T @ own)[1][:, ::-1][:, :DIMENSIONS]
+        own = own @ basis
     out = []
     for _ in range(rotations):
         turn, _ = np.linalg.qr(rng.standard_normal((own.shape[1], own.shape[1])))
@@ -94,7 +100,7 @@ def learn(sample: np.ndarray, rotations: int = ROTATIONS, steps: int = STEPS, se
             signs = np.where(own @ turn >= 0, 1.0, -1.0)
             u, _, w = np.linalg.svd(own.T @ signs)
             turn = u @ w
-        out.append(turn)
+        out.append(turn if basis is None else basis @ turn)
     return np.concatenate(out, axis=1)
 
 

@@ -62,6 +62,15 @@ def test_crowd_of_near_copies_and_extreme_lengths(spark):
     assert recall(got, {i: np.array(v) / np.abs(v).max() for i, v in rows}) >= 0.9
 
 
+def test_long_vectors(spark):
+    """Far more dimensions than rows of a sample; codes stay as long as others."""
+    r = np.random.default_rng(5)
+    centres = r.standard_normal((12, 512))
+    rows = [(i, (centres[i % 12] + 0.3 * r.standard_normal(512)).tolist()) for i in range(150)]
+    got = mih.search(frame(spark, rows)).collect()
+    assert recall(got, {i: np.array(v) for i, v in rows}) >= 0.9
+
+
 def test_few_rows_give_all_candidates(spark):
     rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.0]), (2, [0.0, 1.0]), (50, [0.0, -1.0])]
     got = mih.search(frame(spark, rows)).collect()

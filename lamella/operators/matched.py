@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.operators.counts import _M, _counts, log_cpm
 from lamella.operators.inference import draw, draw_sql
-from lamella.plans import made, made_sql, table
+from lamella.plans import made, table
 
 #: Quantile bins of abundance and of detection, and the number of draws.
 ABUNDANCE_BINS, DETECTION_BINS, DRAWS = 10, 5, 100

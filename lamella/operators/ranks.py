@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lamella.functions.text import right_closed_bin, support_band
 from lamella.plans import table
-from lamella.plans.prefix import average_ranks, running
+from lamella.plans.prefix import average_ranks, kept, running
 
 
 def average_rank(value: str, groups: list[str]) -> Column:
@@ -20,8 +20,8 @@ def spearman(rows: DataFrame, groups: list[str], x: str, y: str, least: int = 0)
     """Pearson's correlation of average ranks, and how many rows it rests on; null below least rows."""
     known = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y)
     # pairs of values are counted first, so that equal ones rank once
-    pairs = known.groupBy(*groups, x, y).agg(F.count("*").alias("w"))
-    ranked = weighted_ranks(weighted_ranks(pairs, groups, x, "w", "rx"), groups, y, "w", "ry")
+    pairs = kept(known.groupBy(*groups, x, y).agg(F.count("*").alias("w")))
+    ranked = pairs.join(value_ranks(pairs, groups, x, "w", "rx"), [*groups, x]).join(value_ranks(pairs, groups, y, "w", "ry"), [*groups, y])
     w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     s = ranked.groupBy(*groups).agg(F.sum(w).alias("n"), F.sum(w * rx).alias("sx"), F.sum(w * ry).alias("sy"), F.sum(w * rx * rx).alias("xx"), F.sum(w * ry * ry).alias("yy"), F.sum(w * rx * ry).alias("xy"))
     n = F.col("n")
@@ -29,11 +29,10 @@ def spearman(rows: DataFrame, groups: list[str], x: str, y: str, least: int = 0)
     return s.select(*groups, "n", F.when((spread > 0) & (n >= least), F.round((F.col("xy") - F.col("sx") * F.col("sy") / n) / F.sqrt(spread), 6)).alias("rho"))
 
 
-def weighted_ranks(counted: DataFrame, groups: list[str], value: str, count: str, name: str) -> DataFrame:
-    """counted (a row for each combination, count rows each) with the average rank of value inside the group."""
+def value_ranks(counted: DataFrame, groups: list[str], value: str, count: str, name: str) -> DataFrame:
+    """(groups, value, name): the average rank of each value inside its group, from rows that stand for count rows each."""
     values = counted.groupBy(*groups, value).agg(F.sum(count).alias("_k"))
-    placed = running(values, groups, [value], {"_before": "_k"}).select(*groups, value, (F.col("_before") + (F.col("_k") + 1) / F.lit(2.0)).alias(name))
-    return counted.join(placed, [*groups, value])
+    return running(values, groups, [value], {"_before": "_k"}).select(*groups, value, (F.col("_before") + (F.col("_k") + 1) / F.lit(2.0)).alias(name))
 
 
 def within_between(rows: DataFrame, group: str, value: str) -> DataFrame:

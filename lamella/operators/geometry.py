@@ -163,16 +163,24 @@ def cells_around(*axes: str) -> dict[str, Column]:
 
 def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, axes: Sequence[str], k: int, radius: float, by: Sequence[str] = ()) -> DataFrame:
     """(query, rank, point, distance): up to k nearest points within radius (ties: the smaller point), of equal `by`
-    columns. Cells have the radius as side, so a query meets the points of its own and the neighbouring cells only."""
+    columns. Cells have the radius as side, so a query meets the points of its own and the neighbouring cells only.
+
+    Equal places are one: queries of a place have the same neighbours, and of the points of a place only the k smallest
+    can be among the k nearest. So places meet places, and ranks are cut before any query is listed."""
     cell = lambda a: F.floor(F.col(a) / radius)
-    q = queries.select(query, *by, *(F.col(a).alias(f"_q{i}") for i, a in enumerate(axes)), *(cell(a).alias(f"_g{i}") for i, a in enumerate(axes)))
+    qa, pa = [f"_q{i}" for i in range(len(axes))], [f"_p{i}" for i in range(len(axes))]
+    place = lambda rows, own, names: rows.select(own, *by, *(F.col(a).alias(n) for a, n in zip(axes, names, strict=True)))
+    asked = place(queries, query, qa)
+    q = asked.select(*by, *qa).distinct().withColumns({f"_g{i}": cell(a) for i, a in enumerate(qa)})
     for i in range(len(axes)):
         q = q.withColumns(cells_around(f"_g{i}"))
-    p = points.select(point, *by, *(F.col(a).alias(f"_p{i}") for i, a in enumerate(axes)), *(cell(a).alias(f"_g{i}") for i, a in enumerate(axes)))
-    d2 = sum(((F.col(f"_q{i}") - F.col(f"_p{i}")) * (F.col(f"_q{i}") - F.col(f"_p{i}")) for i in range(len(axes))), F.lit(0.0))
+    own = Window.partitionBy(*by, *pa).orderBy(point)
+    p = place(points, point, pa).withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= k).drop("_k").withColumns({f"_g{i}": cell(a) for i, a in enumerate(pa)})
+    d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(qa, pa, strict=True)), F.lit(0.0))
     near = q.join(p, [*by, *(f"_g{i}" for i in range(len(axes)))]).withColumn("_d", F.sqrt(d2)).where(F.col("_d") <= radius)
-    order = Window.partitionBy(query).orderBy("_d", point)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "rank", point, F.col("_d").alias("distance"))
+    order = Window.partitionBy(*by, *qa).orderBy("_d", point)
+    found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, *qa, "rank", point, "_d")
+    return asked.join(found, [*by, *qa]).select(query, "rank", point, F.col("_d").alias("distance"))
 
 
 def reconstructed(grid: DataFrame, points: DataFrame, node: str, point: str, axes: Sequence[str], mass: str, moment: str, sigma: float = 0.25, k: int = 8, radius: float | None = None, least: float = 1e-8) -> DataFrame:

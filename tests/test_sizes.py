@@ -41,3 +41,10 @@ def test_labels_of_crowded_places(spark):
         best[x] = max(mass, key=lambda label: (round(mass[label], 12), -label))
     assert {r["id"]: r["label"] for r in rows} == {i: best[i % 3] for i in range(600)}
     assert most <= 20_000  # 600 nodes by 3,600 near points would be 2,160,000
+
+
+def test_neighbours_of_crowded_places(spark):
+    grid, points, near = crowd(spark)
+    rows, most = most_rows(geometry.neighbours(grid, points, "id", "p", ["x", "y"], 4, 1.5))
+    assert sorted((r["id"], r["rank"], r["p"], round(r["distance"], 9)) for r in rows) == [(i, k + 1, p, round(d, 9)) for i in range(600) for k, (d, p) in enumerate(near[i % 3][:4])]
+    assert most <= 20_000

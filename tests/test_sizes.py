@@ -48,3 +48,13 @@ def test_neighbours_of_crowded_places(spark):
     rows, most = most_rows(geometry.neighbours(grid, points, "id", "p", ["x", "y"], 4, 1.5))
     assert sorted((r["id"], r["rank"], r["p"], round(r["distance"], 9)) for r in rows) == [(i, k + 1, p, round(d, 9)) for i in range(600) for k, (d, p) in enumerate(near[i % 3][:4])]
     assert most <= 20_000
+
+
+def test_values_of_crowded_places(spark):
+    grid, points, near = crowd(spark)
+    rows, most = most_rows(geometry.reconstructed(grid, points, "id", "p", ["x", "y"], "m", "q", 0.4, 8, 1.5))
+    for r in rows:
+        own = [(math.exp(-0.5 * (d / 0.4) ** 2) * (1 + p % 3), p % 7) for d, p in near[r["id"] % 3][:8]]
+        weight = sum(w for w, _ in own)
+        assert abs(r["weight"] - weight) < 1e-9 and abs(r["value"] - sum(w * v for w, v in own) / weight) < 1e-9
+    assert len(rows) == 600 and most <= 20_000

@@ -11,9 +11,10 @@ margins of the bits that they change, least certain bits first. The number of pr
 (``SAMPLE`` vectors by a hash of their ids): it retrieves ``SAMPLE_RECALL`` of the sample's true neighbours, which lie
 farther apart than those of all rows. Queries that find fewer than k rows take eight times the probes, up to all values.
 
-Index entries carry their vector in bytes, with the error that this makes; of what a probe retrieves, a task drops the
-rows that by these bounds can't be among the k best of its own rows, and hands on the others (query, row) for the
-exact measure in double precision. So what leaves a task is in proportion to the queries, not to the rows retrieved.
+Index entries carry their vector in two bytes a component, with the error that this makes; of what a probe retrieves, a
+task drops the rows that by these bounds can't be among the k best of its own rows, and hands on the others (query, row)
+for the exact measure in double precision. The bounds are some 1e-5 apart, so that near copies are told apart too: what
+leaves a task is in proportion to the queries, not to the rows retrieved.
 
 Tasks hold ranges of a substring's values of about ``BLOCK`` entries each; ranges with more, such as one value that a
 third of all rows has, are split by a hash of the row. Equal vectors are one entry that keeps its ``k + 1`` smallest
@@ -185,10 +186,11 @@ def _index(batches: Iterator[pa.RecordBatch], model: Broadcast, shift: int) -> I
         for part in (batch.slice(a, STEP) for a in range(0, len(batch), STEP)):
             vectors = to_matrix(part.column(1))
             code = values_of(margins(vectors, model.value))
-            u = unit(vectors).astype(np.float32)
-            scale = np.abs(u).max(axis=1) / 127
-            small = np.rint(u / scale[:, None]).astype(np.int8)
-            error = np.sqrt(((u - small * scale[:, None]) ** 2).sum(axis=1)) + 1e-5
+            u = unit(vectors)
+            scale = (np.abs(u).max(axis=1) / 32767).astype(np.float32)
+            small = np.rint(u / scale[:, None]).astype(np.int16)
+            # a query's float32 components are off by 6e-8 of its length at most
+            error = np.sqrt(((u - small * scale[:, None].astype(np.float64)) ** 2).sum(axis=1)) + 1e-6
             m = code.shape[1]
             over = lambda x: np.repeat(x, m)
             flat = code.ravel()
@@ -224,8 +226,8 @@ def _look_up(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         return empty
     rows = rows.sort_values(["value", "rid"], kind="stable")
     value, rid = rows["value"].to_numpy(), rows["rid"].to_numpy()
-    small = np.frombuffer(b"".join(rows["small"]), np.int8).reshape(len(rows), -1)
-    scale, error = rows["scale"].to_numpy(), rows["error"].to_numpy()
+    small = np.frombuffer(b"".join(rows["small"]), np.int16).reshape(len(rows), -1)
+    scale, error = rows["scale"].to_numpy().astype(np.float64), rows["error"].to_numpy().astype(np.float64)
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     for qid, u, probes in zip(queries["qid"], queries["u"], queries["probes"], strict=True):
         asked = np.frombuffer(probes, np.uint16).astype(np.int32)
@@ -234,8 +236,8 @@ def _look_up(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         if not len(a):
             continue
         hit = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
-        own = np.frombuffer(u, np.float32)
-        about, off = (small[hit].astype(np.float32) @ own) * scale[hit], error[hit]
+        own = np.frombuffer(u, np.float32).astype(np.float64)
+        about, off = (small[hit].astype(np.float64) @ own) * scale[hit], error[hit]
         keep = hit
         if len(hit) > k + 1:
             low = about - off

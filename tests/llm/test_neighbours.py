@@ -3,6 +3,8 @@
 import math
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 from lamella.llm import mih
@@ -91,3 +93,20 @@ def test_probes_hold_all_codes_of_the_radius():
             flips.ravel()[r.choice(64, r.integers(0, 8), replace=False)] = True
             other = code ^ (flips << np.arange(16)).sum(axis=1)
             assert all(any(int(other[i, j]) in found[j][i] for j in range(4)) for i in range(20))
+
+
+def test_near_copies_do_not_all_leave_a_task():
+    """A query amid 900 near copies hands on about as many rows as one amid scattered rows, the best ones among them."""
+    r = np.random.default_rng(4)
+    base = r.standard_normal(64)
+    rows = np.concatenate([base + 0.1 * r.standard_normal((900, 64)), r.standard_normal((900, 64))])
+    model = type("Model", (), {"value": mih.learn(rows, rotations=1)})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows.tolist(), pa.list_(pa.float64()))], ["rid", "v"])
+    index = pa.Table.from_batches(mih._index([batch], model, 16)).to_pandas()
+    asked = base + 0.1 * r.standard_normal((3, 64))
+    own = pd.DataFrame({"qid": range(3), "u": [x.tobytes() for x in mih.unit(asked).astype(np.float32)], "probes": [np.arange(mih.VALUES, dtype=np.uint16).tobytes()] * 3})
+    found = mih._look_up(index[index["j"] == 0], own, 5)
+    assert len(found) <= 3 * 12
+    for q in range(3):
+        best = np.argsort(-(mih.unit(rows) @ mih.unit(asked)[q]))[:6]
+        assert set(best) <= set(found["rid"][found["qid"] == q])

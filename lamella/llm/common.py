@@ -37,6 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """cut, after which the driver lets go of what finished stages left there: their plans, broadcasts, and the lists of
+    their shuffles, which Spark drops (with the files) only once the driver's collector has seen that nothing needs them."""
+    out = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    release()
+    return out
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z lower-cased, all else as it is: lower() would also fold other alphabets, so it takes text of one byte a
     character only."""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lamella.llm.common import WORD_PATTERN, cut, release, released, shuffle_partitions, table
+from lamella.llm.common import WORD_PATTERN, release, released, settled, shuffle_partitions, table
 from lamella.llm.textkernels import shingle_sets, text_slices
 
 PERCENT = 80
@@ -283,22 +283,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Least neighbours are aggregated before any shuffle, and the joins are sort-merge joins that Spark can split, so
     a node with a great many links is no single task's work.
     """
-    current = cut(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    current = settled(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     labels: DataFrame | None = None
     while not current.isEmpty():
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         parent = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("up"))
-        parent = cut(parent)
+        parent = settled(parent)
         above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parent = cut(parent.join(above, "up").select("node", F.col("top").alias("up")))
+        parent = settled(parent.join(above, "up").select("node", F.col("top").alias("up")))
         if labels is None:
             labels = parent.select("node", F.col("up").alias("root"))
         else:
             moved = parent.select(F.col("node").alias("root"), "up")
-            labels = cut(labels.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+            labels = settled(labels.join(moved, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         left = current.join(parent.select(F.col("node").alias("u"), F.col("up").alias("a")), "u")
         moved = left.join(parent.select(F.col("node").alias("v"), F.col("up").alias("b")), "v").where("a <> b")
-        current = cut(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        current = settled(moved.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     if labels is None:
         return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return labels
@@ -323,7 +323,7 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int = W
     text = documents[text_col].cast("string")
     # ids may be null or repeated: a class is found again by the id and the text of one of its rows
     docs = documents.select(F.coalesce(documents[id_col].cast("long"), F.lit(NO_ID)).alias("rid"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    seen = cut(docs.mapInArrow(released(partial(_profile, width=width)), "rid long, text_key long, n long, set_id long, bits binary, piece int, counts binary"))
+    seen = settled(docs.mapInArrow(released(partial(_profile, width=width)), "rid long, text_key long, n long, set_id long, bits binary, piece int, counts binary"))
     base = seen.where("piece IS NULL").select("rid", "text_key", "n", "set_id")
     summed = seen.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_add_counts, "piece int, counts binary")
     # 64 rows of 64 thousand counters, however large the corpus
@@ -332,7 +332,7 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int = W
     hot_level = max(1, int(np.ceil(np.log2(max(2.0, hot_list / floor)))))
     levels = spark.sparkContext.broadcast(level)
 
-    classes = cut(seen.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct("rid", "text_key")).alias("row"), F.first("bits").alias("bits")).select("set_id", "n", F.col("row.rid").alias("rep"), F.col("row.text_key").alias("text_key"), "bits"))
+    classes = settled(seen.where("n > 0").groupBy("set_id", "n").agg(F.min(F.struct("rid", "text_key")).alias("row"), F.first("bits").alias("bits")).select("set_id", "n", F.col("row.rid").alias("rep"), F.col("row.text_key").alias("text_key"), "bits"))
     own = docs.select("text").mapInArrow(released(partial(_prefixes, width=width, percent=percent, levels=levels, hot_level=hot_level)), "set_id long, tokens array<long>, hot array<long>")
     listed = own.select("set_id", F.explode("tokens").alias("token"))
     order = Window.partitionBy("token").orderBy("set_id")
@@ -341,15 +341,15 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int = W
         far = own.select("set_id", F.explode("hot").alias("token"))
         hubs = far.groupBy("token").agg(F.min("set_id").alias("hub"))
         pairs = pairs.union(far.join(hubs.hint("merge"), "token").where("hub <> set_id").select("hub", "set_id"))
-    blocks = _sieved(cut(pairs.distinct()), classes, percent)
+    blocks = _sieved(settled(pairs.distinct()), classes, percent)
 
     parts = F.ceil(F.col("size") / F.lit(tile)).cast("int")
     # blocks of several tiles; all others have one
-    large = cut(blocks.groupBy("hub").agg(F.count("*").alias("size")).select("hub", parts.alias("parts")).where("parts > 1"))
+    large = settled(blocks.groupBy("hub").agg(F.count("*").alias("size")).select("hub", parts.alias("parts")).where("parts > 1"))
     wanted = classes.join(blocks.select("set_id").distinct().hint("merge"), "set_id", "left_semi")
-    reps = cut(wanted.select(F.col("rep").alias("rid"), "text_key", "set_id"))
+    reps = settled(wanted.select(F.col("rep").alias("rid"), "text_key", "set_id"))
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps.hint("merge")
-    sets = cut(docs.join(reps, ["rid", "text_key"]).select("rid", "text", "set_id").mapInArrow(released(partial(_whole_sets, width=width)), "set_id long, hashes binary"))
+    sets = settled(docs.join(reps, ["rid", "text_key"]).select("rid", "text", "set_id").mapInArrow(released(partial(_whole_sets, width=width)), "set_id long, hashes binary"))
 
     share = F.pmod(F.xxhash64("set_id", "hub"), F.col("parts")).cast("int")
     dealt = blocks.join(F.broadcast(large) if large.count() <= BROADCAST_ROWS else large.hint("merge"), "hub", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -357,10 +357,10 @@ def _components(documents: DataFrame, id_col: str, text_col: str, width: int = W
     first = dealt.where("set_id <> hub").select("set_id", unit("hub", share).alias("unit"))
     hub_rows = dealt.where("set_id = hub").select("hub", "set_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     first = first.union(hub_rows.select("set_id", unit("hub", "part").alias("unit")))
-    found = cut(_multiply(first, sets, percent, grouped=False))
+    found = settled(_multiply(first, sets, percent, grouped=False))
 
     if not large.isEmpty():
-        found = cut(found.union(_rest(large, blocks, classes, found, sets, percent, tile)))
+        found = settled(found.union(_rest(large, blocks, classes, found, sets, percent, tile)))
     roots = connected_components(found)
     classed = classes.join(roots.select(F.col("node").alias("set_id"), "root").hint("merge"), "set_id", "left")
     classed = classed.select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
@@ -401,12 +401,12 @@ def _sieved(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     tiles = dealt.withColumn("unit", unit).withColumn("side", F.when(first, 0).otherwise(1)).select(*columns)
     count = max(shuffle_partitions(pairs.sparkSession), 12)
     stay = small.union(tiles).repartition(count, "unit").sortWithinPartitions("unit").mapInArrow(released(partial(_sieve, percent=percent)), "u long, v long")
-    return cut(stay.select(F.col("u").alias("hub"), F.col("v").alias("set_id")).distinct())
+    return settled(stay.select(F.col("u").alias("hub"), F.col("v").alias("set_id")).distinct())
 
 
 def _counted(few: DataFrame) -> DataFrame:
     """A table of large blocks, counted before it is broadcast: members then needn't meet by their hub in one task."""
-    few = cut(few)
+    few = settled(few)
     return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge")
 
 
@@ -421,18 +421,18 @@ def _rest(large: DataFrame, blocks: DataFrame, classes: DataFrame, found: DataFr
     hubs = large.select("hub")
     members = blocks.join(_counted(hubs), "hub", "left_semi")
     members = members.join(roots.hint("merge"), "set_id", "left").join(classes.select("set_id", "n").hint("merge"), "set_id")
-    members = cut(members.select("hub", "set_id", F.coalesce("root", "set_id").alias("grp"), _band(percent).alias("step")))
+    members = settled(members.select("hub", "set_id", F.coalesce("root", "set_id").alias("grp"), _band(percent).alias("step")))
     per = members.groupBy("hub", "grp").agg(F.count("*").alias("k"))
     main = per.groupBy("hub").agg(F.max(F.struct("k", "grp")).alias("m"), F.count("*").alias("comps")).where("comps > 1").select("hub", F.col("m.grp").alias("main"))
     open_ = members.join(main.hint("merge"), "hub")
     tiles = open_.groupBy("hub", "step").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(tile // 2))).cast("int").alias("parts"))
-    open_ = cut(open_.join(tiles.hint("merge"), ["hub", "step"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")))
+    open_ = settled(open_.join(tiles.hint("merge"), ["hub", "step"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")))
     a = open_.where("grp <> main")
     # the tiles of A and B that meet, without their rows
     ta = a.select("hub", F.col("step").alias("sa"), F.col("part").alias("pa")).distinct()
     tb = open_.select("hub", F.col("step").alias("sb"), F.col("part").alias("pb")).distinct()
     meet = ta.join(tb, "hub").where("abs(sa - sb) <= 1")
-    meet = cut(meet.withColumn("unit", F.concat_ws(":", "hub", "sa", "pa", "sb", "pb")))
+    meet = settled(meet.withColumn("unit", F.concat_ws(":", "hub", "sa", "pa", "sb", "pb")))
     left = a.join(meet.select("hub", F.col("sa").alias("step"), F.col("pa").alias("part"), "unit"), ["hub", "step", "part"])
     right = open_.join(meet.select("hub", F.col("sb").alias("step"), F.col("pb").alias("part"), "unit"), ["hub", "step", "part"])
     units = left.select("unit", "set_id", "grp").union(right.select("unit", "set_id", "grp"))

@@ -287,3 +287,17 @@ def test_secrets(spark):
     assert all(s.live == (s.owners <= 1) for x in got.values() for s in x.spans)
     assert secrets.scan(df.limit(0)).collect() == []
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_the_driver_lets_go_of_finished_stages(spark):
+    """What nothing refers to is gone from the driver once links are components, before any heap is full."""
+    import gc
+
+    jvm = spark.sparkContext._jvm
+    thing = jvm.java.lang.Object()
+    seen = jvm.java.lang.ref.WeakReference(thing)
+    del thing
+    gc.collect()
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "u long, v long")
+    assert {tuple(r) for r in ngram_join.connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (9, 7)}
+    assert seen.get() is None

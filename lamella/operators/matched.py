@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,17 +149,114 @@ def weighted_features(rows: DataFrame, weights: DataFrame, unit: str, mass: str,
 
 def pair_support(rows: DataFrame, region: str, donor: str, score: str, a: str, b: str, tol_a: float, tol_b: float, discordant: float, least: int = 10) -> DataFrame:
     """For each region: donors and median difference over all pairs, over pairs that lie within both tolerances, donors
-    in such pairs that differ by `discordant`, and what that supports. Pairs meet by the bands of the first tolerance
-    only where they may match; the median over all pairs needs all of them."""
-    x = rows.select(region, F.col(donor).alias("_da"), F.col(score).alias("_sa"), F.col(a).alias("_aa"), F.col(b).alias("_ba"))
-    y = rows.select(region, F.col(donor).alias("_db"), F.col(score).alias("_sb"), F.col(a).alias("_ab"), F.col(b).alias("_bb"))
-    pairs = x.join(y, region).where("_da < _db").withColumn("d", F.abs(F.col("_sa") - F.col("_sb")))
-    pairs = pairs.withColumn("matched", (F.abs(F.col("_aa") - F.col("_ab")) <= tol_a) & (F.abs(F.col("_ba") - F.col("_bb")) <= tol_b)).withColumn("far", F.col("matched") & (F.col("d") >= discordant))
-    medians = pairs.groupBy(region).agg(F.count("*").alias("pairs"), F.round(F.percentile("d", F.lit(0.5)), 6).alias("median_all"), F.round(F.percentile(F.when(F.col("matched"), F.col("d")), F.lit(0.5)), 6).alias("median_matched"))
-    sides = pairs.select(region, F.explode(F.array("_da", "_db")).alias("_d"), "matched", "far")
-    donors = sides.groupBy(region).agg(F.countDistinct("_d").alias("donors"), F.countDistinct(F.when(F.col("matched"), F.col("_d"))).alias("matched_donors"), F.countDistinct(F.when(F.col("far"), F.col("_d"))).alias("far_donors"))
+    in such pairs that differ by `discordant`, and what that supports.
+
+    No pair is written: pairs up to a difference are counted in sorted scores, and a median is found by halving. A task
+    holds a region's rows (not its pairs); work on matched pairs grows with the distinct (a, b) of a region. Scores that
+    are null or not finite have no difference."""
+    own = rows.where(F.col(donor).isNotNull()).select(F.col(region).alias("_g"), F.col(donor).alias("_d"), *(F.col(c).cast("double").alias(n) for c, n in ((score, "_s"), (a, "_a"), (b, "_b")))).where("_g IS NOT NULL")
+    kind = own.schema["_g"].dataType.simpleString()
+    names = ["pairs", "median_all", "median_matched", "donors", "matched_donors", "far_donors"]
+
+    def support_of(frame: pd.DataFrame) -> pd.DataFrame:
+        found = _pair_support(pd.factorize(frame["_d"])[0], *(frame[c].to_numpy(float) for c in ("_s", "_a", "_b")), tol_a, tol_b, discordant)
+        return pd.DataFrame([[frame["_g"].iloc[0], *found]] if found else [], columns=["_g", *names])
+
+    sums = own.groupBy("_g").applyInPandas(support_of, f"_g {kind}, pairs long, median_all double, median_matched double, donors long, matched_donors long, far_donors long")
     support = F.when(F.col("matched_donors") < least, "insufficient support for a narrow contrast").when(F.col("far_donors") >= least, "discordance observed").otherwise("broad spread only")
-    return medians.join(donors, region).withColumn("support", support)
+    return sums.select(F.col("_g").alias(region), "pairs", *(F.round(c, 6).alias(c) for c in names[1:3]), *names[3:]).withColumn("support", support)
+
+
+#: Scores of neighbouring classes that are kept from step to step; with more, they are put together again in each.
+KEPT_SCORES = 20_000_000
+
+
+class _Pairs:
+    """Pairs of sorted scores whose (a, b) lie within tolerances; all pairs where there are none."""
+
+    def __init__(self, s: np.ndarray, a: np.ndarray | None = None, b: np.ndarray | None = None, tol_a: float = 0.0, tol_b: float = 0.0):
+        ab = np.zeros((len(s), 2)) if a is None else np.stack([a, b], axis=1)
+        self.classes, of = np.unique(ab, axis=0, return_inverse=True)
+        order = np.lexsort((s, of.ravel()))
+        self.rows = np.split(order, np.cumsum(np.bincount(of.ravel(), minlength=len(self.classes)))[:-1])
+        self.s, self.tol_a, self.tol_b, self.later = s, tol_a, tol_b, {}
+        self.keep = sum(sum(len(self.rows[j]) for j in self.matches(i)) for i in range(len(self.classes))) <= KEPT_SCORES
+        self.n = sum(len(r) * (len(r) - 1) // 2 + len(r) * len(self.after(i)) for i, r in enumerate(self.rows))
+
+    def matches(self, i: int) -> np.ndarray:
+        """Classes, itself included, that lie within the tolerances of class i."""
+        own = self.classes[i]
+        low = np.searchsorted(self.classes[:, 0], own[0] - self.tol_a * 1.000001)
+        high = np.searchsorted(self.classes[:, 0], own[0] + self.tol_a * 1.000001, side="right")
+        near = self.classes[low:high]
+        return low + np.flatnonzero((np.abs(near[:, 0] - own[0]) <= self.tol_a) & (np.abs(near[:, 1] - own[1]) <= self.tol_b))
+
+    def after(self, i: int) -> np.ndarray:
+        """The sorted scores of matching classes that come after i."""
+        if i in self.later:
+            return self.later[i]
+        found = np.sort(self.s[np.concatenate([np.zeros(0, int), *(self.rows[j] for j in self.matches(i) if j > i)])])
+        if self.keep:
+            self.later[i] = found
+        return found
+
+    def upto(self, t: float) -> int:
+        total = 0
+        for i, r in enumerate(self.rows):
+            own, other = self.s[r], self.after(i)
+            total += int((np.searchsorted(own, own + t, side="right") - np.arange(len(own)) - 1).sum())
+            if len(other):
+                total += int((np.searchsorted(other, own + t, side="right") - np.searchsorted(other, own - t)).sum())
+        return total
+
+
+def _median_difference(s: np.ndarray, donors: np.ndarray, *ab) -> float | None:
+    """The median of |s - s'| over pairs of different donors: those of all rows less those inside a donor."""
+    known = np.isfinite(s)
+    for c in ab[:2]:
+        known &= ~np.isnan(c)
+    s, donors, ab = s[known], donors[known], (*(c[known] for c in ab[:2]), *ab[2:])
+    of = np.argsort(donors, kind="stable")
+    again = [g for g in np.split(of, np.flatnonzero(np.diff(donors[of])) + 1) if len(g) > 1]
+    part = lambda g: _Pairs(s[g], *(c[g] for c in ab[:2]), *ab[2:])
+    whole, inside = part(np.arange(len(s))), [part(g) for g in again]
+    n = whole.n - sum(p.n for p in inside)
+    if not n:
+        return None
+    ends = []
+    for k in {(n - 1) // 2, n // 2}:
+        low, high = 0.0, float(s.max() - s.min())
+        if whole.upto(0.0) - sum(p.upto(0.0) for p in inside) > k:
+            high = 0.0
+        # halved until doubles have no number between, or far below the digits that are returned
+        while high - low > 1e-13 * max(1.0, high) and low < (middle := (low + high) / 2) < high:
+            enough = whole.upto(middle) - sum(p.upto(middle) for p in inside) > k
+            low, high = (low, middle) if enough else (middle, high)
+        ends.append(high)
+    return sum(ends) / len(ends)
+
+
+def _pair_support(donors: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, tol_a: float, tol_b: float, discordant: float) -> list | None:
+    sizes = np.bincount(donors)
+    n = len(donors)
+    pairs = n * (n - 1) // 2 - int((sizes * (sizes - 1) // 2).sum())
+    if not pairs:
+        return None
+    placed = np.flatnonzero(~np.isnan(a) & ~np.isnan(b))
+    all_ = _Pairs(np.zeros(len(placed)), a[placed], b[placed], tol_a, tol_b) if len(placed) else None
+    matched, far = np.zeros(len(sizes), bool), np.zeros(len(sizes), bool)
+    for i, r in enumerate(all_.rows if all_ else []):
+        own, other = placed[r], placed[np.concatenate([all_.rows[j] for j in all_.matches(i)])]
+        d = donors[own]
+        matched[d[(donors[other].min() != d) | (donors[other].max() != d)]] = True
+        # the farthest score of another donor is the greatest or the least, or the next one where that is its own
+        other = other[np.isfinite(s[other])]
+        for end in (other[np.argsort(s[other], kind="stable")], other[np.argsort(-s[other], kind="stable")]):
+            if len(end):
+                next_ = end[donors[end] != donors[end[0]]][:1]
+                at = np.where(d != donors[end[0]], s[end[0]], s[next_[0]] if len(next_) else np.nan)
+                far[d[np.isfinite(s[own]) & (np.abs(at - s[own]) >= discordant)]] = True
+    return [pairs, _median_difference(s, donors), _median_difference(s, donors, a, b, tol_a, tol_b), len(sizes), int(matched.sum()), int(far.sum())]
 
 
 def visit_window(visits: DataFrame, unit: str, age: str, end: str, score: str, window: float = 10.0) -> DataFrame:

@@ -58,3 +58,30 @@ def test_values_of_crowded_places(spark):
         weight = sum(w for w, _ in own)
         assert abs(r["weight"] - weight) < 1e-9 and abs(r["value"] - sum(w * v for w, v in own) / weight) < 1e-9
     assert len(rows) == 600 and most <= 20_000
+
+
+def test_pair_support_without_pairs(spark):
+    """Repeated donors, unknown values and ties against all pairs, which no plan writes."""
+    import random
+    from statistics import median
+
+    from lamella.operators import matched
+
+    r = random.Random(3)
+    some = lambda x: None if r.random() < 0.05 else x
+    rows = [(g, some(r.randrange(n // 2)), some(round(r.uniform(-1, 9), 2)), some(float(r.randrange(9))), some(r.uniform(0, 4))) for g, n in (("a", 400), ("b", 90), ("c", 2), ("d", 7)) for _ in range(n)]
+    rows += [("e", 1, 1.0, 1.0, 1.0), ("e", 2, 4.0, 3.0, 1.0), ("f", 1, 1.0, 1.0, 1.0), ("f", 1, 2.0, 1.0, 1.0), (None, 1, 1.0, 1.0, 1.0)]
+    good = {}
+    for g in "abcdef":
+        own = [x[1:] for x in rows if x[0] == g and x[1] is not None]
+        pairs = [(p, q) for i, p in enumerate(own) for q in own[:i] if p[0] != q[0]]
+        near = [(p, q) for p, q in pairs if None not in (p[2:] + q[2:]) and abs(p[2] - q[2]) <= 2 and abs(p[3] - q[3]) <= 1]
+        known = lambda of: [abs(p[1] - q[1]) for p, q in of if p[1] is not None and q[1] is not None]
+        far = [(p, q) for p, q in near if p[1] is not None and q[1] is not None and abs(p[1] - q[1]) >= 3]
+        middle = lambda of: round(median(known(of)), 6) if known(of) else None
+        if pairs:
+            good[g] = (len(pairs), middle(pairs), middle(near), *(len({x[0] for pair in of for x in pair}) for of in (pairs, near, far)))
+    df = spark.createDataFrame(rows, "g string, d int, s double, a double, b double")
+    found, most = most_rows(matched.pair_support(df, "g", "d", "s", "a", "b", 2.0, 1.0, 3.0, 4))
+    assert {x["g"]: tuple(x)[1:7] for x in found} == good
+    assert most <= len(rows)

@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +160,34 @@ def balances(rows: DataFrame, unit: str, parts: Sequence[str], part: str, amount
     return whole.withColumn("_m", F.avg("y").over(after)).where(F.col("j") < k).select(unit, F.col("j").cast("int").alias("j"), F.round(F.sqrt(r / (r + 1)) * (F.col("y") - F.col("_m")), 6).alias("ilr"))
 
 
+def dealt_products(base: DataFrame, k: int, repeats: int) -> DataFrame:
+    """(rep, n, p): for each repeat the products of columns _c0.._ck-1 of base summed, as cross_products has them, where
+    _c0 stays in the order of _key and each other column comes in the order of its own draws (by its text _t1.._tk-1, as
+    `draw` has it; ties: the key).
+
+    A task takes a share of the repeats over all rows, which it gets from the shuffle, once for each task: it holds the
+    rows of base, never those of a repeat beside them."""
+    blocks = max(1, min(-(-(repeats + 1) // 4), 2 * base.sparkSession.sparkContext.defaultParallelism))
+
+    def products(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("_key", "ascending")]) if not rows["_key"].null_count else pa.concat_tables([rows.filter(pc.is_null(rows["_key"])), rows.filter(pc.is_valid(rows["_key"])).sort_by([("_key", "ascending")])])
+        columns = np.stack([rows[f"_c{i}"].to_numpy() for i in range(k)])
+        texts = [[None if t is None else t.encode() for t in rows[f"_t{i}"].to_pylist()] for i in range(1, k)]
+        del rows
+        out = []
+        # a quarter's four repeats share their digests
+        for quarter in range(key[0].as_py(), repeats // 4 + 1, blocks):
+            end = str(quarter).encode()
+            digits = [np.frombuffer(b"".join([md5(end if t is None else t + b":" + end).digest() for t in own]), ">u4").reshape(-1, 4) for own in texts]
+            for rep in range(max(1, 4 * quarter), min(repeats, 4 * quarter + 3) + 1):
+                dealt = np.stack([columns[0], *(c[np.argsort(d[:, rep % 4], kind="stable")] for c, d in zip(columns[1:], digits, strict=True))])
+                out.append((rep, dealt.shape[1], (dealt @ dealt.T).ravel().tolist()))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], ["rep", "n", "p"])
+
+    each = base.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.groupBy("_block").applyInArrow(products, "rep int, n long, p array<double>")
+
+
 def principal(rows: DataFrame, key: str, columns: list[str], repeats: int = 100, level: float = 0.95) -> DataFrame:
     """(component, value, share, null, kept, loadings): eigenvalues of the correlations and the quantile of those of
     repeats in which each column is dealt anew over the rows; components are kept as long as they exceed it. A
@@ -170,14 +201,8 @@ def principal(rows: DataFrame, key: str, columns: list[str], repeats: int = 100,
     values, vectors = values[::-1], vectors[:, ::-1]
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(axis=0), range(k)])
     # each column's rows in an order of their own for each repeat; the first keeps its place
-    base = own.select(key, *(F.col(c) / float(s) for c, s in zip(columns, scale, strict=True))).toDF("_key", *(f"_c{i}" for i in range(k)))
-    each = spread(base).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    dealt = None
-    for i in range(k):
-        order = Window.partitionBy("rep").orderBy(draw(F.concat_ws("/", F.lit(str(i)), F.col("_key")), F.col("rep")), "_key") if i else Window.partitionBy("rep").orderBy("_key")
-        column = each.select("rep", F.row_number().over(order).alias("_at"), f"_c{i}")
-        dealt = column if dealt is None else dealt.join(column, ["rep", "_at"])
-    null = cross_products(dealt, ["rep"], [f"_c{i}" for i in range(k)])
+    base = own.select(F.col(key).alias("_key"), *(F.concat_ws("/", F.lit(str(i)), F.col(key)).alias(f"_t{i}") for i in range(1, k)), *((F.col(c) / float(s)).alias(f"_c{i}") for i, (c, s) in enumerate(zip(columns, scale, strict=True))))
+    null = dealt_products(base, k, repeats)
     eigen = solved(null, lambda m, n: [np.linalg.eigvalsh(m)[::-1].tolist()], "v array<double>")
     limits = eigen.agg(*(F.percentile(F.col("v")[i], F.lit(level)).alias(f"l{i}") for i in range(k))).first()
     kept, out = True, []
@@ -222,10 +247,8 @@ def residual_permutation(rows: DataFrame, key: str, x: str, covariate: str, y: s
     residual = lambda c: F.col(c) - F.col(f"_a{c}") - F.col(f"_b{c}") * F.col(covariate)
     own = rows.crossJoin(s).select(F.col(key).alias("_key"), residual(x).alias("_x"), residual(y).alias("_e"))
     seen = own.agg(F.sum(F.col("_x") * F.col("_e")).alias("_xe"), F.sum(F.col("_x") * F.col("_x")).alias("_xx"))
-    each = spread(own).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    fixed = each.select("rep", F.row_number().over(Window.partitionBy("rep").orderBy("_key")).alias("_at"), "_x")
-    dealt = each.select("rep", F.row_number().over(Window.partitionBy("rep").orderBy(draw(F.col("_key"), F.col("rep")), "_key")).alias("_at"), "_e")
-    sums = fixed.join(dealt, ["rep", "_at"]).groupBy("rep").agg(F.sum(F.col("_x") * F.col("_e")).alias("_s")).crossJoin(seen)
+    base = own.select("_key", F.col("_key").cast("string").alias("_t1"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_c{i}") for i, c in enumerate(("_x", "_e"))))  # products with null count nothing
+    sums = dealt_products(base, 2, repeats).select(F.col("p")[1].alias("_s")).crossJoin(seen)
     large = F.round(F.abs(F.col("_s") / F.col("_xx")), 9) >= F.round(F.abs(F.col("_xe") / F.col("_xx")), 9)
     return sums.agg(F.round(F.first(F.col("_xe") / F.col("_xx")), 6).alias("slope"), ((1 + F.count(F.when(large, 1))) / F.lit(float(repeats + 1))).alias("p"))
 

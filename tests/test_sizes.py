@@ -85,3 +85,22 @@ def test_pair_support_without_pairs(spark):
     found, most = most_rows(matched.pair_support(df, "g", "d", "s", "a", "b", 2.0, 1.0, 3.0, 4))
     assert {x["g"]: tuple(x)[1:7] for x in found} == good
     assert most <= len(rows)
+
+
+def test_dealt_products_draw_as_the_window_did(spark):
+    """Each repeat's order is that of `draw`, and all rows take part; what is made on the way doesn't grow with the repeats."""
+    from hashlib import md5
+
+    from pyspark.sql import functions as F
+
+    from lamella.operators import models
+
+    rows = [(i * 7 % 101, float(i), float(i * i % 13), float(i % 5)) for i in range(60)]
+    base = spark.createDataFrame(rows, "_key long, _c0 double, _c1 double, _c2 double").withColumns({f"_t{i}": F.concat_ws("/", F.lit(str(i)), "_key") for i in (1, 2)})
+    found, most = most_rows(models.dealt_products(base, 3, 130))
+    draw = lambda text, rep: int(md5(f"{text}:{rep // 4}".encode()).hexdigest()[rep % 4 * 8 :][:8], 16)
+    assert sorted(x["rep"] for x in found) == list(range(1, 131))
+    for x in found:
+        columns = [[r[1] for r in sorted(rows)]] + [[r[i + 1] for r in sorted(rows, key=lambda r: draw(f"{i}/{r[0]}", x["rep"]))] for i in (1, 2)]
+        assert x["n"] == 60 and x["p"] == [sum(a * b for a, b in zip(p, q)) for p in columns for q in columns]
+    assert most <= 60 * 2 * spark.sparkContext.defaultParallelism

@@ -104,3 +104,12 @@ def test_dealt_products_draw_as_the_window_did(spark):
         columns = [[r[1] for r in sorted(rows)]] + [[r[i + 1] for r in sorted(rows, key=lambda r: draw(f"{i}/{r[0]}", x["rep"]))] for i in (1, 2)]
         assert x["n"] == 60 and x["p"] == [sum(a * b for a, b in zip(p, q)) for p in columns for q in columns]
     assert most <= 60 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_residual_permutation_without_repeated_rows(spark):
+    from lamella.operators import models
+
+    rows = spark.range(200).selectExpr("id AS k", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS z", "CAST(id % 13 + id % 7 AS DOUBLE) AS v")
+    found, most = most_rows(models.residual_permutation(rows, "k", "x", "z", "v", 400))
+    assert 0.5 < found[0]["slope"] < 1.5 and found[0]["p"] == 1 / 401
+    assert most <= 200 * 2 * spark.sparkContext.defaultParallelism

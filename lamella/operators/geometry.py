@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamella.plans import made, made_sql
+from lamella.plans.prefix import BROADCAST_ROWS, kept
 
 Matrix = tuple[tuple[float, ...], ...]
 NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"
@@ -277,23 +278,47 @@ def distinct_candidates(candidates: list[tuple[float, float, float, float, bool]
     return kept
 
 
+#: Rings of one shape that are listed as one value.
+RINGS_OF_A_PART = 5_000
+
+
 def in_rings(points: DataFrame, rings: DataFrame, point: str, x: str, y: str, ring: str, size: float) -> DataFrame:
     """(point, ring, winding, crossings): by nonzero winding a point is inside where winding isn't 0, by even-odd where
     crossings are odd; rows with neither don't come. rings: (ring, place, x, y), closed by themselves.
 
-    Edges are listed in the bands of y that they reach, points in their band: a point meets the edges of its band."""
-    order = Window.partitionBy(ring).orderBy("place")
-    last = Window.partitionBy(ring)
-    edges = rings.select(ring, "place", F.col("x").alias("_x0"), F.col("y").alias("_y0"), F.lead("x").over(order).alias("_x1"), F.lead("y").over(order).alias("_y1"), F.min(F.struct("place", "x", "y")).over(last).alias("_f"))
-    edges = edges.withColumn("_x1", F.coalesce("_x1", "_f.x")).withColumn("_y1", F.coalesce("_y1", "_f.y")).drop("_f", "place").where("_y0 <> _y1")
+    Rings of equal corners are one shape, and points of equal places one place. Edges of shapes are listed in the bands
+    of y that they reach, places in their band: a place meets the edges of its band. Points and rings are listed last."""
+    corners = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
+    own = kept(rings.groupBy(F.col(ring).alias("_ring")).agg(corners.alias("_v")))
+    shapes = kept(own.select("_v").distinct().withColumn("_shape", F.monotonically_increasing_id()))
+    edges = shapes.select("_shape", "_v", F.posexplode("_v").alias("_i", "_c"))
+    after = F.try_element_at("_v", F.col("_i") + 2)
+    edges = edges.select("_shape", F.col("_c.x").alias("_x0"), F.col("_c.y").alias("_y0"), F.coalesce(after["x"], F.col("_v")[0]["x"]).alias("_x1"), F.coalesce(after["y"], F.col("_v")[0]["y"]).alias("_y1")).where("_y0 <> _y1")
     low, high = F.least("_y0", "_y1"), F.greatest("_y0", "_y1")
     edges = edges.withColumn("_band", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
-    own = points.select(point, F.col(x).alias("_px"), F.col(y).alias("_py"), F.floor(F.col(y) / size).alias("_band"))
+    asked = points.select(F.col(point).alias("_p"), F.col(x).alias("_px"), F.col(y).alias("_py"))
+    places = asked.select("_px", "_py").distinct().withColumn("_band", F.floor(F.col("_py") / size))
     up = (F.col("_y0") <= F.col("_py")) & (F.col("_y1") > F.col("_py"))
     down = (F.col("_y1") <= F.col("_py")) & (F.col("_y0") > F.col("_py"))
     cross = F.col("_x0") + (F.col("_py") - F.col("_y0")) / (F.col("_y1") - F.col("_y0")) * (F.col("_x1") - F.col("_x0"))
-    hit = own.join(edges, "_band").where((up | down) & (cross > F.col("_px")))
-    return hit.groupBy(point, ring).agg(F.sum(F.when(up, 1).otherwise(-1)).alias("winding"), F.count("*").alias("crossings")).where("winding <> 0 OR crossings % 2 = 1")
+    hit = places.join(edges, "_band").where((up | down) & (cross > F.col("_px")))
+    found = hit.groupBy("_px", "_py", "_shape").agg(F.sum(F.when(up, 1).otherwise(-1)).alias("winding"), F.count("*").alias("crossings"))
+    inside = "winding <> 0 OR crossings % 2 = 1"
+    # rows of one point are summed as one
+    again = not asked.groupBy("_p").count().where("count > 1").isEmpty()
+    found = found if again else found.where(inside)
+    # each shape's rings in parts of some thousand
+    n = own.count()
+    parts = F.pmod(F.xxhash64("_ring"), F.lit(1 + n // RINGS_OF_A_PART))
+    members = own.join(shapes, "_v").groupBy("_shape", parts.alias("_part")).agg(F.collect_list(F.struct("_ring")).alias("_rings")).drop("_part")
+    spark = points.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = asked.join(found, ["_px", "_py"]).repartition(tasks)
+    listed = dealt.join(F.broadcast(members) if n <= 10 * BROADCAST_ROWS else members.hint("merge"), "_shape")
+    out = listed.select(F.col("_p").alias(point), F.explode("_rings").alias("_r"), "winding", "crossings").select(point, F.col("_r._ring").alias(ring), "winding", "crossings")
+    if again:
+        out = out.groupBy(point, ring).agg(F.sum("winding").alias("winding"), F.sum("crossings").alias("crossings")).where(inside)
+    return out
 
 
 def raster(rings: DataFrame, shapes: DataFrame, ring: str, width: int, height: int, rule: str = "nonzero") -> DataFrame:

@@ -113,3 +113,17 @@ def test_residual_permutation_without_repeated_rows(spark):
     found, most = most_rows(models.residual_permutation(rows, "k", "x", "z", "v", 400))
     assert 0.5 < found[0]["slope"] < 1.5 and found[0]["p"] == 1 / 401
     assert most <= 200 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_equal_rings_and_places_meet_once(spark):
+    """300 points in and 300 left of 200 equal squares, beside a ring of its own and a repeated point."""
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    corners = [(r, i, x, y) for r in range(200) for i, (x, y) in enumerate(square)] + [(900, 5 - i, x + 1.0, y) for i, (x, y) in enumerate(square)]
+    rings = spark.createDataFrame(corners, "ring long, place int, x double, y double")
+    points = spark.range(600).selectExpr("id", "CASE id % 2 WHEN 0 THEN 0.5D ELSE -3D END AS x", "1.5D AS y")
+    rows, most = most_rows(geometry.in_rings(points, rings, "id", "x", "y", "ring", 1.0))
+    assert sorted(map(tuple, rows)) == [(i, r, 1, 1) for i in range(0, 600, 2) for r in range(200)]
+    assert most <= 60_000  # its own rows; the points on the left alone meet 120,400 edges
+    twice = spark.createDataFrame([(1, 2.0, 1.0), (1, 4.5, 2.0), (2, 4.5, 2.0)], "id long, x double, y double")
+    own = rings.where("ring IN (7, 900)")
+    assert sorted(map(tuple, geometry.in_rings(twice, own, "id", "x", "y", "ring", 1.0).collect())) == [(1, 7, 1, 1), (1, 900, -2, 2), (2, 900, -1, 1)]

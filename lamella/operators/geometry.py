@@ -167,7 +167,8 @@ def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, ax
     columns. Cells have the radius as side, so a query meets the points of its own and the neighbouring cells only.
 
     Equal places are one: queries of a place have the same neighbours, and of the points of a place only the k smallest
-    can be among the k nearest. So places meet places, and ranks are cut before any query is listed."""
+    can be among the k nearest. So places meet places, and ranks are cut before any query is listed. Rows of one query
+    are ranked as one, rows of one point count each."""
     cell = lambda a: F.floor(F.col(a) / radius)
     qa, pa = [f"_q{i}" for i in range(len(axes))], [f"_p{i}" for i in range(len(axes))]
     place = lambda rows, own, names: rows.select(own, *by, *(F.col(a).alias(n) for a, n in zip(axes, names, strict=True)))
@@ -181,7 +182,10 @@ def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, ax
     near = q.join(p, [*by, *(f"_g{i}" for i in range(len(axes)))]).withColumn("_d", F.sqrt(d2)).where(F.col("_d") <= radius)
     order = Window.partitionBy(*by, *qa).orderBy("_d", point)
     found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, *qa, "rank", point, "_d")
-    return asked.join(found, [*by, *qa]).select(query, "rank", point, F.col("_d").alias("distance"))
+    listed = asked.join(found, [*by, *qa])
+    if not asked.groupBy(query).count().where("count > 1").isEmpty():
+        listed = listed.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("_d", point))).where(F.col("rank") <= k)
+    return listed.select(query, "rank", point, F.col("_d").alias("distance"))
 
 
 def reconstructed(grid: DataFrame, points: DataFrame, node: str, point: str, axes: Sequence[str], mass: str, moment: str, sigma: float = 0.25, k: int = 8, radius: float | None = None, least: float = 1e-8) -> DataFrame:

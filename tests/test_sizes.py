@@ -143,3 +143,15 @@ def test_mapping_of_more_than_a_million_parts(spark, tmp_path):
     result = db.execute(registry.oracle_sql()["section_mapping"])
     columns = [c[0] for c in result.description]
     assert sorted(map(str, (tuple(r) for r in own.select(*columns).collect()))) == sorted(map(str, result.fetchall()))
+
+
+def test_neighbours_of_repeated_queries(spark):
+    grid, points, near = crowd(spark)
+    again = grid.selectExpr("id % 90 AS id", "CAST(id DIV 90 % 3 AS DOUBLE) AS x", "y")
+    places = {}
+    for i in range(600):
+        places.setdefault(i % 90, []).append(i // 90 % 3)
+    rows, most = most_rows(geometry.neighbours(again, points, "id", "p", ["x", "y"], 4, 1.5))
+    best = {i: sorted(pair for x in own for pair in near[x])[:4] for i, own in places.items()}
+    assert sorted((r["id"], r["rank"], r["p"], round(r["distance"], 9)) for r in rows) == [(i, k + 1, p, round(d, 9)) for i in range(90) for k, (d, p) in enumerate(best[i])]
+    assert most <= 20_000

@@ -162,36 +162,37 @@ def cells_around(*axes: str) -> dict[str, Column]:
     return {a: F.explode(F.sequence(F.col(a) - 1, F.col(a) + 1)) for a in axes}
 
 
-def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, axes: Sequence[str], k: int, radius: float, by: Sequence[str] = ()) -> DataFrame:
-    """(query, rank, point, distance): up to k nearest points within radius (ties: the smaller point), of equal `by`
-    columns. Cells have the radius as side, so a query meets the points of its own and the neighbouring cells only.
+def neighbours(queries: DataFrame, points: DataFrame, query: str, point: str, axes: Sequence[str], k: int, radius: float, by: Sequence[str] = (), beside: Sequence[str] = ()) -> DataFrame:
+    """(query, rank, point, distance, the point's columns `beside`): up to k nearest points within radius (ties: the
+    smaller point), of equal `by` columns. Cells have the radius as side, so a query meets the points of its own and the
+    neighbouring cells only.
 
     Equal places are one: queries of a place have the same neighbours, and of the points of a place only the k smallest
     can be among the k nearest. So places meet places, and ranks are cut before any query is listed. Rows of one query
     are ranked as one, rows of one point count each."""
     cell = lambda a: F.floor(F.col(a) / radius)
     qa, pa = [f"_q{i}" for i in range(len(axes))], [f"_p{i}" for i in range(len(axes))]
-    place = lambda rows, own, names: rows.select(own, *by, *(F.col(a).alias(n) for a, n in zip(axes, names, strict=True)))
-    asked = place(queries, query, qa)
+    place = lambda rows, own, names: rows.select(*own, *by, *(F.col(a).alias(n) for a, n in zip(axes, names, strict=True)))
+    asked = place(queries, [query], qa)
     q = asked.select(*by, *qa).distinct().withColumns({f"_g{i}": cell(a) for i, a in enumerate(qa)})
     for i in range(len(axes)):
         q = q.withColumns(cells_around(f"_g{i}"))
     own = Window.partitionBy(*by, *pa).orderBy(point)
-    p = place(points, point, pa).withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= k).drop("_k").withColumns({f"_g{i}": cell(a) for i, a in enumerate(pa)})
+    p = place(points, [point, *beside], pa).withColumn("_k", F.row_number().over(own)).where(F.col("_k") <= k).drop("_k").withColumns({f"_g{i}": cell(a) for i, a in enumerate(pa)})
     d2 = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in zip(qa, pa, strict=True)), F.lit(0.0))
     near = q.join(p, [*by, *(f"_g{i}" for i in range(len(axes)))]).withColumn("_d", F.sqrt(d2)).where(F.col("_d") <= radius)
     order = Window.partitionBy(*by, *qa).orderBy("_d", point)
-    found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, *qa, "rank", point, "_d")
+    found = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, *qa, "rank", point, "_d", *beside)
     listed = asked.join(found, [*by, *qa])
     if not asked.groupBy(query).count().where("count > 1").isEmpty():
         listed = listed.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("_d", point))).where(F.col("rank") <= k)
-    return listed.select(query, "rank", point, F.col("_d").alias("distance"))
+    return listed.select(query, "rank", point, F.col("_d").alias("distance"), *beside)
 
 
 def reconstructed(grid: DataFrame, points: DataFrame, node: str, point: str, axes: Sequence[str], mass: str, moment: str, sigma: float = 0.25, k: int = 8, radius: float | None = None, least: float = 1e-8) -> DataFrame:
     """(node, value, weight, support): at each node of a grid the kernel-weighted mean moment / mass of its k nearest
     points; 0 without support, that is without weight above the least."""
-    found = neighbours(grid, points, node, point, axes, k, radius or 4 * sigma).join(points.select(point, mass, moment), point)
+    found = neighbours(grid, points, node, point, axes, k, radius or 4 * sigma, beside=[mass, moment])
     kernel = F.exp(-0.5 * (F.col("distance") / sigma) ** 2)
     sums = found.groupBy(node).agg(F.sum(kernel * F.col(mass)).alias("_m"), F.sum(kernel * F.col(moment)).alias("_q"))
     some = F.coalesce(F.col("_m") > least, F.lit(False))

@@ -155,3 +155,15 @@ def test_neighbours_of_repeated_queries(spark):
     best = {i: sorted(pair for x in own for pair in near[x])[:4] for i, own in places.items()}
     assert sorted((r["id"], r["rank"], r["p"], round(r["distance"], 9)) for r in rows) == [(i, k + 1, p, round(d, 9)) for i in range(90) for k, (d, p) in enumerate(best[i])]
     assert most <= 20_000
+
+
+def test_values_of_repeated_points(spark):
+    grid, points, near = crowd(spark)
+    again = points.crossJoin(spark.range(3).select()).where("p % 2 = 0").union(points.where("p % 2 = 1"))
+    rows, most = most_rows(geometry.reconstructed(grid, again, "id", "p", ["x", "y"], "m", "q", 0.4, 8, 1.5))
+    for r in rows:
+        best = sorted(pair for pair in near[r["id"] % 3] for _ in range(1 if pair[1] % 2 else 3))[:8]
+        own = [(math.exp(-0.5 * (d / 0.4) ** 2) * (1 + p % 3), p % 7) for d, p in best]
+        weight = sum(w for w, _ in own)
+        assert abs(r["weight"] - weight) < 1e-9 and abs(r["value"] - sum(w * v for w, v in own) / weight) < 1e-9
+    assert len(rows) == 600 and most <= 30_000

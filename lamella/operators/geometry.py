@@ -283,18 +283,30 @@ def distinct_candidates(candidates: list[tuple[float, float, float, float, bool]
     return kept
 
 
-#: Rings of one shape that are listed as one value.
-RINGS_OF_A_PART = 5_000
+#: Points or rings that are listed as one value; rings that one point after another takes; points and rings for a task.
+LISTED, TURN, DEALT = 4_096, 256, 20_000
+
+
+def _lists(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """(by, name): each group's values, in lists of LISTED or fewer (about, as they are dealt by hash)."""
+    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64(value), F.expr(f"1 + _n DIV {LISTED}"))
+    out = rows.join(n, list(by)).groupBy(*by, part.alias("_part")).agg(F.collect_list(F.struct(F.col(value).alias("v"))).alias("_l"))
+    return out.select(*by, F.transform("_l", lambda one: one["v"]).alias(name))
 
 
 def in_rings(points: DataFrame, rings: DataFrame, point: str, x: str, y: str, ring: str, size: float) -> DataFrame:
     """(point, ring, winding, crossings): by nonzero winding a point is inside where winding isn't 0, by even-odd where
-    crossings are odd; rows with neither don't come. rings: (ring, place, x, y), closed by themselves.
+    crossings are odd; rows with neither don't come. rings: (ring, place, x, y), closed by themselves; a ring given k
+    times counts k times, and so do rows of one point.
 
     Rings of equal corners are one shape, and points of equal places one place. Edges of shapes are listed in the bands
-    of y that they reach, places in their band: a place meets the edges of its band. Points and rings are listed last."""
+    of y that they reach, places in their band: a place meets the edges of its band. Lists of points meet lists of rings,
+    and only the last stage takes them apart: there the points of a list take the same few rings one after another, so
+    that columns in dictionaries or runs, as Parquet has them, need a small part of a byte for a row."""
     corners = F.transform(F.sort_array(F.collect_list(F.struct("place", "x", "y"))), lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y")))
-    own = kept(rings.groupBy(F.col(ring).alias("_ring")).agg(corners.alias("_v")))
+    given = rings.select(F.col(ring).alias("_ring"), "place", "x", "y").repartition("_ring").groupBy("_ring", "place", "x", "y").agg(F.count("*").alias("_k"))
+    own = kept(given.groupBy("_ring").agg(corners.alias("_v"), F.min("_k").alias("_times")))
     shapes = kept(own.select("_v").distinct().withColumn("_shape", F.monotonically_increasing_id()))
     edges = shapes.select("_shape", "_v", F.posexplode("_v").alias("_i", "_c"))
     after = F.try_element_at("_v", F.col("_i") + 2)
@@ -309,21 +321,28 @@ def in_rings(points: DataFrame, rings: DataFrame, point: str, x: str, y: str, ri
     hit = places.join(edges, "_band").where((up | down) & (cross > F.col("_px")))
     found = hit.groupBy("_px", "_py", "_shape").agg(F.sum(F.when(up, 1).otherwise(-1)).alias("winding"), F.count("*").alias("crossings"))
     inside = "winding <> 0 OR crossings % 2 = 1"
-    # rows of one point are summed as one
-    again = not asked.groupBy("_p").count().where("count > 1").isEmpty()
-    found = found if again else found.where(inside)
-    # each shape's rings in parts of some thousand
+    of = asked.groupBy(F.col("_p").alias("_q")).count()
+    m, most = of.agg(F.sum("count"), F.max("count")).first()
+    again = of.where("count > 1").select("_q")
+    same = F.col("_p").eqNullSafe(F.col("_q"))
+    once = asked if (most or 0) < 2 else asked.join(again, same, "left_anti")
+    sums = ["_shape", "winding", "crossings"]
+    met = found.where(inside).join(_lists(once, ["_px", "_py"], "_p", "_points"), ["_px", "_py"]).select(*sums, "_points")
+    if (most or 0) > 1:
+        # rows of one point are summed as one
+        mine = asked.join(again, same, "left_semi").join(found, ["_px", "_py"]).groupBy("_p", "_shape").agg(F.sum("winding").alias("winding"), F.sum("crossings").alias("crossings")).where(inside)
+        met = met.union(_lists(mine, sums, "_p", "_points").select(*sums, "_points"))
     n = own.count()
-    parts = F.pmod(F.xxhash64("_ring"), F.lit(1 + n // RINGS_OF_A_PART))
-    members = own.join(shapes, "_v").groupBy("_shape", parts.alias("_part")).agg(F.collect_list(F.struct("_ring")).alias("_rings")).drop("_part")
+    members = _lists(own.join(shapes, "_v").select("_shape", "_times", "_ring"), ["_shape", "_times"], "_ring", "_rings")
+    met = met.join(F.broadcast(members) if n <= 10 * BROADCAST_ROWS else members.hint("merge"), "_shape")
+    met = met.select((F.col("winding") * F.col("_times")).alias("winding"), (F.col("crossings") * F.col("_times")).alias("crossings"), "_points", "_rings")
     spark = points.sparkSession
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = asked.join(found, ["_px", "_py"]).repartition(tasks)
-    listed = dealt.join(F.broadcast(members) if n <= 10 * BROADCAST_ROWS else members.hint("merge"), "_shape")
-    out = listed.select(F.col("_p").alias(point), F.explode("_rings").alias("_r"), "winding", "crossings").select(point, F.col("_r._ring").alias(ring), "winding", "crossings")
-    if again:
-        out = out.groupBy(point, ring).agg(F.sum("winding").alias("winding"), F.sum("crossings").alias("crossings")).where(inside)
-    return out
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), ((m or 0) + n) // DEALT)
+    turns = F.transform(F.sequence(F.lit(0), F.expr(f"CAST((size(_rings) - 1) DIV {TURN} AS INT)")), lambda i: F.slice("_rings", i * TURN + 1, TURN))
+    # a stage of generated code holds all rows made of one of its rows; it doesn't take in transform(), so these two explode row by row
+    taken = met.repartition(tasks).select("winding", "crossings", "_points", F.explode(turns).alias("_turn"))
+    taken = taken.select("winding", "crossings", F.explode(F.transform("_points", lambda p: F.struct(p.alias("p"), F.col("_turn").alias("turn")))).alias("_t"))
+    return taken.select(F.col("_t.p").alias(point), F.explode("_t.turn").alias(ring), "winding", "crossings").where(inside)
 
 
 def raster(rings: DataFrame, shapes: DataFrame, ring: str, width: int, height: int, rule: str = "nonzero") -> DataFrame:
